@@ -47,6 +47,41 @@ def normalise_rows(cols, rows):
     return [cols[i] for i in order], sorted(out, key=lambda r: repr(r))
 
 
+def _cat_spark(dt) -> str:
+    n = type(dt).__name__
+    if n in ("ByteType", "ShortType", "IntegerType", "LongType"):
+        return "int"
+    if n in ("FloatType", "DoubleType", "DecimalType"):
+        return "float"
+    if n in ("StringType", "VarcharType", "CharType"):
+        return "str"
+    return n.replace("Type", "").lower()
+
+
+def _cat_duck(t) -> str:
+    s = str(t).upper()
+    if s in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT", "UTINYINT", "USMALLINT",
+             "UINTEGER", "UBIGINT"):
+        return "int"
+    if s in ("FLOAT", "DOUBLE") or s.startswith("DECIMAL"):
+        return "float"
+    if s.startswith("VARCHAR"):
+        return "str"
+    if s == "BOOLEAN":
+        return "boolean"
+    if s == "BLOB":
+        return "binary"
+    return s.lower()
+
+
+def _type_mismatch(schema, description):
+    sp = {f.name: _cat_spark(f.dataType) for f in schema.fields}
+    du = {d[0]: _cat_duck(d[1]) for d in description}
+    bad = {k: (sp[k], du.get(k)) for k in sp if k in du and sp[k] != du[k]
+           and du[k] != "null" and "null" not in sp[k]}
+    return bad
+
+
 def compare_query(spark, con, sf_dir, fn, sql):
     try:
         df = fn(spark, sf_dir)
@@ -62,6 +97,9 @@ def compare_query(spark, con, sf_dir, fn, sql):
         orows = res.fetchall()
     except Exception as e:  # noqa: BLE001
         return "ERROR", f"duckdb: {type(e).__name__}: {str(e)[:300]}"
+    tmis = _type_mismatch(df.schema, res.description)
+    if tmis:
+        return "MISMATCH", f"types {tmis}"
     c1, r1 = normalise_rows(cols, rows)
     c2, r2 = normalise_rows(ocols, orows)
     if c1 != c2:
