@@ -96,3 +96,116 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rules_sql(rules, prefix: str) -> str:
     return ", ".join(f"{e} AS {prefix}{n}" for n, e in rules)
+
+
+# ---- layout B (the byte extractor's raw shape) --------------------------------
+
+def _bits_to_names(value_sql: str, names: list[str]):
+    """Names of the set bits of an integer expression (bit i -> names[i])."""
+    v = F.expr(value_sql)
+    return F.filter(F.array(*[F.when(F.shiftright(v, i).bitwiseAND(1) == 1, F.lit(n))
+                              for i, n in enumerate(names)]), lambda x: x.isNotNull())
+
+
+B_FILE_SIZE = "CAST(floor(o_totalprice) AS BIGINT) + 1"
+B_MACHINE = ("CASE o_custkey % 4 WHEN 0 THEN 'IMAGE_FILE_MACHINE_I386' WHEN 1 THEN 'IMAGE_FILE_MACHINE_AMD64' "
+             "WHEN 2 THEN 'IMAGE_FILE_MACHINE_ARM64' ELSE 'IMAGE_FILE_MACHINE_BOGUS' END")
+B_COFF_RULES = [
+    ("timestamp", "CAST(epoch(o_orderdate) AS BIGINT)"),
+    ("number_of_sections", "CAST(o_orderkey % 10 AS BIGINT)"),
+    ("number_of_symbols", "CAST(o_custkey % 100 AS BIGINT)"),
+    ("sizeof_optional_header", "CAST(224 + 16 * (o_orderkey % 2) AS BIGINT)"),
+    ("pointer_to_symbol_table", "CAST(o_orderkey % 1000 AS BIGINT)"),
+]
+B_IMAGE_BITS = "o_orderkey % 65536"
+B_DLL_BITS = "o_custkey % 2048"
+B_ENTRY_POINT = "CAST((o_orderkey * 37) % 32768 AS BIGINT)"
+
+
+def b_optional_rules():
+    from ..operators.vector import OPTIONAL_VECTOR_FIELDS
+    return [(f, f"CAST((o_orderkey * {i + 5} + o_custkey * 3) % {101 * (i + 1)} AS BIGINT)")
+            for i, f in enumerate(OPTIONAL_VECTOR_FIELDS)]
+
+
+def b_dos_rules():
+    from ..operators.vector import DOS_MEMBERS
+    return [(m, f"CAST((o_orderkey + {i} * o_custkey) % {61 * (i + 1)} AS BIGINT)") for i, m in enumerate(DOS_MEMBERS)]
+
+
+def b_subsystem_sql():
+    from ..operators.vector import SUBSYSTEM_TYPES
+    cases = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(SUBSYSTEM_TYPES))
+    return f"CASE o_custkey % 16 {cases} ELSE 'IMAGE_SUBSYSTEM_OTHER' END"
+
+
+def raw_records_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout-B raw records: general{size,entropy,is_pe,start_bytes}, header{coff,optional,dos}
+    with category strings and flag-name lists, sections with addresses and ratios, reloc
+    flags as the first directory entry, export tokens, and the signature rollup."""
+    from ..operators import vector as vec
+
+    o = table(spark, sf_dir, "orders")
+    fsize = _spark_expr(B_FILE_SIZE)
+    s = view(spark, sf_dir, "v_sections").withColumn("virtual_address", F.col("ord").cast("long") * 4096)
+    props = F.filter(F.array(
+        F.when(F.col("mem_execute") == 1, F.lit("MEM_EXECUTE")),
+        F.when(F.col("mem_write") == 1, F.lit("MEM_WRITE")),
+        F.when(F.col("mem_read") == 1, F.lit("MEM_READ"))), lambda p: p.isNotNull())
+    secs = rec.collect_sorted(s.withColumn("props", props).withColumn("name", F.lower("name")), "file_id",
+                              ["ord", "name", "size", "vsize", "entropy", "virtual_address", "props"], "_s")
+    secs = secs.select("file_id", F.transform("_s", lambda x: F.struct(
+        x["name"].alias("name"), x["size"].alias("size"), x["entropy"].alias("entropy"),
+        x["vsize"].alias("vsize"), x["virtual_address"].alias("virtual_address"),
+        x["props"].alias("props"))).alias("sections"))
+    sym = view(spark, sf_dir, "v_imports")
+    imps = rec.import_map(sym)
+    exps = rec.export_tokens(sym).groupBy("file_id").agg(F.sort_array(F.collect_list("token")).alias("exports"))
+    rich = rec.rich_list(view(spark, sf_dir, "v_pairs"))
+    auth = rec.signature_rollup(view(spark, sf_dir, "v_sigs"), order=["ord", "l_partkey", "l_suppkey"])
+    auth = auth.select("file_id", F.struct(*[F.col(c) for c in vec.AUTH_FIELDS]).alias("authenticode"))
+
+    size_key = F.col("o_orderkey") % 5
+    dirs = rec.directory_list((F.col("o_custkey") % 16 + 1).cast("int"),
+                              lambda i: (size_key * (i + 1) % 3) * 100, lambda i: (size_key + i) * 4096)
+    dirs = F.transform(dirs, lambda d: F.struct(d["name"].alias("name"), d["size"].alias("size"),
+                                                d["virtual_address"].alias("virtual_address"),
+                                                F.lit(None).cast("int").alias("has_relocs"),
+                                                F.lit(None).cast("int").alias("has_dynamic_relocs")))
+    reloc = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("size"),
+                     F.lit(None).cast("long").alias("virtual_address"),
+                     (F.col("o_custkey") % 2).cast("int").alias("has_relocs"),
+                     (F.col("o_orderkey") % 2).cast("int").alias("has_dynamic_relocs"))
+    ov_size = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 1000).otherwise(0).cast("long")
+    base = o.select(
+        F.col("o_orderkey").alias("file_id"),
+        _spark_expr(LABEL_RULE).alias("label"),
+        _spark_expr(B_ENTRY_POINT).alias("_ep"),
+        fsize.alias("_fsize"),
+        F.struct(fsize.alias("size"), ((F.col("o_custkey") % 80) / 10.0).alias("entropy"),
+                 F.lit(1).alias("is_pe"),
+                 F.array(F.lit(77), F.lit(90), (F.col("o_orderkey") % 256).cast("int"),
+                         (F.col("o_custkey") % 256).cast("int")).alias("start_bytes")).alias("general"),
+        F.struct(
+            F.struct(*[_spark_expr(e).alias(n) for n, e in B_COFF_RULES], F.expr(B_MACHINE).alias("machine"),
+                     _bits_to_names(B_IMAGE_BITS, vec.IMAGE_CHARACTERISTICS).alias("characteristics")).alias("coff"),
+            F.struct(F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 267 ELSE 523 END").alias("magic"),
+                     F.expr(b_subsystem_sql()).alias("subsystem"),
+                     *[F.expr(e).alias(n) for n, e in b_optional_rules()],
+                     _bits_to_names(B_DLL_BITS, vec.DLL_CHARACTERISTICS).alias("dll_characteristics"))
+             .alias("optional"),
+            F.struct(*[F.expr(e).alias(n) for n, e in b_dos_rules()]).alias("dos")).alias("header"),
+        F.concat(F.array(reloc), dirs).alias("datadirectories"),
+        F.struct(ov_size.alias("size"), (ov_size / fsize).alias("size_ratio"),
+                 F.when(ov_size > 0, (F.col("o_custkey") % 80) / 10.0).otherwise(0.0).alias("entropy"))
+         .alias("_overlay"),
+    )
+    out = (base.join(secs, "file_id", "left").join(imps, "file_id", "left").join(exps, "file_id", "left")
+               .join(rich, "file_id", "left").join(auth, "file_id", "left"))
+    empty = F.array().cast(secs.schema["sections"].dataType)
+    sections = vec.section_ratios(F.coalesce(F.col("sections"), empty), F.col("_fsize"))
+    return out.select(
+        "file_id", "label", "general", "header",
+        F.struct(vec.section_entry_name(sections, F.col("_ep")).alias("entry"), sections.alias("sections"),
+                 F.col("_overlay").alias("overlay")).alias("section"),
+        "datadirectories", "imports", "exports", "richheader", "authenticode")
