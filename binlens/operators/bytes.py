@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.bytestats import (STEP, WINDOW, byte_counts, byte_entropy_counts, entropy_of_counts,
                                    printable_char_counts)
 from ..functions.patterns import MIN_STRING, patterns
+from .partitioning import balance
 
 MAX_BYTES = 1 * 1024 * 1024  # fixed value: 1 MiB truncation constant
 
@@ -29,6 +30,7 @@ def byte_at(content, i: int) -> Column:
 
 def byte_histogram(df: DataFrame, content: str = "content", out: str = "histogram") -> DataFrame:
     """256 byte counts per file (array<long>)."""
+    df = balance(df)
     return df.withColumn(out, byte_counts(F.col(content)))
 
 
@@ -44,6 +46,7 @@ def byte_general(df: DataFrame, content: str = "content", histogram: str | None
 
     Empty content gives size 0, entropy 0 and zero start bytes.
     """
+    df = balance(df)
     # the UDF result is materialised as a column first: HOF lambdas cannot call Python
     h = F.col(histogram) if histogram else F.col("_hist")
     base = df if histogram else df.withColumn("_hist", byte_counts(F.col(content)))
@@ -67,6 +70,7 @@ def vec_general(df: DataFrame, content: str = "content", is_pe: Column | None =
 def byte_entropy_hist(df: DataFrame, content: str = "content", window: int = WINDOW, step: int = STEP,
                       out: str = "byteentropy") -> DataFrame:
     """16x16 joint (window entropy bin, high nibble) histogram, flattened row-major."""
+    df = balance(df)
     return df.withColumn(out, byte_entropy_counts(F.col(content), window, step))
 
 
@@ -78,6 +82,7 @@ def printable_strings(content, min_len: int = MIN_STRING) -> Column:
 
 def string_stats(df: DataFrame, strings: str = "strings") -> DataFrame:
     """numstrings, avlength, printables, 96-slot char histogram, char entropy; zeros if none."""
+    df = balance(df)
     s = F.coalesce(F.col(strings), F.array().cast("array<string>"))
     n = F.size(s)
     total = F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
@@ -90,21 +95,43 @@ def string_stats(df: DataFrame, strings: str = "strings") -> DataFrame:
                         .alias("string_entropy"))
 
 
+_META = set(".^$*+?{}[]()|\\")
+
+
+def _literal(pattern: str) -> tuple[str, bool] | None:
+    """(text, case_insensitive) when the pattern is a plain literal, else None."""
+    ci = pattern.startswith("(?i)")
+    body = pattern[4:] if ci else pattern
+    if any(ch in _META for ch in body):
+        return None
+    return (body.lower() if ci else body), ci
+
+
 def ioc_pattern_counts(df: DataFrame, strings: str = "strings", fixed: bool = False,
                        out: str = "string_counts") -> DataFrame:
     """Per pattern: number of strings with at least one match (not number of matches).
 
-    ``out`` = map<pattern, count> holding only patterns seen, keys sorted.
+    ``out`` = map<pattern, count> holding only patterns seen. Plain-literal patterns
+    are matched with substring search (on the lower-cased string when the pattern is
+    case-insensitive), the rest with Java regex; results are the same as ``re.search``.
     """
+    df = balance(df)
     s = F.coalesce(F.col(strings), F.array().cast("array<string>"))
+    # materialised once: every pattern below reads the same (string, lower-case) pairs
+    base = df.withColumn("_ioc_pairs", F.transform(s, lambda x: F.struct(x.alias("s"), F.lower(x).alias("l"))))
+    pairs = F.col("_ioc_pairs")
 
     def matches(p):
-        return lambda x: x.rlike(p)
+        lit = _literal(p)
+        if lit is None:
+            return lambda x: x["s"].rlike(p)
+        text, ci = lit
+        return (lambda x: F.instr(x["l"], text) > 0) if ci else (lambda x: F.instr(x["s"], text) > 0)
 
-    entries = [F.struct(F.lit(name).alias("k"), F.size(F.filter(s, matches(p))).cast("long").alias("v"))
+    entries = [F.struct(F.lit(name).alias("k"), F.size(F.filter(pairs, matches(p))).cast("long").alias("v"))
                for name, p in patterns(fixed)]
     seen = F.filter(F.array(*entries), lambda e: e["v"] > 0)
-    return df.withColumn(out, F.map_from_entries(seen))
+    return base.withColumn(out, F.map_from_entries(seen)).drop("_ioc_pairs")
 
 
 def string_vector(df: DataFrame, strings: str = "strings", fixed: bool = False,
@@ -130,6 +157,7 @@ def content_hash(content) -> Column:
 
 def range_entropy(df: DataFrame, content: str, offset: Column, prefix: str = "overlay") -> DataFrame:
     """size, size ratio and entropy of the bytes after ``offset``; zeros if none."""
+    df = balance(df)
     total = F.length(F.col(content))
     suffix = F.when(total > offset, F.call_function("substr", F.col(content), offset + 1)) \
               .otherwise(F.lit(bytearray()))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_bin, hash_sign
+from .partitioning import explode_array
 from .records import DIRECTORY_NAMES
 
 ITEM = "array<struct<slot:int,value:double>>"
@@ -82,15 +82,20 @@ def dense_items(values: list[Column], offset: int = 0) -> Column:
 
 def hashed_items(tokens: Column, n: int, offset: int = 0, signed: bool = True,
                  weights: Column | None = None) -> Column:
-    """Hashing trick items: token -> (offset + bin, sign * weight); weight 1 without ``weights``."""
+    """Hashing trick items: token -> (offset + bin, sign * weight); weight 1 without ``weights``.
+
+    md5 is computed once per token; bin and sign are read from its hex digits.
+    """
+    def item(h, w):
+        slot = (F.lit(offset) + F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), F.lit(n))).cast("int")
+        sign = F.when(F.pmod(F.conv(F.substring(h, 16, 1), 16, 10).cast("int"), F.lit(2)) == 1, F.lit(-1.0)) \
+                .otherwise(F.lit(1.0)) if signed else F.lit(1.0)
+        return F.struct(slot.alias("slot"), (sign * w).alias("value"))
+
     if weights is None:
-        return F.transform(tokens, lambda t: F.struct(
-            (F.lit(offset) + hash_bin(t, n)).alias("slot"),
-            (hash_sign(t) if signed else F.lit(1.0)).alias("value")))
-    pairs = F.arrays_zip(tokens.alias("t"), weights.alias("w"))
-    return F.transform(pairs, lambda p: F.struct(
-        (F.lit(offset) + hash_bin(p["t"], n)).alias("slot"),
-        ((hash_sign(p["t"]) if signed else F.lit(1.0)) * _d(p["w"])).alias("value")))
+        return F.transform(F.transform(tokens, lambda t: F.md5(t.cast("string"))), lambda h: item(h, F.lit(1.0)))
+    pairs = F.arrays_zip(F.transform(tokens, lambda t: F.md5(t.cast("string"))).alias("h"), weights.alias("w"))
+    return F.transform(pairs, lambda p: item(p["h"], _d(p["w"])))
 
 
 def category_index(col: Column, vocab: list[str]) -> Column:
@@ -106,14 +111,42 @@ def multi_hot(flags: Column, vocab: list[str]) -> Column:
 
 
 # ---- groups ---------------------------------------------------------------------
+# A group builder returns GroupParts: fixed-slot values (blocks of consecutive slots),
+# hashed items (slots that may repeat and are summed), and an "empty" condition under
+# which the group contributes nothing (the reference's all-zero vector).
+
+@dataclass
+class GroupParts:
+    fixed: list[tuple[int, list[Column]]]
+    hashed: list[Column]
+    empty: Column | None = None
+
 
-def items_general(offset: int = 0) -> Column:
+def _fixed_array(parts: GroupParts) -> tuple[list[int], Column | None]:
+    slots = [o + i for o, vals in parts.fixed for i in range(len(vals))]
+    if not slots:
+        return [], None
+    arr = F.array(*[_d(v) for _, vals in parts.fixed for v in vals])
+    if parts.empty is not None:
+        arr = F.when(parts.empty, F.array_repeat(F.lit(0.0), len(slots))).otherwise(arr)
+    return slots, arr
+
+
+def _hashed_array(parts: GroupParts) -> Column | None:
+    if not parts.hashed:
+        return None
+    arr = F.concat(*parts.hashed) if len(parts.hashed) > 1 else parts.hashed[0]
+    return arr if parts.empty is None else F.when(parts.empty, F.array().cast(ITEM)).otherwise(arr)
+
+
+def parts_general(offset: int = 0) -> GroupParts:
     g = F.col("general")
     sb = F.coalesce(g["start_bytes"], F.array().cast("array<int>"))
-    return dense_items([g["size"], g["entropy"], g["is_pe"]] + [F.get(sb, i) for i in range(4)], offset)
+    return GroupParts([(offset, [g["size"], g["entropy"], g["is_pe"]] + [F.get(sb, i) for i in range(4)])], [],
+                      g.isNull())
 
 
-def items_header(offset: int = 0) -> Column:
+def parts_header(offset: int = 0) -> GroupParts:
     h = F.col("header")
     coff, opt, dos = h["coff"], h["optional"], h["dos"]
     vals = [coff[f] for f in COFF_FIELDS]
@@ -124,8 +157,7 @@ def items_header(offset: int = 0) -> Column:
     vals += [F.array_contains(ic, x) for x in IMAGE_CHARACTERISTICS]
     vals += [F.array_contains(dc, x) for x in DLL_CHARACTERISTICS]
     vals += [dos[m] for m in DOS_MEMBERS]
-    items = dense_items(vals, offset)
-    return F.when(h.isNull(), F.array().cast(ITEM)).otherwise(items)
+    return GroupParts([(offset, vals)], [], h.isNull())
 
 
 def section_entry_name(sections: Column, entry_point: Column) -> Column:
@@ -146,7 +178,7 @@ def section_ratios(sections: Column, file_size: Column) -> Column:
         "vsize_ratio", s["size"].cast("double") / F.greatest(s["vsize"], F.lit(1)).cast("double")))
 
 
-def items_section(offset: int = 0) -> Column:
+def parts_section(offset: int = 0) -> GroupParts:
     sec = F.col("section")
     s = F.coalesce(sec["sections"], F.array())
     ov = sec["overlay"]
@@ -165,100 +197,105 @@ def items_section(offset: int = 0) -> Column:
     ]
     names = F.transform(s, lambda x: x["name"])
     chars = F.flatten(F.transform(s, lambda x: F.transform(props(x), lambda p: F.concat(x["name"], F.lit(":"), p))))
-    items = F.concat(
-        dense_items(general, offset),
+    hashed = [
         hashed_items(names, 50, offset + 11, weights=F.transform(s, lambda x: x["size"])),
         hashed_items(names, 50, offset + 61, weights=F.transform(s, lambda x: x["vsize"])),
         hashed_items(names, 50, offset + 111, weights=F.transform(s, lambda x: x["entropy"])),
         hashed_items(chars, 50, offset + 161),
         hashed_items(F.array(F.coalesce(sec["entry"], F.lit(""))), 10, offset + 211),
-        dense_items([ov["size"], ov["size_ratio"], ov["entropy"]], offset + 221),
-    )
-    return F.when(sec.isNull(), F.array().cast(ITEM)).otherwise(items)
+    ]
+    return GroupParts([(offset, general), (offset + 221, [ov["size"], ov["size_ratio"], ov["entropy"]])],
+                      hashed, sec.isNull())
 
 
-def items_imports(offset: int = 0) -> Column:
+def parts_imports(offset: int = 0) -> GroupParts:
     m = F.col("imports")
     libs = F.array_distinct(F.transform(F.coalesce(F.map_keys(m), F.array()), lambda k: F.lower(k)))
     quals = F.flatten(F.transform(F.coalesce(F.map_entries(m), F.array()), lambda e: F.transform(
         F.coalesce(e["value"], F.array().cast("array<string>")),
         lambda fn: F.concat(F.lower(e["key"]), F.lit(":"), fn))))
-    items = F.concat(dense_items([F.size(quals), F.size(libs)], offset),
-                     hashed_items(libs, 256, offset + 2, signed=False),
-                     hashed_items(quals, 1024, offset + 258, signed=False))
-    empty = F.coalesce(F.size(m), F.lit(0)) == 0
-    return F.when(empty, F.array().cast(ITEM)).otherwise(items)
+    return GroupParts([(offset, [F.size(quals), F.size(libs)])],
+                      [hashed_items(libs, 256, offset + 2, signed=False),
+                       hashed_items(quals, 1024, offset + 258, signed=False)],
+                      F.coalesce(F.size(m), F.lit(0)) == 0)
 
 
-def items_exports(offset: int = 0) -> Column:
+def parts_exports(offset: int = 0) -> GroupParts:
     e = F.coalesce(F.col("exports"), F.array().cast("array<string>"))
     # slot 0 holds the width of the hashed block (128), as the reference does
-    items = F.concat(dense_items([F.lit(128)], offset), hashed_items(e, 128, offset + 1))
-    return F.when(F.size(e) == 0, F.array().cast(ITEM)).otherwise(items)
+    return GroupParts([(offset, [F.lit(128)])], [hashed_items(e, 128, offset + 1)], F.size(e) == 0)
 
 
-def items_datadirs(offset: int = 0) -> Column:
+def parts_datadirs(offset: int = 0) -> GroupParts:
     dd = F.coalesce(F.col("datadirectories"), F.array())
     n = F.size(dd)
     # entries 1 .. n-2: the reloc-flag entry is first and the last directory is skipped
     mid = F.slice(dd, 2, F.greatest(n - 2, F.lit(0)))
-    names = F.array(*[F.lit(x) for x in DIRECTORY_NAMES])
-    slots = F.flatten(F.transform(mid, lambda d: F.array(
-        F.struct((F.lit(offset) + 2 * (F.array_position(names, d["name"]) - 1)).cast("int").alias("slot"),
-                 _d(d["size"]).alias("value")),
-        F.struct((F.lit(offset) + 2 * (F.array_position(names, d["name"]) - 1) + 1).cast("int").alias("slot"),
-                 _d(d["virtual_address"]).alias("value")))))
+    named = F.filter(mid, lambda d: d["name"].isNotNull())
+    by_name = F.map_from_entries(F.transform(named, lambda d: F.struct(d["name"], d)))
+    vals = []
+    for name in DIRECTORY_NAMES:
+        d = by_name[name]
+        vals += [d["size"], d["virtual_address"]]
     head = F.get(dd, 0)
-    flags = dense_items([head["has_relocs"], head["has_dynamic_relocs"]], offset + 2 * len(DIRECTORY_NAMES))
-    return F.when(n == 0, F.array().cast(ITEM)).otherwise(F.concat(slots, flags))
+    vals += [head["has_relocs"], head["has_dynamic_relocs"]]
+    return GroupParts([(offset, vals)], [], n == 0)
 
 
-def items_rich(offset: int = 0) -> Column:
+def parts_rich(offset: int = 0) -> GroupParts:
     r = F.coalesce(F.col("richheader"), F.array().cast("array<bigint>"))
     n = F.size(r)
     npairs = F.floor(n / 2).cast("int")
     idx = F.when(npairs > 0, F.sequence(F.lit(0), npairs - 1)).otherwise(F.array().cast("array<int>"))
     comp = F.transform(idx, lambda i: F.get(r, 2 * i).cast("string"))
     cnt = F.transform(idx, lambda i: F.get(r, 2 * i + 1))
-    items = F.concat(dense_items([npairs], offset), hashed_items(comp, 32, offset + 1, weights=cnt))
-    return F.when(n == 0, F.array().cast(ITEM)).otherwise(items)
+    return GroupParts([(offset, [npairs])], [hashed_items(comp, 32, offset + 1, weights=cnt)], n == 0)
 
 
 AUTH_FIELDS = ["num_certs", "self_signed", "empty_program_name", "no_countersigner", "parse_error",
                "chain_max_depth", "latest_signing_time", "signing_time_diff"]
 
 
-def items_authenticode(offset: int = 0) -> Column:
+def parts_authenticode(offset: int = 0) -> GroupParts:
     a = F.col("authenticode")
-    return F.when(a.isNull(), F.array().cast(ITEM)).otherwise(dense_items([a[f] for f in AUTH_FIELDS], offset))
+    return GroupParts([(offset, [a[f] for f in AUTH_FIELDS])], [], a.isNull())
 
 
-def items_warnings(offset: int = 0, ids: str = "warning_ids") -> Column:
+def parts_warnings(offset: int = 0, ids: str = "warning_ids") -> GroupParts:
     w = F.coalesce(F.col(ids), F.array().cast("array<int>"))
     hot = F.transform(w, lambda i: F.struct((F.lit(offset) + i).cast("int").alias("slot"), F.lit(1.0).alias("value")))
-    items = F.concat(hot, dense_items([F.size(w)], offset + N_WARNINGS))
-    return F.when(F.size(w) == 0, F.array().cast(ITEM)).otherwise(items)
+    return GroupParts([(offset + N_WARNINGS, [F.size(w)])], [hot], F.size(w) == 0)
+
+
+def parts_items(parts: GroupParts) -> Column:
+    """All items of a group as one array<struct<slot, value>> (fixed + hashed)."""
+    fixed = [dense_items(vals, o) for o, vals in parts.fixed]
+    arr = F.concat(*(fixed + parts.hashed)) if len(fixed) + len(parts.hashed) > 1 else (fixed + parts.hashed)[0]
+    return arr if parts.empty is None else F.when(parts.empty, F.array().cast(ITEM)).otherwise(arr)
 
 
 @dataclass(frozen=True)
 class VectorGroup:
-    """A registered feature group: name, width and an in-row item builder."""
+    """A registered feature group: name, width and a builder of its parts."""
     name: str
     dim: int
-    items: Callable[[int], Column]
+    parts: Callable[[int], GroupParts]
     enabled: bool = True
 
+    def items(self, offset: int = 0) -> Column:
+        return parts_items(self.parts(offset))
+
 
 GROUPS: list[VectorGroup] = [
-    VectorGroup("general", 7, items_general),
-    VectorGroup("header", 74, items_header),
-    VectorGroup("section", 224, items_section),
-    VectorGroup("imports", 1282, items_imports),
-    VectorGroup("exports", 129, items_exports),
-    VectorGroup("datadirectories", 34, items_datadirs),
-    VectorGroup("richheader", 33, items_rich),
-    VectorGroup("authenticode", 8, items_authenticode),
-    VectorGroup("pefilewarnings", 88, items_warnings),
+    VectorGroup("general", 7, parts_general),
+    VectorGroup("header", 74, parts_header),
+    VectorGroup("section", 224, parts_section),
+    VectorGroup("imports", 1282, parts_imports),
+    VectorGroup("exports", 129, parts_exports),
+    VectorGroup("datadirectories", 34, parts_datadirs),
+    VectorGroup("richheader", 33, parts_rich),
+    VectorGroup("authenticode", 8, parts_authenticode),
+    VectorGroup("pefilewarnings", 88, parts_warnings),
 ]
 
 
@@ -285,13 +322,47 @@ def vector_items(groups: list[VectorGroup]) -> tuple[Column, int]:
     return F.concat(*parts), off
 
 
+def _layout(groups: list[VectorGroup]):
+    off, fixed_slots, fixed_arrays, hashed = 0, [], [], []
+    for g in groups:
+        p = g.parts(off)
+        slots, arr = _fixed_array(p)
+        if arr is not None:
+            fixed_slots += slots
+            fixed_arrays.append(arr)
+        h = _hashed_array(p)
+        if h is not None:
+            hashed.append(h)
+        off += g.dim
+    return fixed_slots, fixed_arrays, hashed, off
+
+
 def vectorize_long(df: DataFrame, key: str = "file_id", groups: list[str] | None = None,
                    drop_zero: bool = True) -> DataFrame:
-    """Sparse long form (key, slot, value): one explode + one aggregation for all groups."""
-    items, _ = vector_items(select_groups(groups))
-    x = df.select(key, F.explode(items).alias("it")).select(key, "it.slot", "it.value")
-    out = x.groupBy(key, "slot").agg(F.sum("value").alias("value"))
-    return out.filter(F.col("value") != 0) if drop_zero else out
+    """Sparse long form (key, slot, value) of the enabled groups.
+
+    Fixed slots are one ``posexplode`` of a double array (slot ids from a constant
+    array); hashed items are exploded and summed by ``groupBy(key, slot)``. When the
+    input is already hash-partitioned by the key (it comes out of key joins), that
+    aggregation runs without a shuffle.
+    """
+    slots, fixed, hashed, _ = _layout(select_groups(groups))
+    outs = []
+    if fixed:
+        vals = F.concat(*fixed) if len(fixed) > 1 else fixed[0]
+        lit_slots = F.array(*[F.lit(s) for s in slots])
+        a = explode_array(df, [key], vals, "value", pos="_p") \
+              .select(key, F.element_at(lit_slots, F.col("_p") + 1).alias("slot"), "value")
+        outs.append(a.filter(F.col("value") != 0) if drop_zero else a)
+    if hashed:
+        items = F.concat(*hashed) if len(hashed) > 1 else hashed[0]
+        b = explode_array(df, [key], items, "it").select(key, "it.slot", "it.value") \
+              .groupBy(key, "slot").agg(F.sum("value").alias("value"))
+        outs.append(b.filter(F.col("value") != 0) if drop_zero else b)
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
 
 
 def vectorize(df: DataFrame, key: str = "file_id", groups: list[str] | None = None,

@@ -8,6 +8,7 @@ from ..functions.patterns import patterns
 from ..operators import bytes as bt
 from ..operators import flat as fl
 from ..sources import view, with_views
+from ..operators.partitioning import explode_array
 from .registry import register, round_doubles
 
 # bytes in long form: (doc_id, i, b) — DuckDB side only
@@ -27,7 +28,7 @@ def _bytes(spark, sf_dir):
                                        [_BL, _HIST]))
 def q_byte_histogram(spark, sf_dir):
     h = bt.byte_histogram(_bytes(spark, sf_dir))
-    return h.select("doc_id", F.posexplode("histogram").alias("byte", "n")).filter(F.col("n") > 0)
+    return explode_array(h, ["doc_id"], "histogram", "n", pos="byte").filter(F.col("n") > 0)
 
 
 @register("byte_general", with_views(["v_bytes"], """
@@ -59,7 +60,7 @@ SELECT doc_id, slot, round(value, 6) AS value FROM (
     ON e.doc_id = v.doc_id) x""", [_BL, _HIST]))
 def q_vec_general(spark, sf_dir):
     v = bt.vec_general(_bytes(spark, sf_dir).select("doc_id", "content"), is_pe=bt.magic_prefix("content", b"MZ"))
-    return round_doubles(v.select("doc_id", F.posexplode("vec_general").alias("slot", "value")))
+    return round_doubles(explode_array(v, ["doc_id"], "vec_general", "value", pos="slot"))
 
 
 _EH = [
@@ -79,7 +80,7 @@ SELECT doc_id, CAST(hbin AS INTEGER) AS hbin, CAST(nib AS INTEGER) AS nibble, CA
                                           [_BL] + _EH))
 def q_byte_entropy_hist(spark, sf_dir):
     h = bt.byte_entropy_hist(_bytes(spark, sf_dir))
-    x = h.select("doc_id", F.posexplode("byteentropy").alias("cell", "n")).filter(F.col("n") > 0)
+    x = explode_array(h, ["doc_id"], "byteentropy", "n", pos="cell").filter(F.col("n") > 0)
     return x.select("doc_id", (F.col("cell") / 16).cast("int").alias("hbin"),
                     (F.col("cell") % 16).cast("int").alias("nibble"), "n")
 
@@ -88,7 +89,7 @@ def q_byte_entropy_hist(spark, sf_dir):
                                           [_STRS]))
 def q_printable_strings(spark, sf_dir):
     b = _bytes(spark, sf_dir)
-    return b.select("doc_id", F.posexplode(bt.printable_strings("content")).alias("pos", "s"))
+    return explode_array(b, ["doc_id"], bt.printable_strings("content"), "s", pos="pos")
 
 
 _STATS_SQL = """
@@ -125,7 +126,7 @@ def _ioc_sql(table: str, key: str) -> str:
 def q_ioc_pattern_counts(spark, sf_dir):
     p = view(spark, sf_dir, "v_page_bytes").select("page_id", bt.printable_strings("content").alias("strings"))
     c = bt.ioc_pattern_counts(p)
-    return c.select("page_id", F.explode("string_counts").alias("pattern", "n"))
+    return explode_array(c, ["page_id"], "string_counts", ("pattern", "n"))
 
 
 @register("ioc_pattern_counts_docs", with_views(["v_bytes"], f"SELECT * FROM ({_ioc_sql('strs', 'doc_id')}) t",
@@ -133,7 +134,7 @@ def q_ioc_pattern_counts(spark, sf_dir):
 def q_ioc_pattern_counts_docs(spark, sf_dir):
     b = _bytes(spark, sf_dir).select("doc_id", bt.printable_strings("content").alias("strings"))
     c = bt.ioc_pattern_counts(b)
-    return c.select("doc_id", F.explode("string_counts").alias("pattern", "n"))
+    return explode_array(c, ["doc_id"], "string_counts", ("pattern", "n"))
 
 
 _PAT_ORDER = ", ".join(f"({i}, {_sql_lit(n)})" for i, (n, _) in enumerate(patterns()))
@@ -155,7 +156,7 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(value, 6) AS value FROM (
 def q_string_vector(spark, sf_dir):
     b = _bytes(spark, sf_dir).select("doc_id", bt.printable_strings("content").alias("strings"))
     v = bt.string_vector(b)
-    x = v.select("doc_id", F.posexplode("vec_strings").alias("slot", "value")).filter(F.col("value") != 0)
+    x = explode_array(v, ["doc_id"], "vec_strings", "value", pos="slot").filter(F.col("value") != 0)
     return round_doubles(x)
 
 

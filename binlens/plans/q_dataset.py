@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dataset as ds
 from ..operators import project as pj
 from ..sources import table, view, with_views
+from ..operators.partitioning import explode_array
 from .registry import register, round_doubles
 
 _MD5 = "md5('42' || ':' || CAST({k} AS VARCHAR))"
@@ -146,5 +147,5 @@ def q_assemble_matrix(spark, sf_dir):
     m = ds.assemble_matrix(view(spark, sf_dir, "v_num"),
                            ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "constant_col", "absent"],
                            keep=["l_orderkey", "l_linenumber"])
-    return round_doubles(m.select("l_orderkey", "l_linenumber", "label",
-                                  F.posexplode("features").alias("slot", "value")))
+    return round_doubles(explode_array(m, ["l_orderkey", "l_linenumber", "label"], "features", "value",
+                                       pos="slot"))

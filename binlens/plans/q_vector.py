@@ -17,6 +17,7 @@ from ..sources import table, view, with_views
 from ..sources.records import (B_COFF_RULES, B_DLL_BITS, B_ENTRY_POINT, B_FILE_SIZE, B_IMAGE_BITS, B_MACHINE,
                                LABEL_RULE, b_dos_rules, b_optional_rules, b_subsystem_sql, raw_records_b, rules_sql)
 from .q_flat import _CTES as _FLAT_CTES
+from ..operators.partitioning import explode_array
 from .registry import register, round_doubles
 
 _AA = next(s for n, s in _FLAT_CTES if n == "aa")
@@ -211,8 +212,7 @@ SELECT CAST(file_id AS BIGINT) AS file_id, CAST(slot AS INTEGER) AS slot, round(
 GROUP BY file_id, slot"""))
 def q_feature_hash(spark, sf_dir):
     s = view(spark, sf_dir, "v_sections").withColumn("name", F.lower("name"))
-    items = s.select("file_id", F.explode(vec.hashed_items(F.array("name"), 50, weights=F.array("size")))
-                     .alias("it"))
+    items = explode_array(s, ["file_id"], vec.hashed_items(F.array("name"), 50, weights=F.array("size")), "it")
     out = items.groupBy("file_id", F.col("it.slot").alias("slot")).agg(F.sum("it.value").alias("value"))
     return round_doubles(out.select("file_id", F.col("slot").cast("int").alias("slot"), "value"))
 
@@ -237,7 +237,7 @@ def q_multi_hot(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     flags = _bits_to_names(B_IMAGE_BITS, vec.IMAGE_CHARACTERISTICS)
     m = o.select("o_orderkey", vec.multi_hot(flags, vec.IMAGE_CHARACTERISTICS).alias("h"))
-    return m.select("o_orderkey", F.posexplode("h").alias("slot", "hot"))
+    return explode_array(m, ["o_orderkey"], "h", "hot", pos="slot")
 
 
 @register("section_entry_name", with_views(_VIEWS, "SELECT CAST(file_id AS BIGINT) AS file_id, entry FROM sg",
@@ -252,7 +252,7 @@ SELECT CAST(file_id AS BIGINT) AS file_id,
        round(size_ratio, 6) AS size_ratio, round(vsize_ratio, 6) AS vsize_ratio FROM sb""", _ALL_CTES))
 def q_section_ratios(spark, sf_dir):
     r = raw_records_b(spark, sf_dir)
-    x = r.select("file_id", F.posexplode("section.sections").alias("idx", "s"))
+    x = explode_array(r, ["file_id"], "section.sections", "s", pos="idx")
     return round_doubles(x.select("file_id", "idx", F.col("s.size_ratio").alias("size_ratio"),
                                   F.col("s.vsize_ratio").alias("vsize_ratio")))
 
@@ -280,7 +280,7 @@ def _vocab(spark):
 
 def _sentences(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("file_id"), F.explode(F.split("text", r"\. ")).alias("warning"))
+    return explode_array(d.withColumnRenamed("doc_id", "file_id"), ["file_id"], F.split("text", r"\. "), "warning")
 
 
 _RULES_SQL = ("rules", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {i})" for i, r in enumerate(WARNING_RULES))
@@ -310,5 +310,5 @@ t""", [_RULES_SQL, _NORM_SQL]))
 def q_vec_warnings(spark, sf_dir):
     n = vec.warning_normalise(_sentences(spark, sf_dir), _vocab(spark))
     ids = n.groupBy("file_id").agg(F.array_sort(F.collect_set("id")).alias("warning_ids"))
-    x = ids.select("file_id", F.explode(vec.items_warnings(0)).alias("it"))
+    x = explode_array(ids, ["file_id"], vec.parts_items(vec.parts_warnings(0)), "it")
     return x.groupBy("file_id", F.col("it.slot").cast("int").alias("slot")).agg(F.sum("it.value").alias("value"))

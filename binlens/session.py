@@ -28,6 +28,9 @@ def build_session(master: str | None = None, app: str = "binlens",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf["spark.driver.memory"] = os.environ.get("BINLENS_DRIVER_MEMORY", "12g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
