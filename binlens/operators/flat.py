@@ -172,6 +172,10 @@ def feat_section_stats(schema: T.StructType) -> list[Column]:
 def feat_datadirs(schema: T.StructType, col: str = "datadirectories") -> list[Column]:
     """Count, non-empty count, RESOURCE size (index 2), certificate present (index 4)."""
     dt = field_type(schema, col)
+    if isinstance(dt, T.ArrayType) and has_path(schema, "_dd_kind"):
+        from .layout import datadir_features  # list normalised from list-or-dict JSON
+        return datadir_features(F.struct(F.col("_dd_kind").alias("kind"),
+                                         F.coalesce(F.col(col), F.array()).alias("dirs")), "A")
     if isinstance(dt, T.ArrayType):
         dd = F.coalesce(F.col(col), F.array())
         size_of = lambda d: F.coalesce(d["size"].cast("double"), F.lit(0.0))

@@ -26,14 +26,16 @@ def _kind(v: Column) -> Column:
 
 def normalize_warnings(col: str | Column) -> Column:
     """string -> [s]; object -> ["key:value"]; array -> each element as text; else []."""
-    v = as_variant(col)
+    c = F.col(col) if isinstance(col, str) else col
+    v = as_variant(c)
     k = _kind(v)
     arr = F.transform(F.try_variant_get(v, "$", "array<variant>"),
                       lambda e: F.coalesce(F.try_variant_get(e, "$", "string"), F.lit("None")))
     obj = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
                       lambda e: F.concat(e["key"], F.lit(":"),
                                          F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.lit("None"))))
-    return (F.when(v.isNull(), F.array().cast(_EMPTY_S))
+    return (F.when(c.isNull(), F.array().cast(_EMPTY_S))
+             .when(v.isNull(), F.array(c.cast("string")))  # plain text that is not JSON: one warning
              .when(k.startswith("ARRAY"), arr)
              .when(k.startswith("OBJECT"), obj)
              .when(k == "STRING", F.array(F.try_variant_get(v, "$", "string")))
