@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import bool_int, field_type, first_present, has_path, nested_get
-from ..functions.hashing import blake2b_bins, signed_parity_bin
+from ..functions.hashing import blake2b_bins
 
 # The ordered flat feature list (82 columns).
 FEATURE_COLS = [
@@ -237,28 +237,43 @@ def _rich_values(schema: T.StructType) -> Column | None:
     return None
 
 
-def feat_rich_pairs(schema: T.StructType, exact_hash: bool = False) -> list[Column]:
-    """Pair count and signed sums of counts in 8 hashed compid bins."""
+def rich_items(schema: T.StructType, exact_hash: bool = False) -> Column | None:
+    """(bin, sign, count) per complete (compid, count) pair; md5 computed once per compid."""
     vals = _rich_values(schema)
     if vals is None:
-        return [F.lit(0).alias("rich_num_pairs")] + [F.lit(0.0).alias(f"rich_hash_{i}") for i in range(RICH_BINS)]
+        return None
     vals = F.coalesce(vals, F.array())
     n = F.size(vals)
     n_pairs = F.when(n >= 2, F.floor(n / 2)).otherwise(0).cast("int")
-    idx = F.sequence(F.lit(0), n_pairs - 1)
-    idx = F.when(n_pairs > 0, idx).otherwise(F.array().cast("array<int>"))
+    idx = F.when(n_pairs > 0, F.sequence(F.lit(0), n_pairs - 1)).otherwise(F.array().cast("array<int>"))
     compids = F.transform(idx, lambda i: F.get(vals, i * 2).cast("string"))
     counts = F.transform(idx, lambda i: F.get(vals, i * 2 + 1).cast("double"))
     if exact_hash:
         hb = blake2b_bins(compids, RICH_BINS)
-        pairs = F.arrays_zip(hb.alias("h"), counts.alias("c"))
-        items = F.transform(pairs, lambda p: F.struct(p["h"]["bin"].alias("bin"), p["h"]["sign"].alias("sign"),
-                                                      p["c"].alias("c")))
+        return F.transform(F.arrays_zip(hb.alias("h"), counts.alias("c")), lambda p: F.struct(
+            p["h"]["bin"].alias("bin"), p["h"]["sign"].alias("sign"), p["c"].alias("c")))
+    hashed = F.transform(F.arrays_zip(compids.alias("k"), counts.alias("c")), lambda p: F.struct(
+        F.conv(F.substring(F.md5(p["k"]), 1, 15), 16, 10).cast("long").alias("h"), p["c"].alias("c")))
+    return F.transform(hashed, lambda q: F.struct(
+        F.pmod(q["h"], F.lit(RICH_BINS)).cast("int").alias("bin"),
+        F.when(F.pmod(q["h"], F.lit(2)) == 1, F.lit(-1.0)).otherwise(F.lit(1.0)).alias("sign"),
+        q["c"].alias("c")))
+
+
+def feat_rich_pairs(schema: T.StructType, exact_hash: bool = False) -> list[Column]:
+    """Pair count and signed sums of counts in 8 hashed compid bins.
+
+    Reads the ``_rich_items`` helper column when ``flatten_record`` prepared it
+    (so the hashing runs once per pair, not once per bin).
+    """
+    if has_path(schema, "_rich_items"):
+        items = F.col("_rich_items")
     else:
-        items = F.transform(F.arrays_zip(compids.alias("k"), counts.alias("c")), lambda p: F.struct(
-            signed_parity_bin(p["k"], RICH_BINS)[0].alias("bin"),
-            signed_parity_bin(p["k"], RICH_BINS)[1].alias("sign"), p["c"].alias("c")))
-    out = [n_pairs.alias("rich_num_pairs")]
+        items = rich_items(schema, exact_hash)
+    if items is None:
+        return [F.lit(0).alias("rich_num_pairs")] + [F.lit(0.0).alias(f"rich_hash_{i}") for i in range(RICH_BINS)]
+    out = [F.size(items).alias("rich_num_pairs")]
+
     def add_bin(b):
         return lambda a, it: a + F.when((it["bin"] == b) & it["c"].isNotNull(),
                                         it["sign"] * it["c"]).otherwise(0.0)
@@ -345,6 +360,9 @@ def flatten_record(df: DataFrame, keep: list[str] | None = None, label: str | No
     """
     keep = list(keep or [])
     lab = [label] if label and label in df.columns else []
+    items = rich_items(df.schema, exact_hash)
+    if items is not None:  # helper column, computed once and read by the 8 bin sums
+        df = df.withColumn("_rich_items", items)
     wide = df.select(*keep, *family_columns(df.schema, exact_hash), *lab)
     return wide.select(*keep, *FEATURE_COLS, *lab)
 

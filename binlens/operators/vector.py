@@ -14,7 +14,7 @@ library hash used by the reference's hasher is not reproduced.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,13 +120,15 @@ class GroupParts:
     fixed: list[tuple[int, list[Column]]]
     hashed: list[Column]
     empty: Column | None = None
+    arrays: dict[int, Column] = field(default_factory=dict)  # block offset -> ready array<double>
 
 
 def _fixed_array(parts: GroupParts) -> tuple[list[int], Column | None]:
     slots = [o + i for o, vals in parts.fixed for i in range(len(vals))]
     if not slots:
         return [], None
-    arr = F.array(*[_d(v) for _, vals in parts.fixed for v in vals])
+    blocks = [parts.arrays[o] if o in parts.arrays else F.array(*[_d(v) for v in vals]) for o, vals in parts.fixed]
+    arr = F.concat(*blocks) if len(blocks) > 1 else blocks[0]
     if parts.empty is not None:
         arr = F.when(parts.empty, F.array_repeat(F.lit(0.0), len(slots))).otherwise(arr)
     return slots, arr
@@ -154,10 +156,13 @@ def parts_header(offset: int = 0) -> GroupParts:
     vals += [opt[f] for f in OPTIONAL_VECTOR_FIELDS]
     ic = F.coalesce(coff["characteristics"], F.array().cast("array<string>"))
     dc = F.coalesce(opt["dll_characteristics"], F.array().cast("array<string>"))
-    vals += [F.array_contains(ic, x) for x in IMAGE_CHARACTERISTICS]
-    vals += [F.array_contains(dc, x) for x in DLL_CHARACTERISTICS]
-    vals += [dos[m] for m in DOS_MEMBERS]
-    return GroupParts([(offset, vals)], [], h.isNull())
+    # flag names -> 0/1 slots with one pass over each vocabulary (keeps the generated code small)
+    flags = F.concat(
+        F.transform(F.array(*[F.lit(x) for x in IMAGE_CHARACTERISTICS]), lambda v: F.array_contains(ic, v).cast("double")),
+        F.transform(F.array(*[F.lit(x) for x in DLL_CHARACTERISTICS]), lambda v: F.array_contains(dc, v).cast("double")))
+    return GroupParts([(offset, vals), (offset + len(vals), [None] * 27), (offset + len(vals) + 27,
+                                                                          [dos[m] for m in DOS_MEMBERS])],
+                      [], h.isNull(), {offset + len(vals): flags})
 
 
 def section_entry_name(sections: Column, entry_point: Column) -> Column:
@@ -231,15 +236,17 @@ def parts_datadirs(offset: int = 0) -> GroupParts:
     n = F.size(dd)
     # entries 1 .. n-2: the reloc-flag entry is first and the last directory is skipped
     mid = F.slice(dd, 2, F.greatest(n - 2, F.lit(0)))
-    named = F.filter(mid, lambda d: d["name"].isNotNull())
-    by_name = F.map_from_entries(F.transform(named, lambda d: F.struct(d["name"], d)))
-    vals = []
-    for name in DIRECTORY_NAMES:
-        d = by_name[name]
-        vals += [d["size"], d["virtual_address"]]
+    names = F.array(*[F.lit(x) for x in DIRECTORY_NAMES])
+    named = F.filter(mid, lambda d: F.array_position(names, d["name"]) > 0)
+    # (size, address) of each named directory -> slots 2*i, 2*i+1 (one pass over the list)
+    slots = F.flatten(F.transform(named, lambda d: F.array(
+        F.struct((F.lit(offset) + 2 * (F.array_position(names, d["name"]) - 1)).cast("int").alias("slot"),
+                 _d(d["size"]).alias("value")),
+        F.struct((F.lit(offset) + 2 * (F.array_position(names, d["name"]) - 1) + 1).cast("int").alias("slot"),
+                 _d(d["virtual_address"]).alias("value")))))
     head = F.get(dd, 0)
-    vals += [head["has_relocs"], head["has_dynamic_relocs"]]
-    return GroupParts([(offset, vals)], [], n == 0)
+    return GroupParts([(offset + 2 * len(DIRECTORY_NAMES), [head["has_relocs"], head["has_dynamic_relocs"]])],
+                      [slots], n == 0)
 
 
 def parts_rich(offset: int = 0) -> GroupParts:
@@ -269,7 +276,11 @@ def parts_warnings(offset: int = 0, ids: str = "warning_ids") -> GroupParts:
 
 def parts_items(parts: GroupParts) -> Column:
     """All items of a group as one array<struct<slot, value>> (fixed + hashed)."""
-    fixed = [dense_items(vals, o) for o, vals in parts.fixed]
+    def at(o):
+        return lambda v, i: F.struct((F.lit(o) + i).cast("int").alias("slot"), v.alias("value"))
+
+    fixed = [(F.transform(parts.arrays[o], at(o)) if o in parts.arrays else dense_items(vals, o))
+             for o, vals in parts.fixed]
     arr = F.concat(*(fixed + parts.hashed)) if len(fixed) + len(parts.hashed) > 1 else (fixed + parts.hashed)[0]
     return arr if parts.empty is None else F.when(parts.empty, F.array().cast(ITEM)).otherwise(arr)
 
