@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import TABLES, table_path
+from .tables import TABLES, table_path  # noqa: F401
 
 # Engine-specific fragments.
 _FRAG = {
@@ -138,8 +138,13 @@ def view_sql(name: str, engine: str = "duckdb", sf_dir: str | None = None) -> st
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Fixture view as a Spark DataFrame (planned by Catalyst like any query)."""
-    return spark.sql(view_sql(name, "spark", sf_dir))
+    """Fixture view as a Spark DataFrame (planned by Catalyst like any query).
+
+    Table references resolve to session temp views of the (balanced) driver tables.
+    """
+    from .tables import register_tables
+    names = register_tables(spark, sf_dir)
+    return spark.sql(_render(VIEWS[name], "spark", lambda t: f"`{names[t]}`"))
 
 
 def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:

@@ -14,7 +14,31 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
+    """A driver table. ``balanced``: spread a scan that yields fewer partitions than
+    cores (a single-row-group file) so the stage reading it is not single-threaded;
+    a no-op for a normally split large input."""
     if name not in TABLES:
         raise KeyError(name)
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if balanced:
+        from ..operators.partitioning import balance
+        df = balance(df)
+    return df
+
+
+def table_view_name(sf_dir: str, name: str) -> str:
+    """Session temp-view name of a (balanced) driver table of one scale directory."""
+    import hashlib
+    return f"_bl_{hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:10]}_{name}"
+
+
+def register_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Register every driver table of ``sf_dir`` as a temp view; returns name -> view name."""
+    out = {}
+    for t in TABLES:
+        v = table_view_name(sf_dir, t)
+        if not spark.catalog.tableExists(v):
+            table(spark, sf_dir, t).createOrReplaceTempView(v)
+        out[t] = v
+    return out
