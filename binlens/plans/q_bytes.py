@@ -225,3 +225,17 @@ def q_feat_byteent_stats(spark, sf_dir):
     h = bt.byte_entropy_hist(_bytes(spark, sf_dir))
     return round_doubles(h.select("doc_id", *fl.feat_byteent_stats(F.col("byteentropy"))).select(
         "doc_id", "byteEH_mean", F.col("byteEH_max").cast("double").alias("byteEH_max"), "byteEH_std"))
+
+
+@register("feat_string_scalars", with_views(["v_bytes"], """
+SELECT doc_id, CAST(printables AS DOUBLE) AS str_printables, string_entropy AS str_entropy,
+       0 AS str_paths, 0 AS str_urls, 0 AS str_registry, 0 AS str_MZ FROM st""",
+                                            [_STRS, ("st", _STATS_SQL)]))
+def q_feat_string_scalars(spark, sf_dir):
+    """Scalars of a ``strings`` struct built from the string statistics (paths/urls/registry/MZ
+    are absent from it and read as 0)."""
+    b = _bytes(spark, sf_dir).withColumn("strings", bt.printable_strings("content"))
+    s = bt.string_stats(b.select("doc_id", "strings"))
+    rec = s.select("doc_id", F.struct(F.col("printables").cast("double").alias("printables"),
+                                      F.col("string_entropy").alias("entropy")).alias("strings"))
+    return round_doubles(rec.select("doc_id", *fl.feat_string_scalars(rec.schema)))

@@ -173,3 +173,25 @@ GROUP BY s.label, g.gi, s.lo, s.hi, s.n, s.h""", [
                 GROUP BY v.label, least(COALESCE(floor((v.l_tax - st.lo) / nullif(st.w, 0)), 0), 1023), st.lo, st.w""")]))
 def q_kde_by_class(spark, sf_dir):
     return round_doubles(st.kde_by_class(view(spark, sf_dir, "v_num"), "l_tax"))
+
+
+_GROUP_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "constant_col", "label"]
+
+
+_GROUP_SQL = with_views(["v_num"], f"""
+SELECT o.feature, o.grp, CAST(o.pos AS INTEGER) AS pos,
+       CASE WHEN COALESCE(lag(o.grp) OVER (ORDER BY o.grp, o.src_pos), -1) <> o.grp THEN 1 ELSE 0 END AS is_boundary,
+       (min(o.pos) OVER (PARTITION BY o.grp) + max(o.pos) OVER (PARTITION BY o.grp) + 1) / 2.0 AS grp_mid,
+       nz.n_nonzero
+FROM (SELECT feature, src_pos, grp, row_number() OVER (ORDER BY grp, src_pos) - 1 AS pos
+      FROM (SELECT feature, src_pos, GRPCASE AS grp
+            FROM (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate(_GROUP_COLS))}) c(feature, src_pos)) g) o
+JOIN ({" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(count(*) FILTER (WHERE COALESCE(CAST({c} AS DOUBLE), 0) <> 0) AS BIGINT) AS n_nonzero "
+    f"FROM v_num" for c in _GROUP_COLS)}) nz ON nz.feature = o.feature""").replace("GRPCASE", "CASE WHEN starts_with(feature, 'gen_') THEN 0 WHEN starts_with(feature, 'hdr_') THEN 1 WHEN starts_with(feature, 'sec_') THEN 2 WHEN starts_with(feature, 'imp_') THEN 3 WHEN starts_with(feature, 'exp_') THEN 4 WHEN starts_with(feature, 'datadir_') THEN 5 WHEN starts_with(feature, 'str_') THEN 6 WHEN starts_with(feature, 'byteH_') THEN 7 WHEN starts_with(feature, 'byteEH_') THEN 8 WHEN starts_with(feature, 'label') THEN 9 ELSE 99 END")
+
+
+@register("group_order", _GROUP_SQL)
+def q_group_order(spark, sf_dir):
+    g = st.group_order(view(spark, sf_dir, "v_num"), _GROUP_COLS)
+    return g.select("feature", "grp", F.col("pos").cast("int").alias("pos"), "is_boundary", "grp_mid", "n_nonzero")

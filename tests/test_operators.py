@@ -251,3 +251,12 @@ def test_hist_stats_population_skew(spark):
     sd = arr.std()
     assert math.isclose(r["byteH_std"], sd) and math.isclose(
         r["byteH_skew"], float(np.mean((arr - arr.mean()) ** 3) / (sd ** 3 + 1e-12)), abs_tol=1e-9)
+
+
+def test_warning_dictionary_load(spark, tmp_path):
+    path = tmp_path / "warnings.txt"
+    path.write_text("Suspicious...\n...bad checksum\nImport...\n")
+    voc = vec.warning_dictionary_load(spark, str(path))
+    rows = sorted((r["id"], r["rule"], r["kind"], r["part"]) for r in voc.collect())
+    assert rows == [(0, "Suspicious...", 1, "Suspicious"), (1, "...bad checksum", 0, "bad checksum"),
+                    (2, "Import...", 1, "Import")]
