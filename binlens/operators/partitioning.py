@@ -33,3 +33,16 @@ def explode_array(df: DataFrame, keep: list, arr, value="value", pos: str | None
     names = [value] if isinstance(value, str) else list(value)
     out = df.select(*keep, F.posexplode_outer(arr).alias(p, *names)).filter(F.col(p).isNotNull())
     return out if pos else out.drop(p)
+
+
+def fit_partitions(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Exactly about ``target`` partitions (default: total cores): coalesce (no shuffle)
+    when there are more, repartition when there are fewer. Used where the number of
+    partitions multiplies a per-partition output (partial histograms of the booster)."""
+    target = target or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    if n > target:
+        return df.coalesce(target)
+    if n < target:
+        return df.repartition(target)
+    return df
