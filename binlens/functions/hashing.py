@@ -55,13 +55,13 @@ def sql_hash_bin(token_sql: str, bins: int) -> str:
 
 
 def sql_hash_sign(token_sql: str) -> str:
-    return (f"CASE WHEN (('0x' || substr(md5(CAST({token_sql} AS VARCHAR)), 16, 1))::INTEGER) % 2 = 1 "
-            f"THEN -1.0 ELSE 1.0 END")
+    return (f"CAST(CASE WHEN (('0x' || substr(md5(CAST({token_sql} AS VARCHAR)), 16, 1))::INTEGER) % 2 = 1 "
+            f"THEN -1.0 ELSE 1.0 END AS DOUBLE)")
 
 
 def sql_parity_bin(token_sql: str, bins: int = 8) -> tuple[str, str]:
     h = f"(('0x' || substr(md5(CAST({token_sql} AS VARCHAR)), 1, 15))::BIGINT)"
-    return f"CAST({h} % {bins} AS INTEGER)", f"CASE WHEN {h} % 2 = 1 THEN -1.0 ELSE 1.0 END"
+    return f"CAST({h} % {bins} AS INTEGER)", f"CAST(CASE WHEN {h} % 2 = 1 THEN -1.0 ELSE 1.0 END AS DOUBLE)"
 
 
 def _blake2b_pair(value: str, bins: int) -> tuple[int, float]:

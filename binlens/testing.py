@@ -74,9 +74,16 @@ def _cat_duck(t) -> str:
     return s.lower()
 
 
+_EXACT = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+          "FloatType": "FLOAT", "ShortType": "SMALLINT", "ByteType": "TINYINT", "BooleanType": "BOOLEAN",
+          "BinaryType": "BLOB"}
+
+
 def _type_mismatch(schema, description):
-    sp = {f.name: _cat_spark(f.dataType) for f in schema.fields}
-    du = {d[0]: _cat_duck(d[1]) for d in description}
+    """Column types must agree exactly (Spark int <-> INTEGER, long <-> BIGINT, ...);
+    columns that are all NULL on one side are not compared."""
+    sp = {f.name: _EXACT.get(type(f.dataType).__name__, _cat_spark(f.dataType)) for f in schema.fields}
+    du = {d[0]: (str(d[1]) if str(d[1]) in _EXACT.values() else _cat_duck(d[1])) for d in description}
     bad = {k: (sp[k], du.get(k)) for k in sp if k in du and sp[k] != du[k]
            and du[k] != "null" and "null" not in sp[k]}
     return bad
