@@ -149,3 +149,14 @@ def q_assemble_matrix(spark, sf_dir):
                            keep=["l_orderkey", "l_linenumber"])
     return round_doubles(explode_array(m, ["l_orderkey", "l_linenumber", "label"], "features", "value",
                                        pos="slot"))
+
+
+@register("vault_write", with_views(["v_scored"], """
+SELECT doc_id, label FROM rk WHERE r <= ceil(n * 0.2)""", [("rk", _SPLIT_RANK)]))
+def q_vault_write(spark, sf_dir):
+    """Vault rows of the nested split written as headered CSV and read back."""
+    from ..sources import io
+    s = pj.filter_labelled(view(spark, sf_dir, "v_scored")).select("doc_id", "label")
+    vault = ds.nested_split(s, "doc_id").filter(F.col("split") == "vault").drop("split")
+    path = io.sink_csv(vault, io.scratch_path(spark, "vault"))
+    return io.scan_csv(spark, path, "doc_id bigint, label int")
