@@ -90,25 +90,39 @@ def directory_list(n_dirs: Column, size_of, va_of=None) -> Column:
     return F.slice(allv, 1, n_dirs)
 
 
-def signature_rollup(sigs: DataFrame, key: str = "file_id", order: list[str] | None = None) -> DataFrame:
-    """Per file over its signatures -> the 8 authenticode numbers.
-
-    Columns expected: no_program_name, no_countersigner, n_certs, self_signed,
-    signing_time, pe_timestamp; ``order`` gives the signature order (the time
-    difference is taken from the last countersigned signature).
-    """
+def signature_aggs(order: list[str] | None = None) -> list[Column]:
+    """Aggregate expressions of :func:`signature_rollup` (usable inside a wider groupBy)."""
     order = order or ["ord"]
     cs = F.col("no_countersigner") == 0
     ordkey = F.struct(*[F.col(c) for c in order], F.col("signing_time"), F.col("n_certs"))
     diff = (F.col("signing_time") - F.col("pe_timestamp")).cast("double")
-    return sigs.groupBy(key).agg(
-        F.count(F.lit(1)).alias("num_certs"),
-        F.max(F.when(F.col("self_signed") == 1, 1).otherwise(0)).alias("self_signed"),
-        F.max(F.when(F.col("no_program_name") == 1, 1).otherwise(0)).alias("empty_program_name"),
-        F.max(F.when(~cs, 1).otherwise(0)).alias("no_countersigner"),
+    return [
+        F.count(F.col("no_countersigner")).alias("num_certs"),
+        F.max(F.when(F.col("self_signed") == 1, 1).when(F.col("self_signed").isNotNull(), 0)).alias("self_signed"),
+        F.max(F.when(F.col("no_program_name") == 1, 1).when(F.col("no_program_name").isNotNull(), 0))
+         .alias("empty_program_name"),
+        F.max(F.when(~cs, 1).when(cs, 0)).alias("no_countersigner"),
         F.lit(0).alias("parse_error"),
         F.greatest(F.max(F.col("n_certs")), F.lit(0)).alias("chain_max_depth"),
         F.greatest(F.coalesce(F.max(F.when(cs, F.col("signing_time"))), F.lit(0)), F.lit(0))
          .cast("double").alias("latest_signing_time"),
         F.coalesce(F.max_by(F.when(cs, diff), F.when(cs, ordkey)), F.lit(0.0)).alias("signing_time_diff"),
-    )
+    ]
+
+
+def signature_rollup(sigs: DataFrame, key: str = "file_id", order: list[str] | None = None) -> DataFrame:
+    """Per file over its signatures -> the 8 authenticode numbers.
+
+    Columns expected: no_program_name, no_countersigner, n_certs, self_signed,
+    signing_time, pe_timestamp; ``order`` gives the signature order (the time
+    difference is taken from the last countersigned signature).
+    """
+    return sigs.groupBy(key).agg(*signature_aggs(order))
+
+
+def imports_from_pairs(pairs: Column) -> Column:
+    """array<struct<dll, token>> of one file -> map dll -> sorted tokens (keys sorted)."""
+    dlls = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: x["dll"])))
+    entries = F.transform(dlls, lambda d: F.struct(d.alias("dll"), F.array_sort(
+        F.transform(F.filter(pairs, lambda x: x["dll"] == d), lambda x: x["token"])).alias("funcs")))
+    return F.when(F.size(pairs) > 0, F.map_from_entries(entries))

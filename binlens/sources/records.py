@@ -8,7 +8,7 @@ rules are rendered as SQL for the DuckDB twins (``RULES_SQL``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records as rec
@@ -54,17 +54,94 @@ def _struct(rules):
     return F.struct(*[_spark_expr(e).alias(n) for n, e in rules])
 
 
+def _line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem ⋈ orders (⟕ part) with the columns of every long view of a line.
+
+    The record builders below take all per-file lists from this one frame in a
+    single ``groupBy(file_id)``: one shuffle of the lines instead of one per view.
+    Expressions are the ones of the fixture views (v_sections, v_imports, v_pairs, v_sigs).
+    """
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    x = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"], "left")
+    rf, ls, q = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity")
+    name = (F.when((rf == "A") & (ls == "F"), ".text").when(rf == "A", ".data")
+             .when((rf == "N") & (ls == "F"), "UPX0").when(rf == "N", ".itext")
+             .when(ls == "F", " .RSRC ").otherwise(".foo"))
+    dll = F.expr("CASE l_suppkey % 7 WHEN 0 THEN 'USER32.dll' WHEN 1 THEN 'KERNEL32.dll' "
+                 "WHEN 2 THEN 'VCRUNTIME140.dll' WHEN 3 THEN 'gdi32.dll' "
+                 "WHEN 4 THEN 'api-ms-win-crt-heap-l1-1-0.dll' WHEN 5 THEN 'ADVAPI32.dll' ELSE 'ws2_32.dll' END")
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    return x.select(
+        F.col("o_orderkey").alias("file_id"), F.col("l_linenumber").alias("ord"),
+        name.alias("name"),
+        F.when(q < 4, F.lit(0)).otherwise(F.floor("l_extendedprice")).cast("long").alias("size"),
+        F.floor(F.col("l_extendedprice") / 2).cast("long").alias("vsize"),
+        (q * 8 / 50).alias("entropy"),
+        flag(F.col("l_discount") >= 0.05).alias("mem_execute"), flag(F.col("l_tax") >= 0.04).alias("mem_write"),
+        flag(q >= 5).alias("mem_read"),
+        F.col("p_partkey").isNotNull().alias("has_part"), dll.alias("dll"),
+        F.when(F.col("l_partkey") % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("p_name")).alias("func"),
+        F.col("l_partkey").alias("ordinal"), F.col("l_partkey").alias("compid"),
+        q.cast("long").alias("cnt"), "l_suppkey", "l_partkey",
+        flag(F.col("l_discount") == 0).alias("no_program_name"), flag(F.col("l_tax") == 0).alias("no_countersigner"),
+        q.cast("long").alias("n_certs"), flag(F.col("l_partkey") % 13 == 0).alias("self_signed"),
+        F.unix_timestamp("l_shipdate").cast("long").alias("signing_time"),
+        F.unix_timestamp("o_orderdate").cast("long").alias("pe_timestamp"))
+
+
+def _props() -> Column:
+    return F.filter(F.array(
+        F.when(F.col("mem_execute") == 1, F.lit("MEM_EXECUTE")),
+        F.when(F.col("mem_write") == 1, F.lit("MEM_WRITE")),
+        F.when(F.col("mem_read") == 1, F.lit("MEM_READ"))), lambda p: p.isNotNull())
+
+
+def _file_lists(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
+    """One row per file with every list of its raw record (layout 'A' or 'B')."""
+    lines = rec_tokens(_line_columns(spark, sf_dir))
+    if layout == "A":
+        sec = F.struct("ord", "name", "size", "vsize", "entropy", _props().alias("props"))
+    else:
+        sec = F.struct("ord", F.lower("name").alias("name"), "size", "vsize", "entropy",
+                       (F.col("ord").cast("long") * 4096).alias("virtual_address"), _props().alias("props"))
+    imp = F.when(F.col("has_part"), F.struct("dll", "token"))
+    exp = (F.when(F.col("has_part") & F.col("func").isNotNull(), F.col("func")) if layout == "A"
+           else F.when(F.col("has_part"), F.col("etoken")))
+    agg = lines.groupBy("file_id").agg(
+        F.sort_array(F.collect_list(sec)).alias("_secs"),
+        F.collect_list(imp).alias("_imps"),
+        (F.sort_array(F.collect_set(exp)) if layout == "A" else F.sort_array(F.collect_list(exp))).alias("_exps"),
+        F.sort_array(F.collect_list(F.struct("ord", "compid", "cnt"))).alias("_pairs"),
+        *rec.signature_aggs(["ord", "l_partkey", "l_suppkey"]))
+    from ..operators.vector import AUTH_FIELDS
+    return agg.select(
+        "file_id", "_secs",
+        rec.imports_from_pairs(F.col("_imps")).alias("imports"),
+        F.when(F.size("_exps") > 0, F.col("_exps")).alias("exports"),
+        F.flatten(F.transform("_pairs", lambda q: F.array(q["compid"].cast("long"), q["cnt"].cast("long"))))
+         .alias("richheader"),
+        F.struct(*[F.col(c) for c in AUTH_FIELDS]).alias("authenticode"))
+
+
+def rec_tokens(lines: DataFrame) -> DataFrame:
+    """Import token (name or dll:ordinalN) and export token (name or ordinalN) per line."""
+    ok = F.col("func").isNotNull() & (F.length("func") > 0)
+    return lines.withColumn("token", F.when(ok, F.substring("func", 1, 10000))
+                            .otherwise(F.concat(F.col("dll"), F.lit(":ordinal"), F.col("ordinal").cast("string")))) \
+                .withColumn("etoken", F.when(ok, F.substring("func", 1, 10000))
+                            .when(F.col("ordinal").isNotNull(), F.concat(F.lit("ordinal"), F.col("ordinal").cast("string"))))
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, label, general, header, section, datadirectories, imports, exports,
     richheader, authenticode, pefilewarnings — layout A."""
     o = table(spark, sf_dir, "orders")
-    secs = rec.section_list(view(spark, sf_dir, "v_sections"))
-    sym = view(spark, sf_dir, "v_imports")
-    imps = rec.import_map(sym)
-    exps = rec.export_list(sym)
-    rich = rec.rich_list(view(spark, sf_dir, "v_pairs"))
-    auth = rec.signature_rollup(view(spark, sf_dir, "v_sigs"), order=["ord", "l_partkey", "l_suppkey"])
-    auth = auth.select("file_id", F.struct(*[c for c in auth.columns if c != "file_id"]).alias("authenticode"))
+    lists = _file_lists(spark, sf_dir, "A")
+    lists = lists.withColumn("sections", F.transform("_secs", lambda x: F.struct(
+        x["name"].alias("name"), x["size"].alias("size"), x["entropy"].alias("entropy"),
+        x["vsize"].alias("vsize"), x["props"].alias("props")))).drop("_secs")
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("file_id"), F.split(F.col("text"), r"\. ").alias("pefilewarnings"))
 
@@ -80,13 +157,9 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                            lambda i: (size_key * (i + 1) % 3) * 100,
                            lambda i: (size_key + i) * 4096).alias("datadirectories"),
     )
-    out = (base.join(secs.withColumnRenamed("file_id", "file_id"), "file_id", "left")
-               .join(imps, "file_id", "left")
-               .join(exps, "file_id", "left")
-               .join(rich, "file_id", "left")
-               .join(auth, "file_id", "left")
-               .join(docs, "file_id", "left"))
-    empty_secs = F.array().cast(secs.schema["sections"].dataType)
+    # the per-file lists come out of one groupBy(file_id): a single key join
+    out = base.join(lists, "file_id", "left").join(docs, "file_id", "left")
+    empty_secs = F.array().cast(lists.schema["sections"].dataType)
     return out.select(
         "file_id", "label", "general", "header",
         F.struct(F.lit("").alias("entry"), F.coalesce(F.col("sections"), empty_secs).alias("sections"),
@@ -147,23 +220,11 @@ def raw_records_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = table(spark, sf_dir, "orders")
     fsize = _spark_expr(B_FILE_SIZE)
-    s = view(spark, sf_dir, "v_sections").withColumn("virtual_address", F.col("ord").cast("long") * 4096)
-    props = F.filter(F.array(
-        F.when(F.col("mem_execute") == 1, F.lit("MEM_EXECUTE")),
-        F.when(F.col("mem_write") == 1, F.lit("MEM_WRITE")),
-        F.when(F.col("mem_read") == 1, F.lit("MEM_READ"))), lambda p: p.isNotNull())
-    secs = rec.collect_sorted(s.withColumn("props", props).withColumn("name", F.lower("name")), "file_id",
-                              ["ord", "name", "size", "vsize", "entropy", "virtual_address", "props"], "_s")
-    secs = secs.select("file_id", F.transform("_s", lambda x: F.struct(
+    lists = _file_lists(spark, sf_dir, "B")
+    lists = lists.withColumn("sections", F.transform("_secs", lambda x: F.struct(
         x["name"].alias("name"), x["size"].alias("size"), x["entropy"].alias("entropy"),
         x["vsize"].alias("vsize"), x["virtual_address"].alias("virtual_address"),
-        x["props"].alias("props"))).alias("sections"))
-    sym = view(spark, sf_dir, "v_imports")
-    imps = rec.import_map(sym)
-    exps = rec.export_tokens(sym).groupBy("file_id").agg(F.sort_array(F.collect_list("token")).alias("exports"))
-    rich = rec.rich_list(view(spark, sf_dir, "v_pairs"))
-    auth = rec.signature_rollup(view(spark, sf_dir, "v_sigs"), order=["ord", "l_partkey", "l_suppkey"])
-    auth = auth.select("file_id", F.struct(*[F.col(c) for c in vec.AUTH_FIELDS]).alias("authenticode"))
+        x["props"].alias("props")))).drop("_secs")
 
     size_key = F.col("o_orderkey") % 5
     dirs = rec.directory_list((F.col("o_custkey") % 16 + 1).cast("int"),
@@ -200,9 +261,8 @@ def raw_records_b(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.when(ov_size > 0, (F.col("o_custkey") % 80) / 10.0).otherwise(0.0).alias("entropy"))
          .alias("_overlay"),
     )
-    out = (base.join(secs, "file_id", "left").join(imps, "file_id", "left").join(exps, "file_id", "left")
-               .join(rich, "file_id", "left").join(auth, "file_id", "left"))
-    empty = F.array().cast(secs.schema["sections"].dataType)
+    out = base.join(lists, "file_id", "left")
+    empty = F.array().cast(lists.schema["sections"].dataType)
     sections = vec.section_ratios(F.coalesce(F.col("sections"), empty), F.col("_fsize"))
     return out.select(
         "file_id", "label", "general", "header",
