@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +63,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                     dir=os.environ.get("BINLENS_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``binlens`` importable in the Python workers (Arrow UDFs, mapInPandas).
+
+    On a cluster the package is normally shipped with ``--py-files``; here a zip of
+    it is added to the context once (Spark distributes it to every executor).
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_binlens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="binlens-pkg-"), "binlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._binlens_shipped = True
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table in the folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df, name: str):
+    """Write ``df`` once to the shared folder and return the reread table.
+
+    Later uses read the same rows whatever is retried or lost, and Spark plans
+    joins with the true size of the table.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
