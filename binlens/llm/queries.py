@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .exact_dedup import exact_dedup
+from .langid import predict_language, train_language
 from .line_dedup import line_dedup
+from .quality import quality_score, train_quality
 from .rendezvous import shard
-from .text import whole
+from .simhash import simhash_components
+from .text import hash_bits, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +70,28 @@ def op4(spark, sf_dir):
         F.crc32(whole("text").cast("binary")).alias("text_crc32"))
     out = shard(docs, weights=(1.0,) * 8, carry=("size", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@register("op5_simhash_near_dedup")
+def op5(spark, sf_dir):
+    """Components of whole texts whose fingerprints of 3-word shingles differ in 3 bits or fewer."""
+    return simhash_components(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+
+
+@register("op8_quality_classifier")
+def op8(spark, sf_dir):
+    """Quality of every text by trees fitted on labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(hash_bits(F.col("doc_id"), 4) != 2)
+    model = train_quality(docs, labels, max_rows=20_000)
+    out = docs.select("doc_id", (hash_bits(F.col("doc_id"), 4) == 2).alias("held_out"), quality_score(model, F.col("text")).alias("score"))
+    return out.select("*", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register("op10_language_id")
+def op10(spark, sf_dir):
+    """Language of every whole text by a byte network trained outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_language(docs.where(hash_bits(F.col("doc_id"), 4) != 2), max_rows=4000)
+    out = docs.select("doc_id", (hash_bits(F.col("doc_id"), 4) == 2).alias("held_out"), predict_language(model, F.col("text")).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
