@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shared_path
 from .exact_dedup import exact_dedup
 from .langid import predict_language, train_language
 from .line_dedup import line_dedup
@@ -15,6 +15,7 @@ from .quality import quality_score, train_quality
 from .rendezvous import shard
 from .simhash import simhash_components
 from .text import hash_bits, whole
+from .token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +96,12 @@ def op10(spark, sf_dir):
     model = train_language(docs.where(hash_bits(F.col("doc_id"), 4) != 2), max_rows=4000)
     out = docs.select("doc_id", (hash_bits(F.col("doc_id"), 4) == 2).alias("held_out"), predict_language(model, F.col("text")).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@register("op6_token_files")
+def op6(spark, sf_dir):
+    """Every text's ids written to files of shuffled planes, and summed up from the files."""
+    docs = table(spark, sf_dir, "documents")
+    path = shared_path(spark, "token-files")
+    write_token_files(docs, path, vocabulary="byte_bpe_50k.json", end_id=2)
+    return read_token_files(spark.read.parquet(f"{path}/ids"))
