@@ -11,6 +11,7 @@ from ..session import ensure_checkpoint_dir, shared_path
 from .exact_dedup import exact_dedup
 from .langid import predict_language, train_language
 from .line_dedup import line_dedup
+from .mixing import mix
 from .quality import quality_score, train_quality
 from .rendezvous import shard
 from .simhash import simhash_components
@@ -105,3 +106,10 @@ def op6(spark, sf_dir):
     path = shared_path(spark, "token-files")
     write_token_files(docs, path, vocabulary="byte_bpe_50k.json", end_id=2)
     return read_token_files(spark.read.parquet(f"{path}/ids"))
+
+
+@register("op7_mixing")
+def op7(spark, sf_dir):
+    """Sources weighing 3, 1, 2 in turn, 150 % of all words, documents twice at most."""
+    out = mix(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
