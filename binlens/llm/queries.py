@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shared_path
+from .decontaminate import UNITS, find_leaks
 from .exact_dedup import exact_dedup
 from .langid import predict_language, train_language
 from .line_dedup import line_dedup
 from .mixing import mix
+from .pitman_yor import pitman_yor_scores
 from .quality import quality_score, train_quality
 from .rendezvous import shard
 from .simhash import simhash_components
@@ -113,3 +115,47 @@ def op7(spark, sf_dir):
     """Sources weighing 3, 1, 2 in turn, 150 % of all words, documents twice at most."""
     out = mix(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def _template_sql(table: str, key: str) -> str:
+    """Tokens of a table's texts: key, pos, plain, template (the rules of decontaminate.py, token by token)."""
+    units = "|".join(UNITS)
+    return rf"""
+{table}_raw AS (SELECT * FROM (SELECT {key}, unnest(ts) AS raw, generate_subscripts(ts, 1) AS p FROM (
+  SELECT {key}, string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') AS ts FROM {table})) WHERE raw <> ''),
+{table}_core AS (SELECT *, lag(raw) OVER (PARTITION BY {key} ORDER BY p) AS before,
+  translate(regexp_replace(regexp_replace(raw, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS plain FROM {table}_raw),
+{table}_typed AS (SELECT {key}, p, plain, CASE WHEN regexp_matches(raw, '^\p{{Lu}}\p{{Ll}}+[^\p{{L}}\p{{N}}]*$') AND regexp_matches(before, '[^.!?:]$') THEN '<name>'
+  WHEN regexp_full_match(plain, '[0-9][0-9.,:/-]*({units})?') THEN '<number>' ELSE plain END AS kind FROM {table}_core WHERE plain <> ''),
+{table}_t AS (SELECT {key}, row_number() OVER w - 1 AS pos, plain,
+  CASE WHEN kind = plain AND lag(kind) OVER w = '<number>' AND regexp_full_match(plain, '{units}') THEN '<unit>' ELSE kind END AS template FROM {table}_typed WINDOW w AS (PARTITION BY {key} ORDER BY p)),
+{table}_w AS (SELECT {key}, pos, {" || ' ' || ".join(f"lead(template, {k}) OVER w" for k in range(8))} AS win FROM {table}_t WINDOW w AS (PARTITION BY {key} ORDER BY pos))"""
+
+
+@register("op9_decontamination", f"""
+WITH {_template_sql("documents", "doc_id")},{_template_sql("benchmark", "item_id")},
+met AS (SELECT doc_id, item_id, b.pos AS ipos, d.pos - b.pos AS off FROM documents_w d JOIN benchmark_w b ON d.win = b.win),
+cells AS (SELECT DISTINCT doc_id, item_id, off, ipos + k AS ipos FROM met, range(8) r(k)),
+sides AS (SELECT c.*, b.template AS it, b.plain AS ip, d.plain AS dp FROM cells c JOIN benchmark_t b ON b.item_id = c.item_id AND b.pos = c.ipos
+  JOIN documents_t d ON d.doc_id = c.doc_id AND d.pos = c.ipos + c.off),
+slots AS (SELECT doc_id, item_id, off, it, ip, count(*) AS n, count(DISTINCT dp) AS v, count(*) FILTER (WHERE ip <> dp) AS ch,
+  it IN ('<name>', '<number>', '<unit>') AS s FROM sides GROUP BY ALL),
+judged AS (SELECT doc_id, item_id, off, sum(CASE WHEN s THEN 0 ELSE n END) AS literals, sum(CASE WHEN s THEN n ELSE 0 END) AS n_slots,
+  sum(CASE WHEN s THEN ch ELSE 0 END) AS n_changed FROM slots GROUP BY ALL HAVING sum(CASE WHEN s AND v > 1 THEN 1 ELSE 0 END) = 0),
+sized AS (SELECT doc_id, item_id, off, count(DISTINCT ipos) AS n_windows FROM met GROUP BY ALL),
+items AS (SELECT item_id, count(*) - 7 AS item_windows FROM benchmark_t GROUP BY 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_changed, n_slots DESC) AS r
+  FROM judged JOIN sized USING (doc_id, item_id, off) WHERE literals >= 4 OR n_changed = 0)
+SELECT doc_id, item_id, n_windows, item_windows, n_slots::BIGINT AS n_slots, n_changed::BIGINT AS n_changed FROM ranked JOIN items USING (item_id) WHERE r = 1
+""")
+def op9(spark, sf_dir):
+    """Benchmark items found in documents: a row per document and item."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=8)
+    return leaks.select(F.col("id").alias("doc_id"), "item_id", "n_windows", "item_windows", "n_slots", "n_changed")
+
+
+@register("op2_pitman_yor")
+def op2(spark, sf_dir):
+    """Every text's log10 probability by a model learned from nine tenths of the texts."""
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor_scores(docs, hash_bits(F.col("doc_id"), 10) == 0, share=1 / 2000)
