@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .text import lower_az, whole
+from .text import lower_az, row_key, whole
 
 # Placeholders (private-use characters) and units of measure.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
@@ -61,6 +61,13 @@ def window_hashes(tokens: Column, n_tokens: Column, window: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(window)]))
 
 
+_KEY = "_leaking_row_key"
+
+
+def _whole_version(text_col: str) -> Column:
+    return F.xxhash64(whole(text_col), F.length(whole(text_col)))
+
+
 def _windows(df: DataFrame, keys: list[str], window: int) -> DataFrame:
     """``keys, pos, h`` of every window of ``text``."""
     hashed = df.select(*keys, F.transform(template_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("t"))
@@ -81,7 +88,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     one item id with several texts has the windows of all. Empty tables give an empty result.
     """
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    base = base.select("id", F.xxhash64("text", F.length("text")).alias("version"), "text")
+    base = base.select("id", _whole_version("text").alias("version"), "text")
     items = (benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), whole(item_text_col).alias("text"))
              .distinct().withColumn("tokens", F.size(template_tokens(F.col("text")))).where(F.col("tokens") >= min_literals))
     items = materialise(items.withColumn("copy", F.xxhash64("text")), "items")
@@ -146,7 +153,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that no row of ``leaks`` names."""
-    text = whole(text_col)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text, F.length(text)).alias("version")).alias("r")
-    out = leaks.select("id", "version").distinct().alias("l")
-    return rows.join(out, F.col("r.id").eqNullSafe(F.col("l.id")) & (F.col("r.version") == F.col("l.version")), "left_anti").select("row.*")
+    rows = docs.withColumn(_KEY, row_key(F.col(id_col), _whole_version(text_col)))
+    out = leaks.select(row_key(F.col("id"), F.col("version")).alias(_KEY)).distinct()
+    return rows.join(out, _KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

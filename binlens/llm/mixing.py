@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .text import row_key, text_version
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 _TINY = 1e-9
@@ -102,9 +103,13 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, m
     return ranked.select("source", "n", "source_size", "rank", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
+def _version(text_col: str, source_col: str):
+    return F.xxhash64(text_version(text_col), F.col(source_col).cast("string"), F.col(source_col).isNull())
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3.0, 1.0, 2.0),
         share: float = 1.5, most: float = 2.0, rows_per_group: int = 4096) -> DataFrame:
-    """One row per input row: ``id, version, nth`` (``version``: a hash of the text; ``nth``: a number among
+    """One row per input row: ``id, version, nth`` (``version``: a hash of text and source; ``nth``: a number among
     rows that agree in both), ``size, source_size, target, copies``.
 
     A null text has no words, a null source is a source of its own and the last. A row without
@@ -114,9 +119,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """
     if not 0 <= share <= most:
         raise ValueError("the share must lie between 0 and the most that sources give")
-    light = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull()).alias("version"),
+    light = df.select(F.col(id_col).alias("id"), _version(text_col, source_col).alias("version"),
                       F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    nth = F.row_number().over(Window.partitionBy("id", "version").orderBy("source"))
+    nth = F.row_number().over(Window.partitionBy("id", "version").orderBy("size"))
     rows = materialise(light.withColumn("nth", nth.cast("long")).withColumn("h", F.xxhash64("id", "version", "nth")), "rows")
     targets = source_targets(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, share, most)
     targets = materialise(targets, "targets")
@@ -161,10 +166,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def take_copies(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``df``, each as often as ``mixed`` (of the same rows) says, with the columns of ``df``."""
-    version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), version.alias("version"), F.col(source_col).cast("string").alias("source"))
-    nth = F.row_number().over(Window.partitionBy("id", "version").orderBy("source"))
-    d, m = rows.withColumn("nth", nth.cast("long")).alias("d"), mixed.where("copies > 0").alias("m")
-    same = F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.version") == F.col("m.version")) & (F.col("d.nth") == F.col("m.nth"))
-    return d.join(m, same).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("d.row.*")
+    """The rows of ``df``, each as often as ``mixed`` (of the same rows) says, with the columns of ``df``.
+
+    Rows that agree in id, text and source share their copies out evenly.
+    """
+    copies = mixed.groupBy(row_key(F.col("id"), F.col("version")).alias("key")).agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    rows = df.select(F.struct("*").alias("row"), row_key(F.col(id_col), _version(text_col, source_col)).alias("key"))
+    # Merged at any size: the rows are moved once, and lie by key for numbering those that agree.
+    both = rows.join(copies.where("all > 0").hint("merge"), "key")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("rows"))
+    own = F.floor(F.col("all") / F.col("rows")) + (F.col("nth") <= F.col("all") % F.col("rows")).cast("long")
+    both = both.withColumn("nth", nth).withColumn("own", own).where("own > 0")
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "own"))).select("row.*")

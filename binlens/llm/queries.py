@@ -79,7 +79,7 @@ def op4(spark, sf_dir):
 @register("op5_simhash_near_dedup")
 def op5(spark, sf_dir):
     """Components of whole texts whose fingerprints of 3-word shingles differ in 3 bits or fewer."""
-    return simhash_components(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+    return simhash_components(table(spark, sf_dir, "documents"), words=3, max_bits=3).select("doc_id", "fingerprint", "component_id")
 
 
 @register("op8_quality_classifier")

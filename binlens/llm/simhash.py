@@ -1,7 +1,7 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints: bit i is set when more than half of a text's shingle hashes have it; computed in
-Arrow batches, shingle by shingle in bounded chunks, and written once (16 bytes a row).
+Arrow batches, shingle by shingle in bounded chunks, and written once (24 bytes a row).
 
 Links: equal fingerprints are one node, so copies cost nothing from here on. Two fingerprints
 with at most ``d`` differing bits have at most ``d // blocks`` of them in one of ``blocks`` equal
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import connected_components
+from .text import row_key, text_version
 
 _CHUNK = 1 << 15
 
@@ -51,14 +52,14 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``id, fp`` per row (``fp`` the fingerprint's 64 bits as a signed long); null texts count as empty."""
+    """``id, version, fp`` per row (``version`` a hash of the text, ``fp`` the fingerprint's 64 bits as a signed long); null texts count as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t or b"", words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), pa.array(fps.view(np.int64))], names=["id", "version", "fp"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    rows = df.select(F.col(id_col).alias("id"), text_version(text_col).alias("version"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, fp long")
 
 
 class HammingBlock:
@@ -138,13 +139,13 @@ def links(fps: DataFrame, max_bits: int = 3, blocks: int = 2) -> DataFrame:
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row per input row: ``id_col, fingerprint`` (16 hex digits), ``component_id``.
+    """One row per input row: ``id_col, fingerprint`` (16 hex digits), ``component_id``, ``version, root``.
 
     ``component_id`` is the smallest id in the row's component of links, itself included. Shingles
     are ``words`` words with repeats; fewer words are one shingle; a text without words (or null)
     has fingerprint 0 and is linked like any other. Rows that repeat an id or a text lie in one
     component. A null id counts only where its component has no other: then ``component_id`` is
-    null. An empty table gives an empty result. Other columns are not read.
+    null, and ``root`` (a fingerprint of the component) still tells components apart. An empty table gives an empty result. Other columns are not read.
     """
     fps = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
@@ -152,5 +153,19 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = rooted.join(least, "root").select("fp", "root", "component_id")
+    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "version", "root")
+
+
+def keep_one_of_each(df: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` (all columns) that stay when one of each of its ``components`` does.
+
+    That is the row of the smallest id (null last), then of the smallest text hash; of rows that
+    agree in both, any one.
+    """
+    best = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "version")).alias("x")
+    keep = components.groupBy("root").agg(best).select(row_key(F.col("x.id"), F.col("x.version")).alias("key"))
+    rows = df.select(F.struct("*").alias("row"), row_key(F.col(id_col), text_version(text_col)).alias("key"))
+    # Merged at any size, so that the rows are moved once and lie by key for the next step.
+    kept = rows.join(keep.hint("merge"), "key", "left_semi")
+    return kept.groupBy("key").agg(F.first("row").alias("row")).select("row.*")

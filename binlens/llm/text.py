@@ -25,3 +25,13 @@ def lower_az(text: Column) -> Column:
 def hash_bits(col: Column, modulus: int) -> Column:
     """crc32 of a value written as text, modulo ``modulus``; null counts as empty."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def text_version(text_col: str) -> Column:
+    """A 64-bit hash that tells texts (and null) apart, beside an id."""
+    return F.xxhash64(whole(text_col), F.length(whole(text_col)), F.col(text_col).isNull())
+
+
+def row_key(id_: Column, version: Column) -> Column:
+    """Id and version as one text that is never null, so that plain equality joins rows with null ids."""
+    return F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("null")), version.cast("string"))
