@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_totals
+
 # Threshold grids of the training, fine-tuning and evaluation scripts.
 GRID_TRAIN = [0.95, 0.90, 0.85, 0.80, 0.75, 0.70, 0.65, 0.60, 0.55, 0.50,
               0.45, 0.40, 0.35, 0.30, 0.25, 0.20, 0.15, 0.10]
@@ -133,34 +134,20 @@ def metric_logloss(df: DataFrame, label: str = "label", score: str = "score",
     return df.agg(F.avg(ll).alias("logloss"), F.count(F.lit(1)).alias("n"))
 
 
-def metric_auc(df: DataFrame, label: str = "label", score: str = "score",
-               n_buckets: int = 1024) -> DataFrame:
+def metric_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC AUC with tie mid-ranks.
 
     AUC = sum_s pos(s) * (neg(<s) + neg(s)/2) / (n_neg * n_pos) over distinct
-    scores s. The cumulative ``neg(<s)`` is computed in two levels so that no
-    task ever sees all distinct scores: (1) distinct scores are cut into
-    <= ``n_buckets`` quantile buckets; (2) a tiny table of per-bucket totals
-    gives each bucket its offset; (3) a window partitioned by bucket does the
-    local cumulative sum.
+    scores s. One scan counts labels per distinct score; ``neg(<s)`` is the running
+    total over that table, whose sorted partitions no task exceeds.
     """
     per_score = (df.select(F.col(score).cast("double").alias("s"), F.col(label).alias("_y"))
                    .groupBy("s")
                    .agg(F.count_if(F.col("_y") == 0).alias("neg"),
                         F.count_if(F.col("_y") == 1).alias("pos")))
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = per_score.agg(F.percentile_approx("s", qs, 10000).alias("b")).first()["b"] or []
-    splits = [float("-inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="s", outputCol="bucket").transform(per_score)
-    totals = bucketed.groupBy("bucket").agg(F.sum("neg").alias("bneg"))
-    wo = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("off", F.coalesce(F.sum("bneg").over(wo), F.lit(0))).select("bucket", "off")
-    wl = Window.partitionBy("bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    contrib = (bucketed.join(F.broadcast(offsets), "bucket")
-               .withColumn("below", F.col("off") + F.coalesce(F.sum("neg").over(wl), F.lit(0)))
-               .select((F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("c"),
-                       "neg", "pos"))
-    agg = contrib.agg(F.sum("c").alias("num"), F.sum("neg").alias("n_neg"), F.sum("pos").alias("n_pos"))
+    below = running_totals(per_score, "s", ["neg"])
+    agg = below.agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("num"),
+                    F.sum("neg").alias("n_neg"), F.sum("pos").alias("n_pos"))
     return agg.select(
         F.try_divide(F.col("num"), F.col("n_neg") * F.col("n_pos")).alias("auc"),
         F.col("n_neg").cast("long").alias("n_neg"), F.col("n_pos").cast("long").alias("n_pos"))

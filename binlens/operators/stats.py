@@ -4,8 +4,8 @@ Every statistic is a single scan with partial aggregation. Correlations use
 central co-moments (``covar_pop``/``var_pop``, merged pairwise across
 partitions, numerically stable) and ``try_divide`` so a constant column gives
 NULL instead of an ANSI divide-by-zero. Quantiles are exact but never pull a
-class into one task: ranks come from a range-partitioned sort
-(:func:`binlens.operators.ordering.ordinal`).
+class or a value into one task: rows are counted per distinct value first, and ranks
+are running totals of those counts (:func:`binlens.operators.ordering.running_totals`).
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import ordinal
+from ..session import materialise
+from .ordering import running_totals
 
 # Feature groups of the exploratory report.
 FAST_PREFIXES = ("gen_", "hdr_", "sec_", "datadir_")
@@ -181,28 +182,29 @@ def histogram_by_class(df: DataFrame, col: str, label: str = "label", bins: int
 def exact_quantiles(df: DataFrame, value: str, group: str, qs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles per group (pandas/numpy default), exact.
 
-    Ranks come from a range-partitioned sort; only the <= 2*len(qs) rows per
-    group that bracket each quantile are joined back.
+    Values are counted per (group, value), so a value that most rows have is one
+    row of the ranked table; a quantile's neighbours are the values whose range of
+    ranks holds them. One job writes the counted table.
     """
-    spark = df.sparkSession
-    base = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")) \
-             .filter(F.col("_v").isNotNull())
-    ranked = ordinal(base, ["_v"], out="_r", partition_by=["_g"])
-    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    counted = (df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+               .filter(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    ranked = running_totals(counted, "_v", ["_c"], partition_by=["_g"])
+    sizes = counted.groupBy(F.col("_g").alias("_tg")).agg(F.sum("_c").alias("_n"))
     qarr = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
     pos = F.col("q") * (F.col("_n") - 1)
-    targets = (sizes.select("_g", "_n", F.explode(qarr).alias("_q")).select("_g", "_n", "_q.qi", "_q.q")
+    targets = (sizes.select("_tg", "_n", F.explode(qarr).alias("_q")).select("_tg", "_n", "_q.qi", "_q.q")
                     .withColumn("frac", pos - F.floor(pos))
-                    .withColumn("lo", F.floor(pos).cast("long") + 1)
-                    .withColumn("hi", F.ceil(pos).cast("long") + 1))
-    wanted = targets.select("_g", "qi", "q", "frac",
-                            F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lo").alias("_r")),
-                                              F.struct(F.lit(1).alias("side"), F.col("hi").alias("_r"))))
-                            .alias("t")).select("_g", "qi", "q", "frac", "t.side", "t._r")
-    hit = ranked.join(F.broadcast(wanted), ["_g", "_r"])
-    res = hit.groupBy("_g", "qi", "q", "frac").agg(
-        F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("vlo"),
-        F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("vhi"))
+                    .withColumn("lo", F.floor(pos).cast("long"))
+                    .withColumn("hi", F.ceil(pos).cast("long")))
+    # a value holds the ranks [_c_before, _c_before + _c); all targets of its group are met in its row
+    per_group = targets.groupBy("_tg").agg(F.collect_list(F.struct("qi", "q", "frac", "lo", "hi")).alias("_t"))  # len(qs) each
+    holds = lambda r: (r >= F.col("_c_before")) & (r < F.col("_c_before") + F.col("_c"))
+    hit = (ranked.join(per_group, F.col("_g").eqNullSafe(F.col("_tg")))
+           .select("_g", "_v", "_c_before", "_c", F.explode("_t").alias("t"))
+           .filter(holds(F.col("t.lo")) | holds(F.col("t.hi"))))
+    res = hit.groupBy("_g", F.col("t.qi").alias("qi"), F.col("t.q").alias("q"), F.col("t.frac").alias("frac")).agg(
+        F.max(F.when(holds(F.col("t.lo")), F.col("_v"))).alias("vlo"),
+        F.max(F.when(holds(F.col("t.hi")), F.col("_v"))).alias("vhi"))
     return res.select(F.col("_g").alias(group), "q",
                       (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value"))
 
@@ -227,16 +229,18 @@ def class_quartiles(df: DataFrame, col: str, label: str = "label") -> DataFrame:
 
 
 def discrete_distribution(df: DataFrame, col: str, label: str = "label") -> DataFrame:
-    """Share of each integer value 0..max+1 within each class (gaps are 0)."""
-    spark = df.sparkSession
+    """Share of each integer value 0..max+1 within each class (gaps are 0).
+
+    One scan; the range comes from the counted table. Negative values count in a
+    class's total but have no row.
+    """
     v = F.floor(F.col(col).cast("double")).cast("long")
-    mx = df.agg(F.max(v).alias("m")).first()["m"]
-    top = int(mx) + 2 if mx is not None else 1
     counts = df.groupBy(F.col(label).alias("label"), v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    totals = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("tot"))
-    dim = (spark.range(0, top).select(F.col("id").alias("value"),
-                                      F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
-                .join(F.broadcast(totals), "label"))
+    counts = materialise(counts, "counts")
+    totals = counts.groupBy("label").agg(F.sum("n").alias("tot"), F.max("value").alias("mx"))
+    top = F.greatest(F.coalesce(F.max("mx").over(Window.partitionBy(F.lit(0))) + 1, F.lit(0)), F.lit(0))  # one row per class
+    dim = (totals.withColumn("top", top.cast("long")).filter(F.col("label").isin(0, 1))
+           .select("label", "tot", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("value")))
     return (dim.join(counts, ["label", "value"], "left").na.fill(0, ["n"])
                .select("label", "value",
                        F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("tot").cast("double")),

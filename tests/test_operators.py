@@ -16,7 +16,7 @@ from binlens.operators import evaluate as ev
 from binlens.operators import flat as fl
 from binlens.operators import stats as st
 from binlens.operators import vector as vec
-from binlens.operators.ordering import ordinal
+from binlens.operators.ordering import hash_key, hash_ordinal, running_totals
 
 from conftest import SF_SMALL
 
@@ -169,7 +169,7 @@ def test_auc_matches_rank_formula(spark):
     y = rng.integers(0, 2, 500)
     s = np.round(rng.random(500), 2)  # many ties
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label int, score double")
-    got = ev.metric_auc(df, n_buckets=8).first()["auc"]
+    got = ev.metric_auc(df).first()["auc"]
     order = np.argsort(s, kind="mergesort")
     ranks = np.empty(500)
     ranks[order] = np.arange(1, 501)
@@ -197,15 +197,23 @@ def test_split_disjoint_complete_and_stratified(spark):
         assert a.filter((F.col("label") == lab) & (F.col("split") == "val")).count() == math.ceil(0.15 * n)
 
 
-def test_ordinal_global_and_grouped(spark):
-    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("g"))
-    r = ordinal(df.repartition(5), ["k"], out="o").orderBy("k").select("o").collect()
+def test_hash_ordinal_global_and_grouped(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g")).withColumn("h", hash_key(1, "k"))
+    r = hash_ordinal(df.repartition(5), "h", "k", out="o", digits=2).orderBy("h").select("o").collect()
     assert [x["o"] for x in r] == list(range(1, 1001))
-    g = ordinal(df, ["k"], out="o", partition_by=["g"]).groupBy("g").agg(F.min("o"), F.max("o"), F.count("*"))
+    g = hash_ordinal(df, "h", "k", out="o", partition_by=["g"], digits=1).groupBy("g").agg(F.min("o"), F.max("o"), F.count("*"))
     for row in g.collect():
         assert row[1] == 1 and row[2] == row[3]
 
 
+def test_running_totals_global_and_grouped(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"), (F.col("id") % 3).alias("g"), (F.col("id") % 5).alias("n"))
+    rows = [(r.v, r.g, r.n) for r in df.collect()]
+    for by in ([], ["g"]):
+        for r in running_totals(df.repartition(4), "v", ["n"], partition_by=by).collect():
+            assert r.n_before == sum(n for v, g, n in rows if v < r.v and (not by or g == r.g))
+
+
 def test_dropout_zeroes_groups_as_a_unit(spark):
     df = spark.range(2000).select(F.col("id").alias("k"), F.lit(3).alias("imp_available"),
                                   F.lit(4).alias("imp_dll_count"), F.lit(5).alias("exp_count"))
