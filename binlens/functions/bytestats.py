@@ -85,9 +85,43 @@ def printable_char_counts(strings: pd.Series) -> pd.Series:
     return strings.map(_char_counts)
 
 
+def _moment_state(n, mean, m2, m3) -> Column:
+    return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"), m3.alias("m3"))
+
+
+def moments(values: Column) -> Column:
+    """``struct(n, mean, m2, m3)`` of an array of doubles: size, mean and sums of 2nd and 3rd powers of
+    deviations, in one pass over the array (Welford's updates; nothing outside the lambda is evaluated per element)."""
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        delta = x - acc["mean"]
+        part = delta / n
+        term = delta * part * acc["n"]
+        return _moment_state(n, acc["mean"] + part, acc["m2"] + term,
+                             acc["m3"] + term * part * (n - 2.0) - part * acc["m2"] * 3.0)
+
+    zero = F.lit(0.0)
+    return F.aggregate(values, _moment_state(zero, zero, zero, zero), step)
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def entropy_of_counts(counts: Column, total: Column | None = None) -> Column:
-    """Shannon entropy (bits) of a count array; p = count / total (default: sum)."""
-    c = F.transform(counts, lambda x: x.cast("double"))
-    tot = total if total is not None else F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(-F.aggregate(c, F.lit(0.0), lambda a, x: a + F.when(
-        x > 0, (x / tot) * F.log2(x / tot)).otherwise(0.0)), F.lit(0.0)) + F.lit(0.0)
+    """Shannon entropy (bits) of a count array; p = count / total (default: sum).
+
+    From the sum s and the sum of c * log2(c), in one pass: (s * log2(t) - sum) / t.
+    """
+    def step(acc: Column, x: Column) -> Column:
+        v = x.cast("double")
+        return F.struct((acc["s"] + v).alias("s"), (acc["l"] + F.when(v > 0, v * F.log2(v)).otherwise(0.0)).alias("l"))
+
+    sums = F.aggregate(counts, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("l")), step)
+
+    def entropy(a: Column) -> Column:
+        t = total.cast("double") if total is not None else a["s"]
+        return F.when(t > 0, F.greatest((a["s"] * F.log2(t) - a["l"]) / t, F.lit(0.0)))
+
+    return F.coalesce(bind(sums, entropy), F.lit(0.0))

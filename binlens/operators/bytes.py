@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytestats import (STEP, WINDOW, byte_counts, byte_entropy_counts, entropy_of_counts,
+from ..functions.bytestats import (STEP, WINDOW, bind, byte_counts, byte_entropy_counts, entropy_of_counts,
                                    printable_char_counts)
 from ..functions.patterns import MIN_STRING, patterns
-from .partitioning import balance
 
 MAX_BYTES = 1 * 1024 * 1024  # fixed value: 1 MiB truncation constant
 
@@ -30,14 +29,13 @@ def byte_at(content, i: int) -> Column:
 
 def byte_histogram(df: DataFrame, content: str = "content", out: str = "histogram") -> DataFrame:
     """256 byte counts per file (array<long>)."""
-    df = balance(df)
     return df.withColumn(out, byte_counts(F.col(content)))
 
 
 def normalise_counts(counts: Column) -> Column:
     """counts / sum(counts) (0 when the sum is 0)."""
     tot = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x.cast("double"), tot), F.lit(0.0)))
+    return bind(tot, lambda t: F.transform(counts, lambda x: F.coalesce(F.try_divide(x.cast("double"), t), F.lit(0.0))))
 
 
 def byte_general(df: DataFrame, content: str = "content", histogram: str | None = None,
@@ -46,7 +44,6 @@ def byte_general(df: DataFrame, content: str = "content", histogram: str | None
 
     Empty content gives size 0, entropy 0 and zero start bytes.
     """
-    df = balance(df)
     # the UDF result is materialised as a column first: HOF lambdas cannot call Python
     h = F.col(histogram) if histogram else F.col("_hist")
     base = df if histogram else df.withColumn("_hist", byte_counts(F.col(content)))
@@ -70,7 +67,6 @@ def vec_general(df: DataFrame, content: str = "content", is_pe: Column | None =
 def byte_entropy_hist(df: DataFrame, content: str = "content", window: int = WINDOW, step: int = STEP,
                       out: str = "byteentropy") -> DataFrame:
     """16x16 joint (window entropy bin, high nibble) histogram, flattened row-major."""
-    df = balance(df)
     return df.withColumn(out, byte_entropy_counts(F.col(content), window, step))
 
 
@@ -82,7 +78,6 @@ def printable_strings(content, min_len: int = MIN_STRING) -> Column:
 
 def string_stats(df: DataFrame, strings: str = "strings") -> DataFrame:
     """numstrings, avlength, printables, 96-slot char histogram, char entropy; zeros if none."""
-    df = balance(df)
     s = F.coalesce(F.col(strings), F.array().cast("array<string>"))
     n = F.size(s)
     total = F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
@@ -115,7 +110,6 @@ def ioc_pattern_counts(df: DataFrame, strings: str = "strings", fixed: bool = Fa
     are matched with substring search (on the lower-cased string when the pattern is
     case-insensitive), the rest with Java regex; results are the same as ``re.search``.
     """
-    df = balance(df)
     s = F.coalesce(F.col(strings), F.array().cast("array<string>"))
     # materialised once: every pattern below reads the same (string, lower-case) pairs
     base = df.withColumn("_ioc_pairs", F.transform(s, lambda x: F.struct(x.alias("s"), F.lower(x).alias("l"))))
@@ -157,7 +151,6 @@ def content_hash(content) -> Column:
 
 def range_entropy(df: DataFrame, content: str, offset: Column, prefix: str = "overlay") -> DataFrame:
     """size, size ratio and entropy of the bytes after ``offset``; zeros if none."""
-    df = balance(df)
     total = F.length(F.col(content))
     suffix = F.when(total > offset, F.call_function("substr", F.col(content), offset + 1)) \
               .otherwise(F.lit(bytearray()))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.bytestats import entropy_of_counts, moments
 from ..functions.columns import bool_int, field_type, first_present, has_path, nested_get
 from ..functions.hashing import blake2b_bins
 
@@ -128,8 +129,7 @@ def feat_section_stats(schema: T.StructType) -> list[Column]:
     vsz = F.transform(secs, lambda s: _sec_field(s, "vsize", schema))
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
     nd = n.cast("double")
-    mean_e = total(ent) / nd
-    std_e = F.sqrt(F.aggregate(ent, F.lit(0.0), lambda a, x: a + (x - mean_e) * (x - mean_e)) / nd)
+    mean_e, std_e = total(ent) / nd, F.sqrt(moments(ent)["m2"] / nd)
 
     def count_prop(p):
         st = field_type(schema, "section.sections")
@@ -379,14 +379,10 @@ def feat_string_scalars(schema: T.StructType, col: str = "strings") -> list[Colu
 def feat_hist_stats(hist: Column) -> list[Column]:
     """Entropy of the normalised histogram, max, non-zero bins, population std, skew."""
     h = F.transform(F.coalesce(hist, F.array()), lambda x: x.cast("double"))
-    n = F.size(h).cast("double")
-    s = F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
-    p = F.transform(h, lambda x: F.when(s > 0, x / s).otherwise(x))
-    ent = -F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log2(x)).otherwise(0.0))
-    mean = s / n
-    std = F.sqrt(F.aggregate(h, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    m3 = F.aggregate(h, F.lit(0.0), lambda a, x: a + F.pow(x - mean, 3)) / n
-    skew = m3 / (F.pow(std, 3) + F.lit(1e-12))
+    ent = entropy_of_counts(h)
+    mom = moments(h)
+    std = F.sqrt(mom["m2"] / mom["n"])
+    skew = (mom["m3"] / mom["n"]) / (F.pow(std, 3) + F.lit(1e-12))
     empty = F.size(h) == 0
     z = lambda c: F.when(empty, F.lit(0)).otherwise(c)
     return [z(ent).alias("byteH_entropy"), z(F.array_max(h)).alias("byteH_max"),
@@ -397,8 +393,7 @@ def feat_hist_stats(hist: Column) -> list[Column]:
 def feat_byteent_stats(arr: Column) -> list[Column]:
     h = F.transform(F.coalesce(arr, F.array()), lambda x: x.cast("double"))
     n = F.size(h).cast("double")
-    mean = F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / n
-    std = F.sqrt(F.aggregate(h, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    mean, std = F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / n, F.sqrt(moments(h)["m2"] / n)
     empty = F.size(h) == 0
     z = lambda c: F.when(empty, F.lit(0)).otherwise(c)
     return [z(mean).alias("byteEH_mean"), z(F.array_max(h)).alias("byteEH_max"), z(std).alias("byteEH_std")]

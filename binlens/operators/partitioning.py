@@ -1,24 +1,10 @@
-"""Parallelism helpers for CPU-heavy per-row operators."""
+"""Rows of array columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows over at least ``min_partitions`` (default: the cluster's total cores)
-    before heavy per-row work (regex scans, byte kernels, tree passes).
-
-    A no-op when the input already has that many partitions, which is the normal
-    case for a large scan; it matters when a few big files (one row group each)
-    would otherwise leave all but one core idle.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
 def explode_array(df: DataFrame, keep: list, arr, value="value", pos: str | None = None) -> DataFrame:
     """Rows of an array (or map) column.
 
@@ -33,16 +19,3 @@ def explode_array(df: DataFrame, keep: list, arr, value="value", pos: str | None
     names = [value] if isinstance(value, str) else list(value)
     out = df.select(*keep, F.posexplode_outer(arr).alias(p, *names)).filter(F.col(p).isNotNull())
     return out if pos else out.drop(p)
-
-
-def fit_partitions(df: DataFrame, target: int | None = None) -> DataFrame:
-    """Exactly about ``target`` partitions (default: total cores): coalesce (no shuffle)
-    when there are more, repartition when there are fewer. Used where the number of
-    partitions multiplies a per-partition output (partial histograms of the booster)."""
-    target = target or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    if n > target:
-        return df.coalesce(target)
-    if n < target:
-        return df.repartition(target)
-    return df

@@ -27,6 +27,7 @@ from ..operators import evaluate as ev
 from ..operators import flat as fl
 from ..operators import project as pj
 from ..operators import stats as st
+from ..session import materialise
 from ..sources import io
 from ..sources.schemas import RAW_SCHEMA, normalise_raw
 
@@ -60,12 +61,13 @@ def train_model(spark: SparkSession, jsonl_glob: str, model_path: str | None = N
                 params: bo.BoostParams | None = None, target_fpr: float = ev.TARGET_FPR) -> TrainResult:
     flat = flat_features(spark, jsonl_glob)
     flat = ds.group_dropout(flat, "file_key")
-    split = ds.stratified_split(flat, "file_key", frac=ds.VAL_FRACTION)
+    # written once: the shards are read and flattened a single time for all that follows
+    split = materialise(ds.stratified_split(flat, "file_key", frac=ds.VAL_FRACTION), "split")
     train = ds.sample_weights(split.filter(F.col("split") == "train"))
     val = split.filter(F.col("split") == "val")
     model = bo.boost_monotone(train, fl.FEATURE_COLS, "label", "file_key", weight="weight",
                               params=params, valid=val)
-    scored = bo.score(val, model)
+    scored = materialise(bo.score(val, model), "scored")
     auc = ev.metric_auc(scored).first()["auc"]
     sweep = ev.threshold_sweep(scored, ev.GRID_TRAIN)
     best = ev.pick_threshold(sweep, target_fpr).collect()
@@ -95,11 +97,11 @@ def fine_tune_model(spark: SparkSession, labelled_csv: str, schema: str, base: b
     df = pj.coerce_numeric(df, feats)
     df = df.withColumn("file_key", F.sha2(F.to_json(F.struct(*df.columns)), 256))
     df = ds.group_dropout(df, "file_key")  # before the split: vault rows are perturbed too
-    split = ds.nested_split(df, "file_key")
+    split = materialise(ds.nested_split(df, "file_key"), "split")
     io.sink_csv(split.filter(F.col("split") == "vault").select(*feats, "label"), vault_csv)
     train, val = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "val")
     model = bo.fine_tune(train, base, "label", "file_key", valid=val)
-    scored = bo.score(val, model)
+    scored = materialise(bo.score(val, model), "scored")
     sweep = ev.threshold_sweep(scored, ev.GRID_TUNE)
     best = ev.pick_threshold(sweep).collect()
     if model_path:

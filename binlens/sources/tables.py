@@ -15,15 +15,15 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
-    """A driver table. ``balanced``: spread a scan that yields fewer partitions than
-    cores (a single-row-group file) so the stage reading it is not single-threaded;
-    a no-op for a normally split large input."""
+    """A driver table. ``balanced``: spread a scan of fewer splits than cores (a small
+    single-row-group file); the scan knows its splits without running a job, and a large
+    input is read as it is split."""
     if name not in TABLES:
         raise KeyError(name)
     df = spark.read.parquet(table_path(sf_dir, name))
-    if balanced:
-        from ..operators.partitioning import balance
-        df = balance(df)
+    cores = spark.sparkContext.defaultParallelism
+    if balanced and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df
 
 
