@@ -37,16 +37,21 @@ def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def binary_label(col: str | Column) -> Column:
-    """Label coerced like the evaluator: non-numeric -> -1, then truncated to int."""
+    """Label coerced like the evaluator: non-numeric (NaN and infinities too) -> -1, then truncated toward zero."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.floor(to_number(c)).cast("long"), F.lit(-1).cast("long"))
+    return F.coalesce(_finite(c).try_cast("long"), F.lit(-1).cast("long"))
+
+
+def _finite(c: Column) -> Column:
+    v = to_number(c)
+    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(None)).otherwise(v)
 
 
 def validate_binary_label(df: DataFrame, col: str = "label") -> DataFrame:
     """One row of violation counts: rows, non-numeric values, values not in {0,1}."""
     lab = binary_label(col)
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.count_if(to_number(F.col(col)).isNull()).alias("n_non_numeric"),
+                  F.count_if(_finite(F.col(col)).isNull()).alias("n_non_numeric"),
                   F.count_if(~lab.isin(0, 1)).alias("n_not_binary"))
 
 

@@ -47,14 +47,13 @@ def q_filter_labelled(spark, sf_dir):
     return round_doubles(_scored(spark, sf_dir).select("doc_id", "label", "score"))
 
 
-@register("validate_binary_label", with_views(["v_text_num"], """
+@register("validate_binary_label", with_views(["v_label_text"], """
 SELECT CAST(count(*) AS BIGINT) AS n_rows,
-       CAST(count(*) FILTER (WHERE TRY_CAST(raw AS DOUBLE) IS NULL) AS BIGINT) AS n_non_numeric,
-       CAST(count(*) FILTER (WHERE COALESCE(CAST(floor(TRY_CAST(raw AS DOUBLE)) AS BIGINT), -1)
-                              NOT IN (0, 1)) AS BIGINT) AS n_not_binary
-FROM v_text_num"""))
+       CAST(count(*) FILTER (WHERE v IS NULL OR NOT isfinite(v)) AS BIGINT) AS n_non_numeric,
+       CAST(count(*) FILTER (WHERE CASE WHEN v IS NULL OR NOT isfinite(v) THEN -1 ELSE trunc(v) END NOT IN (0, 1)) AS BIGINT) AS n_not_binary
+FROM (SELECT TRY_CAST(raw AS DOUBLE) AS v FROM v_label_text)"""))
 def q_validate_binary_label(spark, sf_dir):
-    return pj.validate_binary_label(view(spark, sf_dir, "v_text_num"), "raw")
+    return pj.validate_binary_label(view(spark, sf_dir, "v_label_text"), "raw")
 
 
 @register("map_values", with_views(["v_scored"], """

@@ -45,11 +45,5 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> None:
     """Import every query module (each registers its queries on import)."""
-    from . import q_evaluate  # noqa: F401
-    for mod in ("q_dataset", "q_stats", "q_flat", "q_bytes", "q_vector",
-                "q_sources", "q_catalog", "q_model"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from . import (q_bytes, q_catalog, q_dataset, q_evaluate, q_flat, q_model, q_sources,  # noqa: F401
+                   q_stats, q_vector)

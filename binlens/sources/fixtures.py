@@ -109,6 +109,9 @@ FROM {documents}""",
     "v_text_num": """
 SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment
                        ELSE CAST(c_custkey AS VARCHAR(20)) END AS raw FROM {customer}""",
+    "v_label_text": """
+SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'NaN' WHEN 2 THEN '-0.5' WHEN 3 THEN '1'
+                       WHEN 4 THEN '1.7' WHEN 5 THEN '-1.2' ELSE CAST(c_custkey AS VARCHAR(20)) END AS raw FROM {customer}""",
 }
 
 # Spark has unix_timestamp; DuckDB has epoch(). Normalise through a fragment.
