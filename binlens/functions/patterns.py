@@ -99,8 +99,7 @@ FIXED_PATTERNS: dict[str, str] = {
     "base64string": r"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789\+/",
 }
 
-# printable runs: bytes 0x20..0x7f, at least 5 long
-PRINTABLE_RUN = r"[\x20-\x7f]{5,}"
+# fixed value: the shortest printable run
 MIN_STRING = 5
 
 

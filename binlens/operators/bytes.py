@@ -111,21 +111,24 @@ def ioc_pattern_counts(df: DataFrame, strings: str = "strings", fixed: bool = Fa
     case-insensitive), the rest with Java regex; results are the same as ``re.search``.
     """
     s = F.coalesce(F.col(strings), F.array().cast("array<string>"))
-    # materialised once: every pattern below reads the same (string, lower-case) pairs
-    base = df.withColumn("_ioc_pairs", F.transform(s, lambda x: F.struct(x.alias("s"), F.lower(x).alias("l"))))
-    pairs = F.col("_ioc_pairs")
+    # materialised once: every pattern below reads the same strings, lower-case strings and joined texts
+    base = df.withColumn("_ioc_s", s).withColumn("_ioc_l", F.transform("_ioc_s", F.lower))
+    base = base.withColumn("_ioc_all", F.array_join("_ioc_s", "\n")).withColumn("_ioc_low", F.array_join("_ioc_l", "\n"))
 
-    def matches(p):
+    def count(p):
+        """Strings that match; none is looked at unless the joined text matches (a line feed is in no string and is
+        no word character, so whatever matches in a string matches there, but for ^ and $)."""
         lit = _literal(p)
         if lit is None:
-            return lambda x: x["s"].rlike(p)
+            n = F.size(F.filter("_ioc_s", lambda x: x.rlike(p)))
+            return n if any(ch in p for ch in "^$") else F.when(F.col("_ioc_all").rlike(p), n).otherwise(0)
         text, ci = lit
-        return (lambda x: F.instr(x["l"], text) > 0) if ci else (lambda x: F.instr(x["s"], text) > 0)
+        joined, strings_ = ("_ioc_low", "_ioc_l") if ci else ("_ioc_all", "_ioc_s")
+        return F.when(F.instr(F.col(joined), text) > 0, F.size(F.filter(strings_, lambda x: F.instr(x, text) > 0))).otherwise(0)
 
-    entries = [F.struct(F.lit(name).alias("k"), F.size(F.filter(pairs, matches(p))).cast("long").alias("v"))
-               for name, p in patterns(fixed)]
+    entries = [F.struct(F.lit(name).alias("k"), count(p).cast("long").alias("v")) for name, p in patterns(fixed)]
     seen = F.filter(F.array(*entries), lambda e: e["v"] > 0)
-    return base.withColumn(out, F.map_from_entries(seen)).drop("_ioc_pairs")
+    return base.withColumn(out, F.map_from_entries(seen)).drop("_ioc_s", "_ioc_l", "_ioc_all", "_ioc_low")
 
 
 def string_vector(df: DataFrame, strings: str = "strings", fixed: bool = False,

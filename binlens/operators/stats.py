@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,26 +56,46 @@ def feature_group(name: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson r for every ordered pair (a, b) of ``cols`` (missing -> 0 first).
+    """Pearson r for every ordered pair (a, b) of ``cols`` (missing -> 0 first): long (a, b, r).
 
-    One aggregation with k(k+1)/2 co-moments, then unpivot: long (a, b, r).
-    A constant column has zero variance -> r is NULL.
+    Each partition sends its row count, means and centred Gram matrix (one row per pair of
+    columns, whatever its number of rows); these are merged per pair, so columns and rows
+    both may be many. A constant column has zero variance -> r is NULL.
     """
-    x = df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    aggs = []
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            aggs.append(F.covar_pop(f"c{i}", f"c{j}").alias(f"m_{i}_{j}"))
-    mom = x.agg(*aggs)
-    rs = []
-    pairs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            rs.append(F.try_divide(F.col(f"m_{lo}_{hi}"),
-                                   F.sqrt(F.col(f"m_{i}_{i}") * F.col(f"m_{j}_{j}"))).alias(f"r_{i}_{j}"))
-            pairs.append((a, b, f"r_{i}_{j}"))
-    return mom.select(*rs).select(*_stack(pairs))
+    k = len(cols)
+    x = df.select(F.array(*[_num(c) for c in cols]).alias("x"))
+
+    def gram(frames):
+        n, mean, m2 = 0, np.zeros(k), np.zeros((k, k))
+        for f in frames:
+            if not len(f):
+                continue
+            v = np.stack(f["x"].to_numpy())
+            own = v[0] + (v - v[0]).mean(0)  # exact for a constant column
+            dev = v - own
+            shift = own - mean
+            m2 += dev.T @ dev + np.outer(shift, shift) * (n * len(v) / (n + len(v)))
+            mean = mean + shift * (len(v) / (n + len(v))) if n else own
+            n += len(v)
+        if n:
+            i, j = np.triu_indices(k)
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "mi": mean[i], "mj": mean[j], "c": m2[i, j]})
+
+    part = x.mapInPandas(gram, "i long, j long, n long, mi double, mj double, c double")
+    # deviations of the partitions' means from one of them: nothing large cancels, and equal means give 0
+    w, pair = F.col("n").cast("double"), Window.partitionBy("i", "j")  # as many rows as partitions
+    part = part.withColumn("di", F.col("mi") - F.min("mi").over(pair)).withColumn("dj", F.col("mj") - F.min("mj").over(pair))
+    m = part.groupBy("i", "j").agg(F.sum("c").alias("c"), F.sum(w).alias("n"), F.sum(w * F.col("di")).alias("si"), F.sum(w * F.col("dj")).alias("sj"),
+                                   F.sum(w * F.col("di") * F.col("dj")).alias("sij"))
+    m = m.select("i", "j", (F.col("c") + F.col("sij") - F.col("si") * F.col("sj") / F.col("n")).alias("c"))
+    var = m.filter(F.col("i") == F.col("j"))  # one row per column
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i long, name string")
+    var = var.join(names, "i").select(F.col("i").alias("v"), F.col("c").alias("var"), "name")
+    left = var.select(F.col("v").alias("i"), F.col("var").alias("vi"), F.col("name").alias("a"))
+    right = var.select(F.col("v").alias("j"), F.col("var").alias("vj"), F.col("name").alias("b"))
+    both = m.unionByName(m.filter(F.col("i") < F.col("j")).select(F.col("j").alias("i"), F.col("i").alias("j"), "c"))
+    r = F.when((F.col("vi") > 0) & (F.col("vj") > 0), F.try_divide(F.col("c"), F.sqrt(F.col("vi") * F.col("vj"))))
+    return both.join(left, "i").join(right, "j").select("a", "b", r.alias("r"))
 
 
 def target_correlation(df: DataFrame, cols: list[str], label: str = "label") -> DataFrame:

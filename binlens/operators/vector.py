@@ -409,22 +409,23 @@ def warning_vocab(rules: DataFrame) -> DataFrame:
 
 
 def warning_normalise(warnings: DataFrame, vocab: DataFrame, key: str = "file_id",
-                      col: str = "warning", max_vocab: int = 100_000) -> DataFrame:
+                      col: str = "warning") -> DataFrame:
     """Distinct warnings -> normalised rule (suffix rules first, then prefix; lowest id wins).
 
-    Unmatched warnings are dropped (count them with ``unknown_warnings``). The
-    vocabulary is broadcast after its size is checked.
+    Each distinct text is normalised once: its ends, of the lengths that rules have, meet the
+    rules' texts by equality, so a vocabulary of any size is joined without comparing all
+    pairs. Unmatched warnings are dropped (count them with ``unknown_warnings``).
     """
-    n = vocab.count()
-    if n > max_vocab:
-        raise ValueError(f"warning vocabulary of {n} rules is too large to broadcast")
-    w = warnings.select(key, col).distinct()
-    cond = ((F.col("kind") == 0) & F.col(col).endswith(F.col("part"))) | \
-           ((F.col("kind") == 1) & F.col(col).startswith(F.col("part")))
-    m = w.join(F.broadcast(vocab), cond)
-    rank = Window.partitionBy(key, col).orderBy("kind", "id")
-    best = m.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") == 1)
-    return best.select(key, col, "rule", "id")
+    pairs = warnings.select(key, col).distinct()
+    texts = pairs.select(F.col(col).alias("_text")).distinct()
+    lengths = vocab.groupBy("kind").agg(F.collect_set(F.length("part")).alias("_lengths"))  # two rows
+    ends = (texts.select("_text", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind")).join(F.broadcast(lengths), "kind")
+            .select("_text", "kind", F.explode("_lengths").alias("_n")).filter(F.length("_text") >= F.col("_n")))
+    piece = F.when(F.col("kind") == 0, F.expr("right(_text, _n)")).otherwise(F.expr("left(_text, _n)"))
+    hit = ends.select("_text", "kind", piece.alias("part")).join(vocab, ["kind", "part"])
+    best = hit.groupBy("_text").agg(F.min(F.struct("kind", "id", "rule")).alias("_b"))
+    out = pairs.join(best, F.col(col) == F.col("_text"))
+    return out.select(key, col, F.col("_b.rule").alias("rule"), F.col("_b.id").alias("id"))
 
 
 def unknown_warnings(warnings: DataFrame, vocab: DataFrame, key: str = "file_id",

@@ -135,3 +135,17 @@ def test_stopping_by_the_first_metric_to_stall():
         best, keep, stop = bo.stopping_step(best, {"round": rnd, "valid_auc": auc, "valid_logloss": loss}, 2)
         seen.append((keep, stop))
     assert seen[:4] == [(1, False), (2, False), (2, False), (2, True)]
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 40)) @ rng.normal(size=(40, 40)) + 1.7e9
+    x[:, 5] = 0.1
+    df = spark.createDataFrame(x.tolist(), [f"c{i}" for i in range(40)]).repartition(6)
+    got = {(r.a, r.b): r.r for r in st.correlation_matrix(df, df.columns).collect()}
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x, rowvar=False)
+    assert len(got) == 1600
+    for (a, b), r in got.items():
+        i, j = int(a[1:]), int(b[1:])
+        assert (r is None) if 5 in (i, j) else r == pytest.approx(want[i, j], abs=1e-9)
