@@ -149,3 +149,17 @@ def test_correlations_of_many_columns(spark):
     for (a, b), r in got.items():
         i, j = int(a[1:]), int(b[1:])
         assert (r is None) if 5 in (i, j) else r == pytest.approx(want[i, j], abs=1e-9)
+
+
+def test_flags_and_odd_imports_of_raw_records(spark, tmp_path):
+    from binlens.operators import flat as fl
+    from binlens.sources.schemas import RAW_SCHEMA, normalise_raw
+    (tmp_path / "r.jsonl").write_text(
+        '{"sha256": "a", "label": 1, "imports": {"kernel32.dll": ["A", "B"], "user32.dll": "oops", "x.dll": null}, '
+        '"authenticode": {"num_certs": 2, "self_signed": true, "parse_error": 0, "no_countersigner": false}}\n'
+        '{"sha256": "b", "label": 0, "imports": [], "authenticode": null}\n')
+    raw = normalise_raw(io.scan_jsonl(spark, str(tmp_path / "r.jsonl"), RAW_SCHEMA))
+    a, b = fl.flatten_record(raw, keep=["sha256"]).orderBy("sha256").collect()
+    assert (a.imp_available, a.imp_dll_count, a.imp_func_count, a.imp_has_gui_libs) == (1, 3, 2, 1)
+    assert (a.auth_num_certs, a.auth_self_signed, a.auth_parse_error, a.auth_no_countersigner) == (2, 1, 0, 0)
+    assert (b.imp_available, b.imp_dll_count, b.auth_num_certs, b.auth_self_signed) == (0, 0, 0, 0)
