@@ -91,13 +91,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df, name: str):
+def materialise(df, name: str, **options):
     """Write ``df`` once to the shared folder and return the reread table.
 
     Later uses read the same rows whatever is retried or lost, and Spark plans
-    joins with the true size of the table.
+    joins with the true size of the table. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
