@@ -36,22 +36,24 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     their names cannot clash.
     """
     extreme = {"min": F.min, "max": F.max}[keep]
-    base = (df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-            .withColumn("norm", normalise(F.col("text")))
-            .select("id", "norm", hash_fn(F.col("norm")).alias("h")))
-    stats = base.groupBy("h").agg(F.count("*").alias("n"), extreme("id").alias("keep"))
+    base = df.select(F.col(id_col).alias("id"), normalise(whole(text_col)).alias("norm"))
+    base = base.select("id", "norm", hash_fn(F.col("norm")).alias("h"))
+    hashed = materialise(base.select("id", "h", F.sha2("norm", 256).alias("sha")), "hashed")
+    groups = (hashed.groupBy("h").agg(F.count("*").alias("n"), extreme("id").alias("keep")).where("n > 1")
+              .withColumn("salts", F.ceil(F.col("n") / rows_per_salt).cast("int")))
+    # Always merged: its size follows the copies in the corpus, and the plan should not change with it.
+    groups = materialise(groups, "groups").hint("merge")
 
     # Texts of hashes with several rows, each against the text of the staying row.
-    groups = stats.where("n > 1").withColumn("salts", F.ceil(F.col("n") / rows_per_salt).cast("int"))
-    members = base.join(groups, "h").withColumn("salt", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("salts")).cast("int"))
-    own = (base.join(groups.select("h", "keep", "salts"), "h").where(F.col("id").eqNullSafe(F.col("keep")))
-           .groupBy("h", "salts").agg(F.min("norm").alias("own")))
+    salt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("salts")).cast("int")
+    members = materialise(base.join(groups, "h").select("id", "h", "n", "keep", "salts", salt.alias("salt"), "norm"), "members")
+    own = members.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("h", "salts").agg(F.min("norm").alias("own"))
     own = own.select("h", "own", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     same = F.col("norm") == F.col("own")
     compared = materialise(
         members.join(own, ["h", "salt"])
         .select("id", "h", "n", "keep", F.sha2("norm", 256).alias("sha"), same.alias("same"),
-                F.when(~same, F.col("norm")).alias("other")), "exact-dedup")
+                F.when(~same, F.col("norm")).alias("other")), "compared")
 
     # Collisions: texts that differ from their group's, grouped by their bytes.
     others = compared.where(~F.col("same"))
@@ -61,10 +63,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
              .select("id", F.col("keep").alias("keep_id"), (F.col("n") - F.coalesce("less", F.lit(0))).alias("group_size"), "sha"))
     apart = others.join(by_text, ["h", "other"]).select("id", F.col("keep2").alias("keep_id"), F.col("n2").alias("group_size"), "sha")
 
-    single = (df.select(F.col(id_col).alias("id"), normalise(whole(text_col)).alias("norm"))
-              .select("id", hash_fn(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("sha"))
-              .join(stats.where("n = 1").select("h"), "h")
-              .select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha"))
+    single = hashed.join(groups.select("h"), "h", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return (single.unionByName(equal).unionByName(apart)
             .select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
                     F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")))
