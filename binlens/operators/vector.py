@@ -244,6 +244,9 @@ def parts_datadirs(offset: int = 0) -> GroupParts:
                  _d(d["size"]).alias("value")),
         F.struct((F.lit(offset) + 2 * (F.array_position(names, d["name"]) - 1) + 1).cast("int").alias("slot"),
                  _d(d["virtual_address"]).alias("value")))))
+    # a directory that has no slot fails the job: it would be lost without a trace
+    stray = F.filter(mid, lambda d: d["name"].isNotNull() & (F.array_position(names, d["name"]) == 0))
+    slots = F.when(F.size(stray) > 0, F.raise_error(F.concat(F.lit("unknown data directory: "), F.get(stray, 0)["name"]))).otherwise(slots)
     head = F.get(dd, 0)
     return GroupParts([(offset + 2 * len(DIRECTORY_NAMES), [head["has_relocs"], head["has_dynamic_relocs"]])],
                       [slots], n == 0)

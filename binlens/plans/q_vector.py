@@ -179,9 +179,49 @@ for _grp in vec.GROUPS:
     _o += _grp.dim
 
 
-@register("vectorize", _long_sql(_OFFSETS))
+# Rules of the normalisation vocabulary used with the document sentences (id = position).
+WARNING_RULES = ["...the", "...and", "The...", "Is...", "...ion", "Eau...", "...les", "Der...", "...que", "El..."]
+
+
+def _vocab(spark):
+    rules = spark.createDataFrame([(r, i) for i, r in enumerate(WARNING_RULES)], "rule string, id int")
+    return vec.warning_vocab(rules)
+
+
+def _sentences(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return explode_array(d.withColumnRenamed("doc_id", "file_id"), ["file_id"], F.split("text", r"\. "), "warning")
+
+
+_RULES_SQL = ("rules", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {i})" for i, r in enumerate(WARNING_RULES))
+              + ") r(rule, id)")
+_NORM_SQL = ("norm", """
+SELECT file_id, warning, rule, id FROM (
+  SELECT s.file_id, s.warning, r.rule, r.id,
+         row_number() OVER (PARTITION BY s.file_id, s.warning
+                            ORDER BY CASE WHEN starts_with(r.rule, '...') THEN 0 ELSE 1 END, r.id) AS rn
+  FROM (SELECT DISTINCT doc_id AS file_id, unnest(string_split(text, '. ')) AS warning FROM documents) s
+  JOIN rules r ON (starts_with(r.rule, '...') AND ends_with(s.warning, substr(r.rule, 4)))
+               OR (NOT starts_with(r.rule, '...') AND starts_with(s.warning, substr(r.rule, 1, length(r.rule) - 3)))
+) t WHERE rn = 1""")
+
+
+_WARNING_ITEMS_SQL = f"""
+SELECT file_id, {_o - 88} + slot AS slot, value FROM (
+  SELECT DISTINCT file_id, id AS slot, 1.0 AS value FROM norm
+  UNION ALL SELECT file_id, {vec.N_WARNINGS} AS slot, CAST(count(DISTINCT rule) AS DOUBLE) FROM norm GROUP BY file_id) n
+WHERE file_id IN (SELECT o_orderkey FROM orders)"""
+
+
+@register("vectorize", with_views(_VIEWS, f"""
+SELECT CAST(file_id AS BIGINT) AS file_id, CAST(slot AS INTEGER) AS slot, round(sum(value), 6) AS value
+FROM ({_items_sql(_OFFSETS)} UNION ALL {_WARNING_ITEMS_SQL}) it GROUP BY file_id, slot HAVING sum(value) <> 0""",
+          [*_ALL_CTES, _RULES_SQL, _NORM_SQL]))
 def q_vectorize(spark, sf_dir):
-    r = raw_records_b(spark, sf_dir).withColumn("warning_ids", F.array().cast("array<int>"))
+    r = raw_records_b(spark, sf_dir)
+    ids = vec.warning_normalise(_sentences(spark, sf_dir), _vocab(spark)).groupBy("file_id") \
+             .agg(F.array_sort(F.collect_set("id")).alias("warning_ids"))
+    r = r.join(ids, "file_id", "left").withColumn("warning_ids", F.coalesce("warning_ids", F.array().cast("array<int>")))
     long = vec.vectorize_long(r, "file_id")
     return round_doubles(long.select("file_id", F.col("slot").cast("int").alias("slot"), "value"))
 
@@ -269,33 +309,6 @@ def q_export_tokens(spark, sf_dir):
 
 
 # ---- warnings -----------------------------------------------------------------------
-# Rules of the normalisation vocabulary used with the document sentences (id = position).
-WARNING_RULES = ["...the", "...and", "The...", "Is...", "...ion", "Eau...", "...les", "Der...", "...que", "El..."]
-
-
-def _vocab(spark):
-    rules = spark.createDataFrame([(r, i) for i, r in enumerate(WARNING_RULES)], "rule string, id int")
-    return vec.warning_vocab(rules)
-
-
-def _sentences(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return explode_array(d.withColumnRenamed("doc_id", "file_id"), ["file_id"], F.split("text", r"\. "), "warning")
-
-
-_RULES_SQL = ("rules", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {i})" for i, r in enumerate(WARNING_RULES))
-              + ") r(rule, id)")
-_NORM_SQL = ("norm", """
-SELECT file_id, warning, rule, id FROM (
-  SELECT s.file_id, s.warning, r.rule, r.id,
-         row_number() OVER (PARTITION BY s.file_id, s.warning
-                            ORDER BY CASE WHEN starts_with(r.rule, '...') THEN 0 ELSE 1 END, r.id) AS rn
-  FROM (SELECT DISTINCT doc_id AS file_id, unnest(string_split(text, '. ')) AS warning FROM documents) s
-  JOIN rules r ON (starts_with(r.rule, '...') AND ends_with(s.warning, substr(r.rule, 4)))
-               OR (NOT starts_with(r.rule, '...') AND starts_with(s.warning, substr(r.rule, 1, length(r.rule) - 3)))
-) t WHERE rn = 1""")
-
-
 @register("warning_normalise", with_views([], "SELECT file_id, warning, rule, CAST(id AS INTEGER) AS id FROM norm",
                                           [_RULES_SQL, _NORM_SQL]))
 def q_warning_normalise(spark, sf_dir):
