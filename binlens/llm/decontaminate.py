@@ -2,23 +2,26 @@
 
 Both texts become templates: names (a capitalised word inside a sentence), numbers, and units
 after numbers turn into typed placeholders, other words are lower-cased (A-Z) and lose the
-punctuation at their ends; tokens of punctuation alone go. Windows of ``window`` template tokens
-are hashed where the documents lie and meet the hashes of the benchmark's windows, which are
+punctuation at their ends; tokens of punctuation alone go. What is looked for are windows of
+``window`` template tokens that an item and a document share. Every such window holds an anchor,
+a shorter window that starts at a ``stride``-th token of the document; anchors are hashed where
+the documents lie and meet the hashes of the benchmark's windows of that length, which are
 written once so that their number is known: up to ``broadcast_rows`` of them are broadcast, more
-are joined by a shuffle. Only documents with a hit are looked at again: windows of one document,
-one item and one offset between them form an alignment, whose templates are compared token by
-token and whose slots must be consistent: one value of the item stands for one value of the
-document throughout. A question with other numbers or names in it passes; a chance meeting of
-placeholders does not.
+are joined by a shuffle. Only documents with a hit are looked at again: an anchor fixes an
+alignment of one document, one item and an offset, in which all tokens are compared. Runs of
+``window`` equal tokens or more are kept, and their slots must be consistent: one value of the
+item stands for one value of the document throughout. A question with other numbers or names in
+it is found; a chance meeting of placeholders is not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bytestats import bind
 from ..session import materialise
-from .text import lower_az, row_key, whole
+from .text import BLANKS, lower_az, row_key, whole
 
 # Placeholders (private-use characters) and units of measure.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
@@ -32,33 +35,39 @@ UNITS = ["mm", "cm", "dm", "m", "km", "in", "inch", "inches", "ft", "foot", "fee
 _GAP = "\\x20\\x09-\\x0D"
 _WORD = f"\\p{{L}}\\p{{N}}{NAME}{NUMBER}{UNIT}"
 _UNITS = "|".join(UNITS)
-#: a word with one capital, after white space that does not follow the end of a sentence
-_NAME_AT = f"(?<=[^.!?:{_GAP}])([{_GAP}]++)\\p{{Lu}}\\p{{Ll}}++(?=[^{_WORD}{_GAP}]*+(?:[{_GAP}]|\\z))"
-_EDGES = f"(?<![^{_GAP}])[^{_WORD}{_GAP}]++|(?<=[{_WORD}])[^{_WORD}{_GAP}]++(?=[{_GAP}]|\\z)"
-_NUMBER_AT = f"(?<![^{_GAP}])[0-9][0-9.,:/-]*+(?:{_UNITS})?(?![^{_GAP}])"
-_UNIT_AT = f"(?<={NUMBER}\\x20)(?:{_UNITS})(?![^{_GAP}])"
+# Each pattern begins with a class that few characters are in, and looks back only from there.
+#: white space and a word with one capital, where no end of a sentence stands before
+_NAME_AT = f"([{_GAP}](?<=[^.!?:{_GAP}][{_GAP}])[{_GAP}]*+)\\p{{Lu}}\\p{{Ll}}++(?=[^{_WORD}{_GAP}]*+(?:[{_GAP}]|\\z))"
+#: punctuation at the start of a token, or at its end
+_EDGES = f"[^{_WORD}{_GAP}](?:(?<![^{_GAP}][^{_WORD}{_GAP}])[^{_WORD}{_GAP}]*+|(?<=[{_WORD}][^{_WORD}{_GAP}])[^{_WORD}{_GAP}]*+(?=[{_GAP}]|\\z))"
+_NUMBER_AT = f"[0-9](?<![^{_GAP}][0-9])[0-9.,:/-]*+(?:{_UNITS})?(?![^{_GAP}])"
+_UNIT_AT = f"{NUMBER}([{_GAP}]++)(?:{_UNITS})(?![^{_GAP}])"
 
 
 def _split(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{_GAP}]+"), lambda t: t != "")
+    """Each step's text is bound, so that it is made once however often the next step looks at it."""
+    return bind(F.btrim(text, F.lit(BLANKS)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{_GAP}]+")))
+
+
+def _plain(text: Column) -> Column:
+    return bind(F.regexp_replace(text, _EDGES, ""), lower_az)
 
 
 def plain_tokens(text: Column) -> Column:
     """Words without punctuation at their ends, lower-cased."""
-    return _split(lower_az(F.regexp_replace(text, _EDGES, "")))
+    return _split(_plain(text))
 
 
 def template_tokens(text: Column) -> Column:
     """As many tokens as ``plain_tokens``, with placeholders for names, numbers and units."""
-    named = F.regexp_replace(text, _NAME_AT, f"$1{NAME}")
-    clean = F.regexp_replace(lower_az(F.regexp_replace(named, _EDGES, "")), f"[{_GAP}]+", " ")
-    return _split(F.regexp_replace(F.regexp_replace(clean, _NUMBER_AT, NUMBER), _UNIT_AT, UNIT))
+    clean = _plain(F.regexp_replace(text, _NAME_AT, f"$1{NAME}"))
+    return _split(F.regexp_replace(F.regexp_replace(clean, _NUMBER_AT, NUMBER), _UNIT_AT, f"{NUMBER}$1{UNIT}"))
 
 
-def window_hashes(tokens: Column, n_tokens: Column, window: int) -> Column:
-    """Hashes of all windows of an array of token hashes; fewer tokens than a window have none."""
-    starts = F.when(n_tokens >= window, F.sequence(F.lit(0), n_tokens - window)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(window)]))
+def window_hashes(tokens: Column, n_tokens: Column, length: int, stride: int = 1) -> Column:
+    """Hashes of the windows of an array of token hashes that start at every ``stride``-th token; fewer tokens than a window have none."""
+    starts = F.when(n_tokens >= length, F.sequence(F.lit(0), n_tokens - length, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(tokens, i + k) for k in range(length)]).alias("h")))
 
 
 _KEY = "_leaking_row_key"
@@ -68,10 +77,10 @@ def _whole_version(text_col: str) -> Column:
     return F.xxhash64(whole(text_col), F.length(whole(text_col)))
 
 
-def _windows(df: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """``keys, pos, h`` of every window of ``text``."""
+def _windows(df: DataFrame, keys: list[str], length: int, stride: int = 1) -> DataFrame:
+    """``keys, pos, h`` of windows of ``text``."""
     hashed = df.select(*keys, F.transform(template_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("t"))
-    return hashed.select(*keys, F.posexplode(window_hashes(F.col("t"), F.size("t"), window)).alias("pos", "h"))
+    return hashed.select(*keys, F.inline(window_hashes(F.col("t"), F.size("t"), length, stride)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -94,51 +103,51 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = materialise(items.withColumn("copy", F.xxhash64("text")), "items")
     short = [r[0] for r in items.where(F.col("tokens") < window).select("tokens").distinct().collect()]  # window - 1 values at most
 
-    parts = [_windows(items.where(F.col("tokens") >= window), ["item", "copy"], window).withColumn("n", F.lit(window))]
-    parts += [_windows(items.where(F.col("tokens") == n), ["item", "copy"], n).withColumn("n", F.lit(n)) for n in short]
-    wanted = parts[0]
-    for p in parts[1:]:
-        wanted = wanted.unionByName(p)
-    wanted = materialise(wanted, "item-windows")
-    hashes = wanted.select("h", "n").distinct()
+    # Of each run of n equal tokens, an anchor of n - stride + 1 tokens starts at a stride-th token of the document.
+    stride = {n: max(1, n // 2) for n in [window, *short]}
+    wanted = hits = None
+    for n, step in stride.items():
+        own = items.where(F.col("tokens") >= window if n == window else F.col("tokens") == n)
+        part = _windows(own, ["item", "copy"], n - step + 1).withColumn("n", F.lit(n))
+        wanted = part if wanted is None else wanted.unionByName(part)
+    wanted = materialise(wanted.withColumnRenamed("pos", "at"), "item-windows")
     bounded = wanted.count() <= broadcast_rows
-
-    hits = None
-    for n in [window, *short]:
-        of_n = hashes.where(F.col("n") == n).select("h")
-        part = _windows(base, ["id", "version"], n).join(F.broadcast(of_n) if bounded else of_n, "h", "left_semi").withColumn("n", F.lit(n))
+    small = F.broadcast if bounded else (lambda df: df)
+    for n, step in stride.items():
+        hashes = wanted.where(F.col("n") == n).select("h").distinct()
+        part = _windows(base, ["id", "version"], n - step + 1, step).join(small(hashes), "h", "left_semi").withColumn("n", F.lit(n))
         hits = part if hits is None else hits.unionByName(part)
     hits = materialise(hits.distinct(), "hits")
 
-    # Alignments: windows of one document, item and offset; then their tokens, each once.
-    met = hits.join(F.broadcast(wanted.select("h", "n", "item", "copy", F.col("pos").alias("at"))) if bounded
-                    else wanted.select("h", "n", "item", "copy", F.col("pos").alias("at")), ["h", "n"])
-    met = materialise(met.select("id", "version", "item", "copy", "n", "at", (F.col("pos") - F.col("at")).alias("off")), "met")
+    # Alignments of a document, an item and an offset; all tokens of the item against the document's there.
     line = ["id", "version", "item", "copy", "off"]
-    cells = met.select(*line, F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct()
-    item_tokens = items.select("item", "copy", F.posexplode(F.arrays_zip(plain_tokens(F.col("text")).alias("plain"), template_tokens(F.col("text")).alias("template"))).alias("at", "i"))
-    cells = cells.join(F.broadcast(item_tokens) if bounded else item_tokens, ["item", "copy", "at"])
-    cells = cells.select(*line, "at", (F.col("off") + F.col("at")).alias("pos"), "i")
-    seen = hits.select("id", "version").distinct()
-    b, s = base.distinct().alias("b"), seen.alias("s")
-    doc_tokens = b.join(s, F.col("b.id").eqNullSafe(F.col("s.id")) & (F.col("b.version") == F.col("s.version")), "left_semi")
-    doc_tokens = doc_tokens.select("id", "version", F.posexplode(F.arrays_zip(plain_tokens(F.col("text")).alias("plain"), template_tokens(F.col("text")).alias("template"))).alias("pos", "d"))
+    met = hits.join(small(wanted), ["h", "n"]).select("id", "version", "item", "copy", "n", (F.col("pos") - F.col("at")).alias("off")).distinct()
+    both_kinds = F.arrays_zip(plain_tokens(F.col("text")).alias("plain"), template_tokens(F.col("text")).alias("template"))
+    item_tokens = items.select("item", "copy", F.posexplode(both_kinds).alias("at", "i"))
+    cells = met.join(small(item_tokens), ["item", "copy"]).select(*line, "n", "at", (F.col("off") + F.col("at")).alias("pos"), "i")
+    # Texts with a hit, moved once and always merged, so that the plan is the same for few and for many.
+    seen = hits.select(row_key(F.col("id"), F.col("version")).alias("key")).distinct()
+    texts = base.withColumn("key", row_key(F.col("id"), F.col("version"))).join(seen.hint("merge"), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("id").alias("id"), F.first("version").alias("version"), F.first("text").alias("text"))
+    doc_tokens = texts.select("id", "version", F.posexplode(both_kinds).alias("pos", "d"))
     c, d = cells.alias("c"), doc_tokens.alias("d")
     both = c.join(d, F.col("c.id").eqNullSafe(F.col("d.id")) & (F.col("c.version") == F.col("d.version")) & (F.col("c.pos") == F.col("d.pos")))
-    both = both.select(*[F.col(f"c.{x}").alias(x) for x in line], F.col("i.template").alias("it"), F.col("i.plain").alias("ip"),
-                       F.col("d.d.template").alias("dt"), F.col("d.d.plain").alias("dp"))
+    both = both.select(*[F.col(f"c.{x}").alias(x) for x in line], "n", "at", F.col("i.template").alias("it"), F.col("i.plain").alias("ip"),
+                       F.col("d.d.template").alias("dt"), F.col("d.d.plain").alias("dp")).where("it = dt")
+    # Runs of n equal tokens or more (windows over one item's tokens).
+    both = both.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*line).orderBy("at")))
+    both = both.withColumn("length", F.count("*").over(Window.partitionBy(*line, "run"))).where("length >= n")
+    sizes = both.groupBy(*line).agg((F.count("*") - (F.first("n") - 1) * F.countDistinct("run")).alias("n_windows"))
     slot = F.col("it").isin(NAME, NUMBER, UNIT)
     # Per value of a slot first, so that one alignment of any length is summed from partial counts.
     values = both.groupBy(*line, F.when(slot, F.col("it")).alias("kind"), F.when(slot, F.col("ip")).alias("value")).agg(
-        F.count("*").alias("n"), F.min("dp").alias("lo"), F.max("dp").alias("hi"),
-        F.sum((F.col("it") != F.col("dt")).cast("long")).alias("wrong"), F.sum((F.col("ip") != F.col("dp")).cast("long")).alias("changed"))
+        F.count("*").alias("n"), F.min("dp").alias("lo"), F.max("dp").alias("hi"), F.sum((F.col("ip") != F.col("dp")).cast("long")).alias("changed"))
     is_slot = F.col("kind").isNotNull()
     judged = values.groupBy(*line).agg(
-        F.sum("wrong").alias("wrong"), F.sum(F.when(is_slot & (F.col("lo") != F.col("hi")), 1).otherwise(0)).alias("torn"),
+        F.sum(F.when(is_slot & (F.col("lo") != F.col("hi")), 1).otherwise(0)).alias("torn"),
         F.sum(F.when(~is_slot, F.col("n")).otherwise(0)).alias("literals"),
         F.sum(F.when(is_slot, F.col("n")).otherwise(0)).alias("n_slots"), F.sum(F.when(is_slot, F.col("changed")).otherwise(0)).alias("n_changed"))
-    good = judged.where((F.col("wrong") == 0) & (F.col("torn") == 0) & ((F.col("literals") >= min_literals) | (F.col("n_changed") == 0)))
-    sizes = met.groupBy(*line).agg(F.countDistinct("at").alias("n_windows"))
+    good = judged.where((F.col("torn") == 0) & ((F.col("literals") >= min_literals) | (F.col("n_changed") == 0)))
     g, z = good.alias("g"), sizes.alias("z")
     same = F.col("g.id").eqNullSafe(F.col("z.id"))
     for x in line[1:]:
