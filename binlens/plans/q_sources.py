@@ -93,3 +93,58 @@ def q_normalize_exports_count(spark, sf_dir):
     p = view(spark, sf_dir, "v_poly")
     return p.select("event_id", F.coalesce(lay.normalize_list_or_dict_count("warnings_json"), F.lit(0))
                     .cast("int").alias("exp_count"))
+
+
+# ---- polymorphic directories and rich headers, as JSON text written from orders -------------
+DIRS = ["EXPORT", "IMPORT", "RESOURCE", "EXCEPTION", "SECURITY"]
+
+
+def _dir_size(i: int) -> str:
+    return f"((o_orderkey * {i + 1} + o_custkey) % 3) * 100"
+
+
+def _dirs_json(kind: str) -> str:
+    """The directories as a JSON list or dict, as a portable SQL text expression."""
+    body = " || ', ' || ".join(
+        (f"""'{{"name": "{d}", "size": ' || CAST({_dir_size(i)} AS VARCHAR(20)) || ', "virtual_address": 7}}'""" if kind == "list" else
+         f"""'"{d}": {{"size": ' || CAST({_dir_size(i)} AS VARCHAR(20)) || '}}'""") for i, d in enumerate(DIRS))
+    return f"'[' || {body} || ']'" if kind == "list" else f"'{{' || {body} || '}}'"
+
+
+_DIRS_TEXT = f"""CASE o_orderkey % 4 WHEN 0 THEN {_dirs_json('list')} WHEN 1 THEN {_dirs_json('dict')}
+  WHEN 2 THEN '17' ELSE NULL END"""
+_FULL = " + ".join(f"CASE WHEN {_dir_size(i)} > 0 THEN 1 ELSE 0 END" for i in range(len(DIRS)))
+
+
+@register("normalize_directories", f"""
+SELECT o_orderkey, CASE WHEN k = 0 THEN 'list' WHEN k = 1 THEN 'dict' ELSE 'none' END AS kind,
+       CAST(CASE WHEN k < 2 THEN {len(DIRS)} ELSE 0 END AS INTEGER) AS datadir_count, CAST(CASE WHEN k < 2 THEN {_FULL} ELSE 0 END AS INTEGER) AS datadir_nonempty,
+       CAST(CASE WHEN k = 0 THEN {_dir_size(2)} ELSE 0 END AS BIGINT) AS dd_resource_size, CAST(CASE WHEN k = 0 AND {_dir_size(4)} > 0 THEN 1 ELSE 0 END AS INTEGER) AS dd_cert_present,
+       CAST(CASE WHEN k < 2 THEN {_dir_size(2)} ELSE 0 END AS BIGINT) AS b_resource_size, CAST(CASE WHEN k < 2 AND {_dir_size(4)} > 0 THEN 1 ELSE 0 END AS INTEGER) AS b_cert_present
+FROM (SELECT *, o_orderkey % 4 AS k FROM orders) o""")
+def q_normalize_directories(spark, sf_dir):
+    """Lists, dicts and other values of the directories, by position (layout A) and by name (layout B)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_DIRS_TEXT).alias("raw"))
+    norm = o.select("o_orderkey", lay.normalize_directories("raw").alias("n"))
+    kind = F.coalesce(F.col("n.kind"), F.lit("none"))
+    b = {c.replace("dd_", "b_"): c for c in ("dd_resource_size", "dd_cert_present")}
+    a_cols = lay.datadir_features(F.col("n"), "A")
+    both = norm.select("o_orderkey", "n", kind.alias("kind"), *a_cols)
+    b_cols = both.select("*", F.struct(*lay.datadir_features(F.col("n"), "B")).alias("b"))
+    return b_cols.select("o_orderkey", "kind", "datadir_count", "datadir_nonempty", "dd_resource_size", "dd_cert_present",
+                         *[F.col(f"b.{c}").alias(name) for name, c in b.items()])
+
+
+_RICH_NUMBERS = "CAST(o_custkey AS VARCHAR(20)) || ', 3, ' || CAST(o_orderkey % 1000 AS VARCHAR(20)) || ', 5'"
+_RICH_TEXT = f"""CASE o_orderkey % 5 WHEN 0 THEN '[' || {_RICH_NUMBERS} || ']' WHEN 1 THEN '{{"values": [' || {_RICH_NUMBERS} || ']}}'
+  WHEN 2 THEN '{{"raw": [' || {_RICH_NUMBERS} || ']}}' WHEN 3 THEN '"text"' ELSE NULL END"""
+
+
+@register("normalize_rich", """
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 < 3 THEN 4 ELSE 0 END AS INTEGER) AS n,
+       CAST(CASE WHEN o_orderkey % 5 < 3 THEN o_custkey + 8 + o_orderkey % 1000 ELSE 0 END AS BIGINT) AS total FROM orders""")
+def q_normalize_rich(spark, sf_dir):
+    """Rich headers as a list, under ``values`` or ``raw``, or something else."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_RICH_TEXT).alias("raw"))
+    r = o.select("o_orderkey", F.coalesce(lay.normalize_rich("raw"), F.array().cast("array<bigint>")).alias("r"))
+    return r.select("o_orderkey", F.size("r").alias("n"), F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
