@@ -44,6 +44,8 @@ from ..session import materialise
 END = b""  # the end of a text, counted as a token; also the context of its first token
 EXACT = 64
 _FLUSH = 400_000
+_BLOCK_BYTES = 16 << 20
+_MANY = 0xFFFF
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -123,13 +125,43 @@ class Symbols:
     endings: dict[bytes, int]
     size: int  # the last symbol is the class of all other words
 
-    def lookup(self):
-        """A function from a word to its symbol."""
-        class Find(dict):
-            def __missing__(found, word):  # noqa: N805
-                return endings.get(word[-2:], rest)
-        endings, rest = self.endings, self.size - 1
-        return Find(self.words).__getitem__
+    def of(self, word: bytes) -> int:
+        at = self.words.get(word)
+        return self.endings.get(word[-2:], self.size - 1) if at is None else at
+
+
+class Block:
+    """The tokens of some texts as numbers: their words are numbered as they come up, and a symbol is looked up
+    once a word."""
+
+    def __init__(self, symbols: Symbols):
+        self.symbols, self.number, self.ids, self.lengths, self.bytes = symbols, defaultdict(), [], [], 0
+        self.number.default_factory = self.number.__len__
+
+    def add(self, text: bytes | None) -> int:
+        toks = tokens_of(text)
+        self.ids.append(np.fromiter(map(self.number.__getitem__, toks), np.int32, len(toks)))
+        self.lengths.append(len(toks))
+        self.bytes += len(text or b"")
+        return self.bytes
+
+    def sequence(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words and their symbols; per token its word, symbol and the symbol before; and where texts start."""
+        words = list(self.number)
+        of_word = np.fromiter(map(self.symbols.of, words), np.int64, len(words))
+        ids = np.concatenate(self.ids)
+        sym = of_word[ids]
+        starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        before = np.concatenate(([0], sym[:-1]))
+        before[starts] = self.symbols.words[END]
+        return words, of_word, ids, sym, before, starts
+
+    def pairs(self) -> np.ndarray:
+        n = self.symbols.size
+        if not self.ids:
+            return np.zeros(n * n, np.int64)
+        *_, sym, before, _ = self.sequence()
+        return np.bincount(before * n + sym, minlength=n * n)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +200,14 @@ def count_pairs(texts: DataFrame, symbols: Symbols) -> DataFrame:
     n = symbols.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, end = symbols.lookup(), symbols.words[END]
         sums = np.zeros(n * n, np.int64)
+        block = Block(symbols)
         for batch in batches:
             for text in batch.column("text"):
-                s = np.fromiter(map(find, tokens_of(text.as_py())), np.int64)
-                code, times = np.unique(np.concatenate(([end], s[:-1])) * n + s, return_counts=True)
-                sums[code] += times
+                if block.add(text.as_py()) >= _BLOCK_BYTES:
+                    sums += block.pairs()
+                    block = Block(symbols)
+        sums += block.pairs()
         code = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(code // n), pa.array(code % n), pa.array(sums[code])], names=["u", "w", "c"])
 
@@ -256,9 +289,9 @@ def word_probabilities(words: DataFrame, symbols: Symbols, sweeps: int, burn: in
     known = list(symbols.words)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, skip = symbols.lookup(), set(known)
+        skip = set(known)
         for batch in batches:
-            rows = [(w, c, find(w), xxhash.xxh64_intdigest(w) - (1 << 63)) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()) if w not in skip]
+            rows = [(w, c, symbols.of(w), xxhash.xxh64_intdigest(w) - (1 << 63)) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()) if w not in skip]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["word", "c", "k", "h"])
 
@@ -296,78 +329,76 @@ def word_probabilities(words: DataFrame, symbols: Symbols, sweeps: int, burn: in
 # Scoring
 
 def _score_blocks(symbols: Symbols, counts: dict[bytes, int], table, norm: float, block_bytes: int, id_type: pa.DataType):
-    """Per block of texts: a row per text (``word`` null) and a row per class word with the texts that hold it."""
+    """Per block of texts: a row per text (``word`` null) and a row per class word with the texts that hold it,
+    as pairs of 16-bit numbers: a text of the block, and how often it has the word."""
+    names = ["block", "ord", "id", "held_out", "n_tokens", "n_known", "base", "score", "word", "k", "texts"]
+    types = [pa.int64(), pa.int32(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, end, logp = symbols.lookup(), symbols.words[END], table.value
-        single = symbols.words
-        base = np.zeros(symbols.size)
-        known = np.zeros(symbols.size, np.int64)
-        for w, i in single.items():
+        logp, n_single = table.value, len(symbols.words)
+        base, known = np.zeros(symbols.size), np.zeros(symbols.size, np.int64)
+        for w, i in symbols.words.items():
             base[i], known[i] = np.log10((counts[w] + 0.1) / norm), counts[w] > 0
-        n_single = len(single)
-        names = ["block", "ord", "id", "held_out", "n_tokens", "n_known", "base", "score", "word", "k", "texts"]
-        types = [pa.int64(), pa.int32(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.binary()]
         part, number = TaskContext.get().partitionId(), 0
-        texts: list[tuple] = []
-        asked: dict[bytes, list[int]] = defaultdict(list)
+        block, named = Block(symbols), []
 
         def rows() -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            block = (part << 32) + number
+            nonlocal number, block
+            at = (part << 32) + number
             number += 1
-            cols = list(zip(*texts))
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, types[0])] + [pa.array(list(c), t) for c, t in zip(cols, types[1:8])] + [pa.nulls(n, t) for t in types[8:]], names=names)
-            words = list(asked)
-            for at in range(0, len(words), 50_000):
-                some = words[at:at + 50_000]
-                m = len(some)
-                packed = []
-                for w in some:
-                    who, times = np.unique(np.array(asked[w], np.int32), return_counts=True) if len(asked[w]) > 1 else (np.array(asked[w], np.int32), np.ones(1))
-                    packed.append(np.concatenate([who, times.astype(np.int32)]).astype("<i4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([block] * m, types[0])] + [pa.nulls(m, t) for t in types[1:8]]
-                                                 + [pa.array(some, types[8]), pa.array([find(w) for w in some], types[9]), pa.array(packed, types[10])], names=names)
-            texts.clear()
-            asked.clear()
-
-        held = 0
+            words, of_word, ids, sym, before, starts = block.sequence()
+            n = len(starts)
+            total = lambda x: np.add.reduceat(x, starts)
+            out = [np.full(n, at), np.arange(n, dtype=np.int32), [x[0] for x in named], [x[1] for x in named], np.array(block.lengths),
+                   total(known[sym]), total(base[sym]), total(logp[before, sym].astype(np.float64))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)] + [pa.nulls(n, t) for t in types[8:]], names=names)
+            rare = sym >= n_single
+            holder = np.repeat(np.arange(n), block.lengths)[rare]
+            code, times = np.unique(ids[rare].astype(np.int64) * n + holder, return_counts=True)
+            split = -(-times // _MANY)  # what is more than 16 bits hold goes into several pairs
+            if (split > 1).any():
+                code = np.repeat(code, split)
+                last = np.cumsum(split) - 1
+                full = np.full(len(code), _MANY)
+                full[last] = times - (split - 1) * _MANY
+                times = full
+            word = code // n
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
+            data = np.stack([code % n, times], 1).astype("<u2")
+            ends = np.concatenate((first[1:], [len(word)]))
+            for i in range(0, len(first), 100_000):
+                f, e = first[i:i + 100_000], ends[i:i + 100_000]
+                m = len(f)
+                offsets = (np.concatenate((f, e[-1:])) - f[0]).astype(np.int32) * 4
+                texts = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[f[0]:e[-1]].tobytes())])
+                own = word[f]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, at)), *[pa.nulls(m, t) for t in types[1:8]], pa.array([words[j] for j in own], types[8]),
+                                                  pa.array(of_word[own].astype(np.int32)), texts], names=names)
+            block = Block(symbols)
+            named.clear()
+
         for batch in batches:
             for name, out, text in zip(batch.column("id"), batch.column("held_out"), batch.column("text")):
-                text = text.as_py() or b""
-                toks = tokens_of(text)
-                s = np.fromiter(map(find, toks), np.int64, len(toks))
-                score = float(logp[np.concatenate(([end], s[:-1])), s].sum(dtype=np.float64))
-                alone = s < n_single
-                i = len(texts)
-                texts.append((i, name.as_py(), out.as_py(), len(toks), int(known[s[alone]].sum()), float(base[s[alone]].sum()), score))
-                for j in np.flatnonzero(~alone).tolist():
-                    asked[toks[j]].append(i)
-                held += len(text)
-                if held >= block_bytes:
+                named.append((name.as_py(), out.as_py()))
+                if block.add(text.as_py()) >= block_bytes or len(named) > _MANY:
                     yield from rows()
-                    held = 0
-        if texts:
+        if named:
             yield from rows()
     return run
 
 
-def _sum_block(unknown: np.ndarray, norm: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        c = rows["c"].fillna(0).to_numpy(np.float64)
-        lp = np.where(c > 0, rows["lp"].to_numpy(np.float64), unknown[rows["k"].to_numpy(np.int64)])
-        pairs = [np.frombuffer(x, "<i4") for x in rows["texts"]]
-        half = np.array([len(x) // 2 for x in pairs])
-        who = np.concatenate([x[:len(x) // 2] for x in pairs]).astype(np.int64)
-        times = np.concatenate([x[len(x) // 2:] for x in pairs]).astype(np.float64)
-        size = int(who.max()) + 1
-        sums = [np.bincount(who, times * np.repeat(x, half), size) for x in (lp, np.log10((c + 0.1) / norm), c > 0)]
-        return pd.DataFrame({"block": int(rows["block"].iloc[0]), "ord": np.arange(size), "lp2": sums[0], "base2": sums[1], "known2": np.rint(sums[2]).astype(np.int64)})
-    return run
+def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sums over class words of each text of a block: log probabilities, base scores and known tokens."""
+    pairs = np.frombuffer(b"".join(rows["texts"]), "<u2").reshape(-1, 2).astype(np.int64)
+    each = np.fromiter(map(len, rows["texts"]), np.int64, len(rows)) // 4
+    who, times = pairs[:, 0], pairs[:, 1]
+    size = int(who.max()) + 1
+    sums = [np.bincount(who, times * np.repeat(rows[x].to_numpy(np.float64), each), size) for x in ("lp", "base", "known")]
+    return pd.DataFrame({"block": int(rows["block"].iloc[0]), "ord": np.arange(size), "lp2": sums[0], "base2": sums[1], "known2": np.rint(sums[2]).astype(np.int64)})
 
 
 def pitman_yor_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", share: float = 1 / 2000,
-                      sweeps: int = 5, burn: int = 2, concentration: float = 1.0, block_bytes: int = 8 << 20) -> DataFrame:
+                      sweeps: int = 5, burn: int = 2, concentration: float = 1.0, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
     """One row per input row: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The model learns from the rows where ``held_out`` is false. A null or empty text is the end
@@ -391,9 +422,12 @@ def pitman_yor_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", t
         rows, kind = rows.withColumn("id", F.col("id").cast("string")), "string"
     asked = materialise(rows.mapInArrow(
         _score_blocks(symbols, counts, table, norm, block_bytes, id_type),
-        f"block long, ord int, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, k int, texts binary"), "asked")
-    answered = asked.where("word is not null").select("block", "word", "k", "texts").join(model, "word", "left").select("block", "k", "texts", "c", "lp")
-    sums = answered.groupBy("block").applyInPandas(_sum_block(unknown, norm), "block long, ord int, lp2 double, base2 double, known2 long")
+        f"block long, ord int, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, k int, texts binary"), "asked", compression="zstd")
+    lp = F.coalesce("lp", F.element_at(F.lit(unknown.tolist()), F.col("k") + 1))
+    seen = F.coalesce("c", F.lit(0))
+    answered = (asked.where("word is not null").select("block", "word", "k", "texts").join(model, "word", "left")
+                .select("block", "texts", lp.alias("lp"), F.log10((seen + 0.1) / norm).alias("base"), (seen > 0).cast("byte").alias("known")))
+    sums = answered.groupBy("block").applyInPandas(_sum_block, "block long, ord int, lp2 double, base2 double, known2 long")
     out = asked.where("word is null").join(sums, ["block", "ord"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + zero("known2")).alias("n_known"),
