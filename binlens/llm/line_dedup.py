@@ -4,8 +4,8 @@ Plan: explode the distinct normalised lines of each document, hash them, count d
 per hash (partially aggregated: a line that every document has costs one row per task) and
 keep the frequent hashes, which are usually few and written once, so Spark knows their true
 size and broadcasts them or not. Only (document, position, hash) of lines then meets that
-table; the positions to drop meet the documents, and each document is put together from the
-runs of lines between the dropped positions, in linear time.
+table; the marks of a document's lines, in order, meet the document, and it is put together
+from the lines that are not marked, in linear time.
 """
 
 from __future__ import annotations
@@ -45,19 +45,18 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     frequent = keys.groupBy("h").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("h")
     frequent = materialise(frequent, "line-dedup")
 
-    # Positions of frequent lines, for each document (repeated rows have the same).
+    # Which lines of a document are frequent, in order (repeated rows have the same).
     at = docs.select("id", "version", F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line")))
-    at = at.where(F.length("key") >= min_chars).select("id", "version", "pos", key_hash(F.col("key")).alias("h"))
-    drops = (at.join(frequent, "h", "left_semi").groupBy("id", "version")
-             .agg(F.sort_array(F.collect_set("pos")).alias("gone")))
-
-    # Runs of lines between dropped positions.
-    d, g = docs.alias("d"), drops.alias("g")
-    both = d.join(g, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.version") == F.col("g.version")), "left")
-    both = both.select(F.col("d.id").alias("id"), "lines", F.size("lines").alias("n"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.col("n")))
-    both = both.select("id", "lines", "n", "gone", edges.alias("edges"), F.size(edges).alias("n_edges"))
-    run = F.transform(F.sequence(F.lit(1), F.col("n_edges") - 1),
-                      lambda i: F.slice("lines", F.col("edges")[i - 1] + 2, F.col("edges")[i] - F.col("edges")[i - 1] - 1))
-    return both.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_lines"),
-                       F.size("gone").cast("long").alias("n_dropped"), F.array_join(F.flatten(run), "\n").alias("kept"))
+    # Keys that are too short stand for themselves: as nulls they would all meet in one task.
+    own = F.struct(F.xxhash64("version", "pos").alias("a"), F.xxhash64("pos", "version", "id").alias("b"))
+    at = at.select("id", "version", "pos", F.when(F.length("key") >= min_chars, key_hash(F.col("key"))).otherwise(own).alias("h"))
+    marked = at.join(frequent.withColumn("gone", F.lit(True)), "h", "left")
+    marked = marked.groupBy("id", "version").agg(F.sort_array(F.collect_set(F.struct("pos", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("marks"))
+
+    # Each document put together from its other lines.
+    d, g = docs.alias("d"), marked.alias("g")
+    both = d.join(g, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.version") == F.col("g.version")))
+    left = F.array_compact(F.zip_with("lines", "marks", lambda line, mark: F.when(~mark["gone"], line)))
+    both = both.select(F.col("d.id").alias("id"), F.size("lines").cast("long").alias("n"), left.alias("left"))
+    return both.select(F.col("id").alias(id_col), F.col("n").alias("n_lines"), (F.col("n") - F.size("left")).cast("long").alias("n_dropped"),
+                       F.array_join("left", "\n").alias("kept"))
