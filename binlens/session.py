@@ -65,6 +65,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def bound_batches(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
+    """Arrow batches of texts by rows and bytes, where the session leaves Spark's defaults (10,000 rows of any size)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``binlens`` importable in the Python workers (Arrow UDFs, mapInPandas).
 
