@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, shared_path
+from ..session import bound_batches, ensure_checkpoint_dir, shared_path
 from .decontaminate import UNITS, find_leaks
 from .exact_dedup import exact_dedup
 from .langid import predict_language, train_language
@@ -35,6 +35,7 @@ def register(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,13 +16,17 @@ offset in its part.
 
 from __future__ import annotations
 
+import gc
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -40,16 +44,21 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: white space of any script but single spaces and line feeds inside a text, or a zero byte
+_ODD_SPACE = (r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+              r"|[ \n][ \n]|\A[ \n]|[ \n]\z")
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, as little-endian 32-bit bytes.
 
     Its pre-tokenizer always cuts before a single space, and around a single line feed, between
     characters that are not white space, and between a letter and a full stop or comma. Pieces
-    between such cuts are encoded by the library once and remembered (up to ``remember`` short
-    pieces); a text with any other white space goes to the library whole.
+    between such cuts are found by Arrow, encoded by the library once and remembered (up to
+    ``remember`` short pieces); a text with any other white space goes to the library whole.
     """
 
-    def __init__(self, name: str, remember: int = 1_500_000):
+    def __init__(self, name: str, remember: int = 250_000):
         if name not in _TOKENIZERS:
             import os
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -66,15 +75,6 @@ class Encoder:
                 x.byteswap()
         return [x.tobytes() for x in ids]
 
-    @staticmethod
-    def pieces(text: str) -> list[str] | None:
-        """Texts whose encodings, one after the other, are the encoding of the whole text; None: use the library."""
-        flat = text.replace("\n", " ")
-        # str.split() cuts at every white space, so joined by single spaces its words must give the text back
-        if "\0" in text or " ".join(flat.split()) != flat:
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
     def _learn(self, pieces: set[str]) -> None:
         known = self.known
         stems = [p for p in pieces if p[-1:] in (".", ",") and p[-2:-1].isalpha()]
@@ -83,17 +83,47 @@ class Encoder:
             known.update(zip(new[at:at + 10_000], self.library(new[at:at + 10_000])))
         known.update([(p, known[p[:-1]] + known[p[-1]]) for p in stems])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.remember:
-            self.known.clear()
-        cut = [self.pieces(t) for t in texts]
-        missing = set().union(*(c for c in cut if c is not None)).difference(self.known)
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        known = self.known
+        if len(known) > self.remember:  # the pieces learned last are the rarest
+            for p in list(known)[self.remember // 2:]:
+                del known[p]
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        plain = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        missing = set(filterfalse(known.__contains__, pieces))
         self._learn(missing)
-        ids_of = self.known.__getitem__
-        out = [self.library([t])[0] if c is None else b"".join(map(ids_of, c)) for t, c in zip(texts, cut)]
+        found = list(map(known.__getitem__, pieces))
         for p in [p for p in missing if len(p) > 48]:
-            del self.known[p]
-        return out
+            del known[p]
+        # every piece's ids in the place of the piece
+        pool = np.frombuffer(b"".join(found), "<u4")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        index = np.asarray(coded.indices)
+        each = length[index]
+        ends = np.cumsum(each)
+        begin = (np.cumsum(length) - length)[index]
+        ids = pool[np.arange(int(each.sum())) + np.repeat(begin - (ends - each), each)]
+        upto = np.concatenate(([0], ends))
+        offsets = np.asarray(cut.offsets)
+        counts = upto[offsets[1:] - offsets[0]] - upto[offsets[:-1] - offsets[0]]
+        where = np.flatnonzero(np.asarray(odd))
+        if len(where):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i, t in zip(where, texts.take(pa.array(where)).to_pylist()):
+                parts[i] = np.frombuffer(self.library([t])[0], "<u4")
+                counts[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, counts
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, counts = self.encode_array(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(counts)
+        return [ids[e - n:e].tobytes() for e, n in zip(ends, counts)]
 
 
 def shuffle_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -119,26 +149,32 @@ def unshuffle_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").reshape(-1)[:n]
 
 
-def crc32_join(first: int, second: int, length: int) -> int:
-    """crc32 of two byte strings one after the other, from theirs; ``length``: of the second.
+def _image(columns: list[int], v: int) -> int:
+    """A vector of bits under a linear map, given by the images of the 32 bits."""
+    out, k = 0, 0
+    while v:
+        if v & 1:
+            out ^= columns[k]
+        v, k = v >> 1, k + 1
+    return out
 
-    Appending a zero byte is a linear map of the 32 bits of the state; ``length`` of them are
-    its power, taken by squaring (columns of 32 bits as integers).
-    """
-    def apply(columns: list[int], v: int) -> int:
-        out, k = 0, 0
-        while v:
-            if v & 1:
-                out ^= columns[k]
-            v, k = v >> 1, k + 1
-        return out
-
-    power = [zlib.crc32(b"\0", (1 << k) ^ 0xFFFFFFFF) ^ zlib.crc32(b"\0", 0xFFFFFFFF) for k in range(32)]
+
+@cache
+def _zeros_appended(power: int) -> list[int]:
+    """What 2 ** power zero bytes do to the state of a crc32."""
+    if power == 0:
+        return [zlib.crc32(b"\0", (1 << k) ^ 0xFFFFFFFF) ^ zlib.crc32(b"\0", 0xFFFFFFFF) for k in range(32)]
+    half = _zeros_appended(power - 1)
+    return [_image(half, c) for c in half]
+
+
+def crc32_join(first: int, second: int, length: int) -> int:
+    """crc32 of two byte strings one after the other, from theirs; ``length``: of the second."""
+    power = 0
     while length:
         if length & 1:
-            first = apply(power, first)
-        power = [apply(power, c) for c in power]
-        length >>= 1
+            first = _image(_zeros_appended(power), first)
+        length, power = length >> 1, power + 1
     return first ^ second
 
 
@@ -148,8 +184,16 @@ def _file_rows(id_type: pa.DataType) -> pa.Schema:
                       ("at", pa.list_(pa.int32())), ("count", pa.list_(pa.int32()))])
 
 
+def _slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of texts of about ``size`` bytes."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(total // size)) + 1
+    bounds = [0, *cuts.tolist(), len(texts)]
+    return ((a, b - a) for a, b in zip(bounds, bounds[1:]) if b > a)
+
+
 def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json",
-                      end_id: int = 2, block_ids: int = 1 << 16, kind: str = "byte", docs_at_once: int = 256) -> None:
+                      end_id: int = 2, block_ids: int = 1 << 16, kind: str = "byte", slice_bytes: int = 4 << 20) -> None:
     """Encode every whole text (null: empty), end it with ``end_id``, and write the ids to ``path`` by ascending id.
 
     Null ids come first; rows that repeat an id stand side by side, ordered by a hash of their
@@ -179,19 +223,23 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
             index.clear()
             return out
 
+        gc.disable()  # millions of small strings are remembered, and no cycles are made
         for batch in batches:
-            names, texts = batch.column("id").to_pylist(), batch.column("text")
-            for at in range(0, len(names), docs_at_once):
-                for name, ids in zip(names[at:at + docs_at_once], encoder.encode(texts[at:at + docs_at_once].to_pylist())):
-                    ids, piece, done = ids + end, 0, 0
-                    while done < len(ids):
-                        take = min(len(ids) - done, 4 * block_ids - len(held))
+            for at, size in _slices(batch.column("text"), slice_bytes):
+                some = batch.slice(at, size)
+                ids, counts = encoder.encode_array(some.column("text"))
+                ends = np.cumsum(counts)
+                for name, own in zip(some.column("id").to_pylist(), (ids[e - n:e].tobytes() for e, n in zip(ends, counts))):
+                    ids_, piece, done = own + end, 0, 0
+                    while done < len(ids_):
+                        take = min(len(ids_) - done, 4 * block_ids - len(held))
                         index.append((name, seq, piece, len(held) // 4, take // 4))
-                        held += ids[done:done + take]
+                        held += ids_[done:done + take]
                         done, piece = done + take, piece + 1
                         if len(held) == 4 * block_ids:
                             yield close()
                     seq += 1
+        gc.enable()
         if held:
             yield close()
 

@@ -18,7 +18,7 @@ from binlens.llm.quality import quality_score, train_quality
 from binlens.llm.simhash import keep_one_of_each, simhash_components
 from binlens.llm.text import hash_bits
 from binlens.llm.token_files import read_token_files, write_token_files
-from binlens.session import ensure_checkpoint_dir, materialise, shared_path, ship_package
+from binlens.session import bound_batches, ensure_checkpoint_dir, materialise, shared_path, ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,7 @@ def _stage(fn):
     @functools.wraps(fn)
     def ready(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
+        bound_batches(spark)
         ship_package(spark)
         return fn(spark, docs, sf_dir)
     return ready
