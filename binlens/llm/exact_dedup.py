@@ -18,6 +18,10 @@ from ..session import materialise
 from .text import lower_az, whole
 
 
+#: parts into which rows of one hash are dealt before its size is known
+SALTS = 16
+
+
 def content_hash(norm: Column) -> Column:
     """128 bits of the normalised text."""
     return F.unhex(F.md5(norm.cast("binary")))
@@ -46,7 +50,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     # Texts of hashes with several rows, each against the text of the staying row.
     salt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("salts")).cast("int")
-    members = materialise(base.join(groups, "h").select("id", "h", "n", "keep", "salts", salt.alias("salt"), "norm"), "members")
+    # The join itself is salted too: every group is there SALTS times, and a row meets one of them.
+    copies = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")).hint("merge")
+    dealt = base.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    members = materialise(dealt.join(copies, ["h", "s"]).select("id", "h", "n", "keep", "salts", salt.alias("salt"), "norm"), "members")
     own = members.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("h", "salts").agg(F.min("norm").alias("own"))
     own = own.select("h", "own", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     same = F.col("norm") == F.col("own")
