@@ -46,7 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of every row by ascending doc_id, and per row what they hold."""
     path = shared_path(spark, "token-files")
-    write_token_files(docs, path, vocabulary="byte_bpe_50k.json", end_id=2)
+    # workers of the other stages share their memory with this one's
+    write_token_files(docs, path, vocabulary="byte_bpe_50k.json", end_id=2, remember=250_000)
     return read_token_files(spark.read.parquet(f"{path}/ids"))
 
 
