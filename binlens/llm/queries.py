@@ -13,12 +13,12 @@ from .exact_dedup import exact_dedup
 from .langid import predict_language, train_language
 from .line_dedup import line_dedup
 from .mixing import mix
-from .pitman_yor import pitman_yor_scores
 from .quality import quality_score, train_quality
 from .rendezvous import shard
 from .simhash import simhash_components
 from .text import hash_bits, whole
 from .token_files import read_token_files, write_token_files
+from .word_model import word_pair_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,4 +159,4 @@ def op9(spark, sf_dir):
 def op2(spark, sf_dir):
     """Every text's log10 probability by a model learned from nine tenths of the texts."""
     docs = table(spark, sf_dir, "documents")
-    return pitman_yor_scores(docs, hash_bits(F.col("doc_id"), 10) == 0, share=1 / 2000)
+    return word_pair_scores(docs, hash_bits(F.col("doc_id"), 10) == 0)
