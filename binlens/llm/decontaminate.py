@@ -3,15 +3,17 @@
 Both texts become templates: names (a capitalised word inside a sentence), numbers, and units
 after numbers turn into typed placeholders, other words are lower-cased (A-Z) and lose the
 punctuation at their ends; tokens of punctuation alone go. What is looked for are windows of
-``window`` template tokens that an item and a document share. Every such window holds an anchor,
-a shorter window that starts at a ``stride``-th token of the document; anchors are hashed where
-the documents lie and meet the hashes of the benchmark's windows of that length, which are
-written once so that their number is known: up to ``broadcast_rows`` of them are broadcast, more
-are joined by a shuffle. Only documents with a hit are looked at again: an anchor fixes an
-alignment of one document, one item and an offset, in which all tokens are compared. Runs of
-``window`` equal tokens or more are kept, and their slots must be consistent: one value of the
-item stands for one value of the document throughout. A question with other numbers or names in
-it is found; a chance meeting of placeholders is not.
+``window`` tokens that an item and a document share, as templates or as plain words (a copy in
+lower case has no names, and a word after a heading is one for its surroundings). Every such
+window holds an anchor, a shorter window that starts at a ``stride``-th token of the document;
+anchors are hashed where the documents lie, in each kind, and meet the hashes of the benchmark's
+windows of that length, which are written once so that their number is known: up to
+``broadcast_rows`` of them are broadcast, more are joined by a shuffle. Only documents with a hit
+are looked at again: an anchor fixes an alignment of one document, one item and an offset, in
+which all tokens are compared: equal are those with equal templates or equal words. Runs of ``window`` equal tokens or more are kept, and
+their slots must be consistent: one value of the item stands for one value of the document
+throughout.
+A question with other numbers or names in it is found; a chance meeting of placeholders is not.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ _GAP = "\\x20\\x09-\\x0D"
 _WORD = f"\\p{{L}}\\p{{N}}{NAME}{NUMBER}{UNIT}"
 _UNITS = "|".join(UNITS)
 # Each pattern begins with a class that few characters are in, and looks back only from there.
-#: white space and a word with one capital, where no end of a sentence stands before
-_NAME_AT = f"([{_GAP}](?<=[^.!?:{_GAP}][{_GAP}])[{_GAP}]*+)\\p{{Lu}}\\p{{Ll}}++(?=[^{_WORD}{_GAP}]*+(?:[{_GAP}]|\\z))"
+#: white space and a word with one capital, where no end of a sentence stands before; and where no line ends there either
+_NAME_AT, _NAME_IN_LINE = (f"([{gap}](?<=[^.!?:{_GAP}][{gap}])[{gap}]*+)\\p{{Lu}}\\p{{Ll}}++(?=[^{_WORD}{_GAP}]*+(?:[{_GAP}]|\\z))" for gap in (_GAP, "\\x20\\x09\\x0B-\\x0D"))
+#: a text without it has the same names by both
+_LINE_NAME = f"\\n(?<=[^.!?:]\\n)[{_GAP}]*+\\p{{Lu}}\\p{{Ll}}"
 #: punctuation at the start of a token, or at its end
 _EDGES = f"[^{_WORD}{_GAP}](?:(?<![^{_GAP}][^{_WORD}{_GAP}])[^{_WORD}{_GAP}]*+|(?<=[{_WORD}][^{_WORD}{_GAP}])[^{_WORD}{_GAP}]*+(?=[{_GAP}]|\\z))"
 _NUMBER_AT = f"[0-9](?<![^{_GAP}][0-9])[0-9.,:/-]*+(?:{_UNITS})?(?![^{_GAP}])"
@@ -58,9 +62,9 @@ def plain_tokens(text: Column) -> Column:
     return _split(_plain(text))
 
 
-def template_tokens(text: Column) -> Column:
+def template_tokens(text: Column, name_at: str = _NAME_AT) -> Column:
     """As many tokens as ``plain_tokens``, with placeholders for names, numbers and units."""
-    clean = _plain(F.regexp_replace(text, _NAME_AT, f"$1{NAME}"))
+    clean = _plain(F.regexp_replace(text, name_at, f"$1{NAME}"))
     return _split(F.regexp_replace(F.regexp_replace(clean, _NUMBER_AT, NUMBER), _UNIT_AT, f"{NUMBER}$1{UNIT}"))
 
 
@@ -78,9 +82,12 @@ def _whole_version(text_col: str) -> Column:
 
 
 def _windows(df: DataFrame, keys: list[str], length: int, stride: int = 1) -> DataFrame:
-    """``keys, pos, h`` of windows of ``text``."""
-    hashed = df.select(*keys, F.transform(template_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("t"))
-    return hashed.select(*keys, F.inline(window_hashes(F.col("t"), F.size("t"), length, stride)))
+    """``keys, pos, h`` of windows of ``text``: of its templates, and where they differ of its plain tokens and of templates whose names are inside a line."""
+    kinds = {"t": template_tokens(F.col("text")), "p": plain_tokens(F.col("text")), "l": F.when(F.col("text").rlike(_LINE_NAME), template_tokens(F.col("text"), _NAME_IN_LINE))}
+    hashed = df.select(*keys, *[F.transform(tokens, lambda t: F.xxhash64(t)).alias(name) for name, tokens in kinds.items()])
+    own = {name: window_hashes(F.col(name), F.size(name), length, stride) for name in kinds}
+    other = lambda t, name: F.array_compact(F.zip_with(t, own[name], lambda a, b: F.when(a["h"] != b["h"], b)))
+    return hashed.select(*keys, F.inline(bind(own["t"], lambda t: F.concat(t, other(t, "p"), other(t, "l")))))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -133,28 +140,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     c, d = cells.alias("c"), doc_tokens.alias("d")
     both = c.join(d, F.col("c.id").eqNullSafe(F.col("d.id")) & (F.col("c.version") == F.col("d.version")) & (F.col("c.pos") == F.col("d.pos")))
     both = both.select(*[F.col(f"c.{x}").alias(x) for x in line], "n", "at", F.col("i.template").alias("it"), F.col("i.plain").alias("ip"),
-                       F.col("d.d.template").alias("dt"), F.col("d.d.plain").alias("dp")).where("it = dt")
-    # Runs of n equal tokens or more (windows over one item's tokens).
-    both = both.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*line).orderBy("at")))
-    both = both.withColumn("length", F.count("*").over(Window.partitionBy(*line, "run"))).where("length >= n")
-    sizes = both.groupBy(*line).agg((F.count("*") - (F.first("n") - 1) * F.countDistinct("run")).alias("n_windows"))
-    slot = F.col("it").isin(NAME, NUMBER, UNIT)
-    # Per value of a slot first, so that one alignment of any length is summed from partial counts.
-    values = both.groupBy(*line, F.when(slot, F.col("it")).alias("kind"), F.when(slot, F.col("ip")).alias("value")).agg(
-        F.count("*").alias("n"), F.min("dp").alias("lo"), F.max("dp").alias("hi"), F.sum((F.col("ip") != F.col("dp")).cast("long")).alias("changed"))
-    is_slot = F.col("kind").isNotNull()
-    judged = values.groupBy(*line).agg(
-        F.sum(F.when(is_slot & (F.col("lo") != F.col("hi")), 1).otherwise(0)).alias("torn"),
-        F.sum(F.when(~is_slot, F.col("n")).otherwise(0)).alias("literals"),
-        F.sum(F.when(is_slot, F.col("n")).otherwise(0)).alias("n_slots"), F.sum(F.when(is_slot, F.col("changed")).otherwise(0)).alias("n_changed"))
-    good = judged.where((F.col("torn") == 0) & ((F.col("literals") >= min_literals) | (F.col("n_changed") == 0)))
-    g, z = good.alias("g"), sizes.alias("z")
-    same = F.col("g.id").eqNullSafe(F.col("z.id"))
-    for x in line[1:]:
-        same = same & (F.col(f"g.{x}") == F.col(f"z.{x}"))
-    full = g.join(z, same).select("g.id", "g.version", "g.item", "g.copy", "n_windows", "n_slots", "n_changed")
+                       F.col("d.d.template").alias("dt"), F.col("d.d.plain").alias("dp")).where("it = dt or ip = dp")
+    slot, differs = F.col("it").isin(NAME, NUMBER, UNIT), F.col("ip") != F.col("dp")
+    # Runs of n equal tokens or more (windows over one item's tokens): of equal templates, of either kind.
+    for name, equal in (("alike", F.expr("it = dt")), ("equal", F.lit(True))):
+        both = both.withColumn(name, equal).withColumn(f"{name}_run", F.col("at") - F.row_number().over(Window.partitionBy(*line, name).orderBy("at")))
+        both = both.withColumn(name, F.col(name) & (F.count("*").over(Window.partitionBy(*line, name, f"{name}_run")) >= F.col("n")))
+    both = both.where("equal")
+    # What fits is consistent, a value of a slot having one value of the document, and has literal tokens or no changed value.
+    for name, by in (("fits_alike", [*line, "alike"]), ("fits", line)):
+        value, part = Window.partitionBy(*by, "it", "ip"), Window.partitionBy(*by)
+        both = both.withColumn("one", ~slot | (F.min("dp").over(value) == F.max("dp").over(value)))
+        literals, changed = (F.count(F.when(x, 1)).over(part) for x in (~slot, slot & differs))
+        both = both.withColumn(name, F.min("one").over(part) & ((literals >= min_literals) | (changed == 0)))
+    # Templates that fit count alone; else the alignment if it fits.
+    both = both.withColumn("fits_alike", F.col("alike") & F.col("fits_alike")).withColumn("found", F.max("fits_alike").over(Window.partitionBy(*line)))
+    both = both.withColumn("piece", F.when(F.col("found"), F.col("alike_run")).otherwise(F.col("equal_run")))
+    both = both.where(F.when(F.col("found"), F.col("alike")).otherwise(F.col("fits")))
+    full = both.groupBy(*line).agg((F.count("*") - (F.first("n") - 1) * F.countDistinct("piece")).alias("n_windows"), F.first("found").alias("found"),
+                                   F.count(F.when(slot, 1)).alias("n_slots"), F.count(F.when(slot & differs, 1)).alias("n_changed"))
     full = full.join(items.select("item", "copy", F.greatest(F.col("tokens") - window + 1, F.lit(1)).alias("item_windows")), ["item", "copy"])
-    best = F.max(F.struct("n_windows", (-F.col("n_changed")).alias("same"), "n_slots", "item_windows")).alias("x")
+    best = F.max(F.struct("found", "n_windows", (-F.col("n_changed")).alias("same"), "n_slots", "item_windows")).alias("x")
     return (full.groupBy("id", "version", "item").agg(best)
             .select("id", "version", F.col("item").alias("item_id"), F.col("x.n_windows").cast("long").alias("n_windows"), F.col("x.item_windows").cast("long").alias("item_windows"),
                     F.col("x.n_slots").cast("long").alias("n_slots"), (-F.col("x.same")).cast("long").alias("n_changed")))

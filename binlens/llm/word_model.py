@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .pitman_yor import _BLOCK_BYTES, _FLUSH, _MANY, END, Block, discount, seat, tokens_of
+from .pitman_yor import _FLUSH, _MANY, END, Block, discount, seat, tokens_of
 
+_BLOCK_BYTES = 6 << 20
 _ENTRIES = 2_000_000  # sums of texts that a task holds
 
 
