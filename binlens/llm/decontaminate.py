@@ -12,7 +12,7 @@ windows of that length, which are written once so that their number is known: up
 are looked at again: an anchor fixes an alignment of one document, one item and an offset, in
 which all tokens are compared: equal are those with equal templates or equal words. Runs of ``window`` equal tokens or more are kept, and
 their slots must be consistent: one value of the item stands for one value of the document
-throughout.
+throughout the alignment, or else throughout the run. Runs of ``window`` equal words always stay.
 A question with other numbers or names in it is found; a chance meeting of placeholders is not.
 """
 
@@ -97,7 +97,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     ``version`` is a hash of the text, so that rows which repeat an id with another text are
     judged on their own; equal rows give one row here. ``n_windows``: the most windows of the item in one alignment;
     ``n_slots`` and ``n_changed``: its placeholders, and those whose values differ. An alignment
-    needs ``min_literals`` tokens that are no placeholders, or no changed value. An item of fewer
+    or run needs ``min_literals`` tokens that are no placeholders, or no changed value. An item of fewer
     than ``window`` tokens is looked for as one window of its own length, if that has
     ``min_literals`` tokens at least; shorter ones cannot be told from chance and are never found.
     Null texts are empty; null ids of documents count, items with a null id are passed over, and
@@ -142,21 +142,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     both = both.select(*[F.col(f"c.{x}").alias(x) for x in line], "n", "at", F.col("i.template").alias("it"), F.col("i.plain").alias("ip"),
                        F.col("d.d.template").alias("dt"), F.col("d.d.plain").alias("dp")).where("it = dt or ip = dp")
     slot, differs = F.col("it").isin(NAME, NUMBER, UNIT), F.col("ip") != F.col("dp")
-    # Runs of n equal tokens or more (windows over one item's tokens): of equal templates, of either kind.
-    for name, equal in (("alike", F.expr("it = dt")), ("equal", F.lit(True))):
+    # Runs of n equal tokens or more (windows over one item's tokens): of equal templates, of either kind, of equal words.
+    for name, equal in (("alike", F.expr("it = dt")), ("equal", F.lit(True)), ("verbatim", ~differs)):
         both = both.withColumn(name, equal).withColumn(f"{name}_run", F.col("at") - F.row_number().over(Window.partitionBy(*line, name).orderBy("at")))
         both = both.withColumn(name, F.col(name) & (F.count("*").over(Window.partitionBy(*line, name, f"{name}_run")) >= F.col("n")))
     both = both.where("equal")
     # What fits is consistent, a value of a slot having one value of the document, and has literal tokens or no changed value.
-    for name, by in (("fits_alike", [*line, "alike"]), ("fits", line)):
+    for name, by in (("fits_alike", [*line, "alike"]), ("fits", line), ("fits_run", [*line, "equal_run"])):
         value, part = Window.partitionBy(*by, "it", "ip"), Window.partitionBy(*by)
         both = both.withColumn("one", ~slot | (F.min("dp").over(value) == F.max("dp").over(value)))
         literals, changed = (F.count(F.when(x, 1)).over(part) for x in (~slot, slot & differs))
         both = both.withColumn(name, F.min("one").over(part) & ((literals >= min_literals) | (changed == 0)))
-    # Templates that fit count alone; else the alignment if it fits.
+    # Templates that fit count alone; else the alignment if it fits, else its runs that fit, and of the others what is word for word.
     both = both.withColumn("fits_alike", F.col("alike") & F.col("fits_alike")).withColumn("found", F.max("fits_alike").over(Window.partitionBy(*line)))
-    both = both.withColumn("piece", F.when(F.col("found"), F.col("alike_run")).otherwise(F.col("equal_run")))
-    both = both.where(F.when(F.col("found"), F.col("alike")).otherwise(F.col("fits")))
+    part = F.col("fits") | F.col("fits_run")
+    both = both.withColumn("piece", F.when(F.col("found"), F.struct(F.col("alike_run").alias("a"), F.lit(0).cast("long").alias("b")))
+                           .otherwise(F.struct(F.col("equal_run").alias("a"), F.when(part, F.lit(0).cast("long")).otherwise(F.col("verbatim_run")).alias("b"))))
+    both = both.where(F.when(F.col("found"), F.col("alike")).otherwise(part | F.col("verbatim")))
     full = both.groupBy(*line).agg((F.count("*") - (F.first("n") - 1) * F.countDistinct("piece")).alias("n_windows"), F.first("found").alias("found"),
                                    F.count(F.when(slot, 1)).alias("n_slots"), F.count(F.when(slot & differs, 1)).alias("n_changed"))
     full = full.join(items.select("item", "copy", F.greatest(F.col("tokens") - window + 1, F.lit(1)).alias("item_windows")), ["item", "copy"])
