@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-_CACHE: dict[str, dict[str, bytes]] = {}
-_TOKENIZERS: dict[str, object] = {}
+_CACHE: dict[tuple[str, bool], dict[str, bytes]] = {}
+_TOKENIZERS: dict[tuple[str, bool], object] = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -56,16 +56,19 @@ class Encoder:
     characters that are not white space, and between a letter and a full stop or comma. Pieces
     between such cuts are found by Arrow, encoded by the library once and remembered (up to
     ``remember`` short pieces); a text with any other white space goes to the library whole.
+    ``split_special``: the names of special tokens in a text are text like any other, and not the
+    one id that the tokenizer as loaded gives them.
     """
 
-    def __init__(self, name: str, remember: int = 1_200_000):
-        if name not in _TOKENIZERS:
+    def __init__(self, name: str, remember: int = 1_200_000, split_special: bool = True):
+        key = (name, split_special)
+        if key not in _TOKENIZERS:
             import os
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
-            _TOKENIZERS[name] = Tokenizer.from_file(vocabulary_path(name))
-            _TOKENIZERS[name].encode_special_tokens = True
-        self.tokenizer, self.known, self.remember = _TOKENIZERS[name], _CACHE.setdefault(name, {}), remember
+            _TOKENIZERS[key] = Tokenizer.from_file(vocabulary_path(name))
+            _TOKENIZERS[key].encode_special_tokens = split_special
+        self.tokenizer, self.known, self.remember = _TOKENIZERS[key], _CACHE.setdefault(key, {}), remember
 
     def library(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -194,7 +197,7 @@ def _slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 
 def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json",
                       end_id: int = 2, block_ids: int = 1 << 16, kind: str = "byte", slice_bytes: int = 4 << 20, remember: int = 1_200_000) -> None:
-    """Encode every whole text (null: empty), end it with ``end_id``, and write the ids to ``path`` by ascending id.
+    """Encode every whole text (null: empty) by the tokenizer as loaded, end it with ``end_id``, and write the ids to ``path`` by ascending id.
 
     Null ids come first; rows that repeat an id stand side by side, ordered by a hash of their
     texts. Texts of any length flow from block to block. An empty table gives an empty folder.
@@ -209,7 +212,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     schema = _file_rows(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary, remember), TaskContext.get().partitionId()
+        encoder, part = Encoder(vocabulary, remember, split_special=False), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         held, index, first, block, seq = bytearray(), [], 0, 0, 0
 
