@@ -23,8 +23,8 @@ def line_key(line: Column) -> Column:
 
 
 def key_hash(key: Column) -> Column:
-    """128 bits of a key."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
+    """128 bits of a key: both halves are hashes of its bytes, with two seeds."""
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
