@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -131,11 +131,20 @@ class ByteConvNet:
         return best, p[np.arange(len(texts)), best] / p.sum(1) if len(texts) else np.zeros(0)
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """How many of each language's rows are taken: all alike, and what small languages leave goes to the others; one each at least."""
+    out: dict[str, int] = {}
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, (most - sum(out.values())) // (len(counts) - i)))
+    return out
+
+
 def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                    max_rows: int = 4000, max_windows: int = 6, steps: int = 400, **net) -> ByteConvNet | None:
-    """Fit a network on the ``max_rows`` rows with text and language whose id has the smallest hash.
+    """Fit a network on ``max_rows`` rows with text and language, of each language those whose id has the smallest hash.
 
-    Those rows are a bounded sample, and give ``max_windows`` windows each, spread over the
+    Every language has rows among them (one each if there are more than ``max_rows``), so that
+    each is a class. Those rows are a bounded sample, and give ``max_windows`` windows each, spread over the
     text; both bounds hold for training alone. Without such rows there is no network (None).
     """
     shape = ByteConvNet([], **net)
@@ -149,15 +158,23 @@ def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.Series(out)
 
     ready = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    # The sample is found by id and hash alone; only its rows are cut into windows.
-    picked = (ready.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("_h"))
-              .orderBy("_h").limit(max_rows).agg(F.max("_h").alias("_most")).first()["_most"])
-    if picked is None:
+    ready = ready.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("_h"))
+    take = shares({r[0]: r[1] for r in ready.groupBy("_lang").count().collect()}, max_rows)  # a row per class of the network
+    if not take:
         return None
-    rows = (ready.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"),
-                         F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("_h"))
-            .where(F.col("_h") <= picked).select("_lang", "_h", windows("_text").alias("_w"))
-            .orderBy("_h", "_lang", "_w").limit(max_rows).toPandas())
+    most = max(take.values())
+    quota = docs.sparkSession.createDataFrame(list(take.items()), "_lang string, _take int")
+
+    def first(rows: DataFrame, *order: str) -> DataFrame:
+        """Each language's share of rows in that order (every task keeps ``most`` rows of a language at most)."""
+        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy(*order))).where(F.col("_r") <= most)
+        return ranked.join(F.broadcast(quota), "_lang").where("_r <= _take")
+
+    # The sample is found by language and hash alone; only its rows are cut into windows.
+    picked = first(ready.select("_lang", "_h"), "_h").groupBy("_lang").agg(F.max("_h").alias("_most")).collect()
+    picked = docs.sparkSession.createDataFrame([tuple(r) for r in picked], "_lang string, _most long")
+    near = ready.join(F.broadcast(picked), "_lang").where("_h <= _most").select("_lang", "_h", windows("_text").alias("_w"))
+    rows = first(near, "_h", "_w").select("_lang", "_h", "_w").orderBy("_h", "_lang", "_w").toPandas()
     shape.classes = sorted(rows["_lang"].unique())
     code = {c: i for i, c in enumerate(shape.classes)}
     xs = [np.frombuffer(w, np.uint8).reshape(-1, shape.length) for w in rows["_w"]]
