@@ -6,8 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_ORACLE = "/root/testdata/sf0.01"
+from scales import SF_ORACLE, SF_SMALL
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from binlens.operators.ordering import hash_key, hash_ordinal
 from binlens.testing import normalise_rows
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 
 QUERIES = entry.queries()
 RANKED = ["seeded_shuffle", "stratified_split", "nested_split", "metric_auc", "class_quartiles", "class_summary",

@@ -18,7 +18,7 @@ from binlens.operators import stats as st
 from binlens.operators import vector as vec
 from binlens.operators.ordering import hash_key, hash_ordinal, running_totals
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 
 SEC = T.StructType([T.StructField("name", T.StringType()), T.StructField("size", T.LongType()),
                     T.StructField("entropy", T.DoubleType()), T.StructField("vsize", T.LongType()),

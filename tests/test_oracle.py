@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from binlens.testing import compare_query
 
-from conftest import SF_ORACLE, SF_SMALL
+from scales import SF_ORACLE, SF_SMALL
 
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()

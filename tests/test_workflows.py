@@ -12,7 +12,7 @@ from binlens.plans import workflows as wf
 from binlens.sources.records import raw_records
 from binlens.streaming.shards import ingest_shards
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 
 
 def _write_shards(spark, tmp):
