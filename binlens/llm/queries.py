@@ -1,4 +1,4 @@
-"""The ten operators bound to the tables, with production parameters, and their DuckDB SQL."""
+"""The operators bound to the tables, with production parameters, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import bound_batches, ensure_checkpoint_dir, shared_path
+from .byte_bpe import decode_ids, encode_texts
 from .decontaminate import UNITS, find_leaks
 from .exact_dedup import exact_dedup
+from .infill import fill_in_middle, restore
 from .langid import predict_language, train_language
 from .line_dedup import line_dedup
 from .mixing import mix
 from .quality import quality_score, train_quality
 from .rendezvous import shard
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .text import hash_bits, whole
 from .token_files import read_token_files, write_token_files
 from .word_model import word_pair_scores
@@ -160,3 +163,25 @@ def op2(spark, sf_dir):
     """Every text's log10 probability by a model learned from nine tenths of the texts."""
     docs = table(spark, sf_dir, "documents")
     return word_pair_scores(docs, hash_bits(F.col("doc_id"), 10) == 0)
+
+
+@register("op11_fill_in_middle")
+def op11(spark, sf_dir):
+    """Every whole text as a fill-in-the-middle example, and the text again from the example."""
+    out = fill_in_middle(table(spark, sf_dir, "documents"), plain_percent=10, spm_percent=20)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@register("op12_spelling_variants")
+def op12(spark, sf_dir):
+    """Words of all texts with their near words, forms and roots."""
+    out = spelling_variants(table(spark, sf_dir, "documents"), ratio=2, min_length=5, min_count=3, one_in=97)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@register("op13_byte_bpe")
+def op13(spark, sf_dir):
+    """Every whole text's ids by a rank file, and the bytes that they stand for."""
+    out = encode_texts(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_multi_50k.tiktoken")
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decode_ids(F.col("ids")), 256).alias("decoded_sha256"))
