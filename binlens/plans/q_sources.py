@@ -25,6 +25,19 @@ def q_scan_jsonl(spark, sf_dir):
     return round_doubles(back.withColumn("ts", F.unix_timestamp("ts")))
 
 
+@register("scan_jsonl_rejects", """
+SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS event_type, CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS rejected FROM events""")
+def q_scan_jsonl_rejects(spark, sf_dir):
+    """Shards in which every seventeenth line is cut off: good rows and rejects, each line once."""
+    path = io.scratch_path(spark, "events-cut")
+    lines = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "event_type", "user_id")).alias("value"))
+    cut = F.when(F.col("event_id") % 17 == 0, F.expr("left(value, length(value) - 3)")).otherwise(F.col("value"))
+    lines.select(cut.alias("value")).write.text(path)
+    good, bad = io.scan_jsonl_with_rejects(spark, f"{path}/*.txt", _EVENTS_SCHEMA)
+    back = bad.select(F.regexp_extract("line", r'"event_id":(\d+)', 1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(1).alias("rejected"))
+    return good.select("event_id", "event_type", F.lit(0).alias("rejected")).unionAll(back)
+
+
 @register("scan_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size, round(p_retailprice, 6) AS p_retailprice FROM part")
 def q_scan_csv(spark, sf_dir):
     path = io.scratch_path(spark, "part-csv")

@@ -45,5 +45,5 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> None:
     """Import every query module (each registers its queries on import)."""
-    from . import (q_bytes, q_catalog, q_dataset, q_evaluate, q_flat, q_model, q_sources,  # noqa: F401
+    from . import (q_bytes, q_catalog, q_dataset, q_evaluate, q_flat, q_layout, q_model, q_sources,  # noqa: F401
                    q_stats, q_vector)
