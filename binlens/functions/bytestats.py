@@ -1,88 +1,109 @@
-"""Byte-level kernels: Arrow-batched pandas UDFs around small numpy routines.
+"""Statistics of byte contents: Arrow UDFs over the kernels, and expressions over count arrays.
 
-Only the ``content`` column crosses to Python; each file is counted in one
-vectorised pass (``np.bincount`` / cumulative nibble counts), and the result
-is a fixed 256/96-slot array. Statistics derived from the counts (entropy,
+Only the ``content`` column crosses to Python, as the buffer of a whole Arrow batch; counts come back as
+arrays without a Python object per row. Statistics derived from the counts (entropy,
 normalisation, skew) are JVM-side higher-order functions.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW = 2048
-STEP = 1024
+from . import kernels
+from .kernels import STEP, WINDOW
+from .patterns import patterns
+
 _LONGS = T.ArrayType(T.LongType())
 
 
-def _counts(b) -> list[int]:
-    if b is None:
-        return None
-    a = np.frombuffer(bytes(b), dtype=np.uint8)
-    return np.bincount(a, minlength=256).astype(np.int64).tolist()
-
-
-@F.pandas_udf(_LONGS)
-def byte_counts(content: pd.Series) -> pd.Series:
-    """256 byte-value counts per file."""
-    return content.map(_counts)
-
-
-def _entropy_hist(b, window: int, step: int):
-    if b is None:
-        return None
-    a = np.frombuffer(bytes(b), dtype=np.uint8)
-    out = np.zeros((16, 16), dtype=np.int64)
-    if a.size == 0:
-        return out.ravel().tolist()
-    hi = a >> 4
-    if a.size < window:
-        starts = np.array([0])
-        counts = np.bincount(hi, minlength=16)[None, :]
-    else:
-        starts = np.arange(0, a.size - window + 1, step)
-        counts = np.empty((starts.size, 16), dtype=np.int64)
-        cum = np.zeros(a.size + 1, dtype=np.int64)
-        for v in range(16):  # one cumulative count per nibble value: O(16 n), O(n) memory
-            np.cumsum(hi == v, out=cum[1:])
-            counts[:, v] = cum[starts + window] - cum[starts]
-    # p always divides by the window length (also for a short single block)
-    p = counts / float(window)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        terms = np.where(counts > 0, -p * np.log2(np.where(counts > 0, p, 1.0)), 0.0)
-    h = terms.sum(axis=1) * 2
-    hbin = np.minimum((h * 2).astype(np.int64), 15)
-    np.add.at(out, hbin, counts)
-    return out.ravel().tolist()
+@F.arrow_udf(_LONGS)
+def byte_counts(content: pa.Array) -> pa.Array:
+    """256 byte-value counts per file; null for null."""
+    return kernels.list_column(kernels.histograms(content), kernels.nulls(content))
 
 
 def byte_entropy_counts(content: Column, window: int = WINDOW, step: int = STEP) -> Column:
-    """16x16 (entropy bin, high nibble) counts over sliding windows, row-major."""
+    """16x16 (entropy bin, high nibble) counts over sliding windows, row-major; null for null."""
 
-    @F.pandas_udf(_LONGS)
-    def _udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: _entropy_hist(b, window, step))
+    @F.arrow_udf("array<bigint>")
+    def _udf(batch: pa.Array) -> pa.Array:
+        return kernels.list_column(kernels.entropy_histograms(batch, window, step), kernels.nulls(batch))
 
     return _udf(content)
 
 
-def _char_counts(strings):
-    if strings is None:
-        return None
-    joined = "".join(strings).encode("latin-1", errors="replace")
-    a = np.frombuffer(joined, dtype=np.uint8).astype(np.int64) - 0x20
-    a = a[(a >= 0) & (a < 96)]
-    return np.bincount(a, minlength=96).astype(np.int64).tolist()
+def _strings_of(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All strings of a list column without nulls, and the row of each."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    strings, owner = lists.flatten(), np.repeat(np.arange(len(lists)), sizes)
+    if strings.null_count:
+        keep = ~kernels.nulls(strings)
+        strings, owner = strings.drop_null(), owner[keep]
+    return strings, owner
+
+
+@F.arrow_udf(_LONGS)
+def printable_char_counts(strings: pa.Array) -> pa.Array:
+    """96 counts of characters 0x20..0x7f over all printable strings of a file; null for null."""
+    values, owner = _strings_of(strings)
+    data, offsets = kernels.flat_bytes(values.cast(pa.large_binary()))
+    upto = np.append(np.searchsorted(owner, np.arange(len(strings)), "left"), len(owner))
+    counts = kernels._grouped_counts(data, offsets[upto], 256)[:, 0x20:0x80]
+    return kernels.list_column(np.ascontiguousarray(counts), kernels.nulls(strings))
+
+
+def pattern_string_counts(strings: Column, fixed: bool = False) -> Column:
+    """Per pattern, in name order: strings of an array with at least one match (a null array has none)."""
+
+    @F.arrow_udf("array<bigint>")
+    def _udf(batch: pa.Array) -> pa.Array:
+        values, owner = _strings_of(batch)
+        return kernels.list_column(kernels.pattern_counts(values.to_pylist(), owner, len(batch), fixed))
+
+    return _udf(strings)
+
+
+BYTE_FEATURES = ("struct<histogram:array<bigint>,byteentropy:array<bigint>,strings:struct<numstrings:bigint,avlength:double,printables:bigint,"
+                 "printabledist:array<bigint>,entropy:double,string_counts:array<bigint>>,entropy:double>")
+
+
+def byte_features(content: Column, fixed: bool = False) -> Column:
+    """Histogram, window entropy histogram, statistics of printable strings and entropy of a content, from one read of its buffer.
+
+    ``string_counts`` has a count per pattern in name order. A null content counts as empty.
+    """
+
+    @F.arrow_udf(BYTE_FEATURES)
+    def _udf(batch: pa.Array) -> pa.Array:
+        n = len(batch)
+        data, offsets = kernels.flat_bytes(batch)
+        contents = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+        hist = kernels.histograms(contents)
+        runs, owner = kernels.printable_runs(data, offsets)
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        number = np.bincount(owner, minlength=n)
+        printables = np.bincount(owner, weights=lengths, minlength=n).astype(np.int64)
+        edges = np.append(0, np.cumsum(printables))
+        chars = np.ascontiguousarray(kernels._grouped_counts(np.frombuffer(b"".join(runs), np.uint8), edges, 256)[:, 0x20:0x80])
+        counts = kernels.pattern_counts([r.decode("latin-1") for r in runs], owner, n, fixed)
+        strings = pa.StructArray.from_arrays(
+            [pa.array(number), pa.array(printables / np.maximum(number, 1)), pa.array(printables), kernels.list_column(chars),
+             pa.array(kernels.shannon(chars)), kernels.list_column(counts)],
+            ["numstrings", "avlength", "printables", "printabledist", "entropy", "string_counts"])
+        return pa.StructArray.from_arrays(
+            [kernels.list_column(hist), kernels.list_column(kernels.entropy_histograms(contents)), strings, pa.array(kernels.shannon(hist))],
+            ["histogram", "byteentropy", "strings", "entropy"])
+
+    return _udf(content)
 
 
-@F.pandas_udf(_LONGS)
-def printable_char_counts(strings: pd.Series) -> pd.Series:
-    """96 counts of characters 0x20..0x7f over all printable strings of a file."""
-    return strings.map(_char_counts)
+def pattern_names(fixed: bool = False) -> list[str]:
+    return [n for n, _ in patterns(fixed)]
 
 
 def _moment_state(n, mean, m2, m3) -> Column:

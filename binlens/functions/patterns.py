@@ -107,3 +107,24 @@ def patterns(fixed: bool = False) -> list[tuple[str, str]]:
     """(name, pattern) in name-sorted order (the vector slot order)."""
     pats = [(n, FIXED_PATTERNS.get(n, p) if fixed else p) for n, p in IOC_PATTERNS]
     return sorted(pats, key=lambda x: x[0])
+
+# Literals one of which every match of these patterns contains (the other patterns are literals, or have none).
+REQUIRED_LITERALS: dict[str, tuple[str, ...]] = {
+    "url": ("http://", "https://", "ftp://"),
+    "file_path": ("C:/",),
+    "registry_key": ("KHEY_", "KHLM", "HKEY_", "HKLM", "HKCU"),
+    ".click(": ("click",),
+    "base64string": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678",),
+}
+NO_LITERAL = {"ipv4_addr", "ipv6_addr", "mac_addr", "email_addr", "btc_wallet"}
+_META = set(".^$*+?{}[]()|\\")
+
+
+def required_literals(name: str, pattern: str) -> tuple[tuple[str, ...], bool]:
+    """Literals of which a match contains one at least, and whether such a literal is a match by itself; none: ``((), False)``."""
+    if name in NO_LITERAL:
+        return (), False
+    if name in REQUIRED_LITERALS:
+        return REQUIRED_LITERALS[name], False
+    body = pattern.removeprefix("(?i)")
+    return ((body,), True) if not any(c in _META for c in body) else ((), False)

@@ -1,8 +1,8 @@
 """Byte-content features over a ``binary`` column (one row per file).
 
-All operators are narrow (no shuffle). Counting kernels run as Arrow-batched
-pandas UDFs over the content column only; everything derived from the counts
-and all string/regex work is JVM-side (codegen'd expressions and HOFs).
+All operators are narrow (no shuffle). Counting kernels and the pattern automaton run as
+Arrow UDFs over whole batches; everything derived from the counts is JVM-side
+(codegen'd expressions and HOFs).
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytestats import (STEP, WINDOW, bind, byte_counts, byte_entropy_counts, entropy_of_counts,
-                                   printable_char_counts)
-from ..functions.patterns import MIN_STRING, patterns
+from ..functions.bytestats import (STEP, WINDOW, bind, byte_counts, byte_entropy_counts, entropy_of_counts, pattern_names,
+                                   pattern_string_counts, printable_char_counts)
+from ..functions.patterns import MIN_STRING
 
 MAX_BYTES = 1 * 1024 * 1024  # fixed value: 1 MiB truncation constant
 
@@ -90,59 +90,31 @@ def string_stats(df: DataFrame, strings: str = "strings") -> DataFrame:
                         .alias("string_entropy"))
 
 
-_META = set(".^$*+?{}[]()|\\")
-
-
-def _literal(pattern: str) -> tuple[str, bool] | None:
-    """(text, case_insensitive) when the pattern is a plain literal, else None."""
-    ci = pattern.startswith("(?i)")
-    body = pattern[4:] if ci else pattern
-    if any(ch in _META for ch in body):
-        return None
-    return (body.lower() if ci else body), ci
-
-
 def ioc_pattern_counts(df: DataFrame, strings: str = "strings", fixed: bool = False,
                        out: str = "string_counts") -> DataFrame:
     """Per pattern: number of strings with at least one match (not number of matches).
 
-    ``out`` = map<pattern, count> holding only patterns seen. Plain-literal patterns
-    are matched with substring search (on the lower-cased string when the pattern is
-    case-insensitive), the rest with Java regex; results are the same as ``re.search``.
+    ``out`` = map<pattern, count> holding only patterns seen. An automaton finds the literals that
+    patterns must contain in all strings of a batch at once; regular expressions (Python's, as the
+    contract has it) look only at strings with such a literal, or at the joined text where a pattern has none.
     """
-    s = F.coalesce(F.col(strings), F.array().cast("array<string>"))
-    # materialised once: every pattern below reads the same strings, lower-case strings and joined texts
-    base = df.withColumn("_ioc_s", s).withColumn("_ioc_l", F.transform("_ioc_s", F.lower))
-    base = base.withColumn("_ioc_all", F.array_join("_ioc_s", "\n")).withColumn("_ioc_low", F.array_join("_ioc_l", "\n"))
-
-    def count(p):
-        """Strings that match; none is looked at unless the joined text matches (a line feed is in no string and is
-        no word character, so whatever matches in a string matches there, but for ^ and $)."""
-        lit = _literal(p)
-        if lit is None:
-            n = F.size(F.filter("_ioc_s", lambda x: x.rlike(p)))
-            return n if any(ch in p for ch in "^$") else F.when(F.col("_ioc_all").rlike(p), n).otherwise(0)
-        text, ci = lit
-        joined, strings_ = ("_ioc_low", "_ioc_l") if ci else ("_ioc_all", "_ioc_s")
-        return F.when(F.instr(F.col(joined), text) > 0, F.size(F.filter(strings_, lambda x: F.instr(x, text) > 0))).otherwise(0)
-
-    entries = [F.struct(F.lit(name).alias("k"), count(p).cast("long").alias("v")) for name, p in patterns(fixed)]
-    seen = F.filter(F.array(*entries), lambda e: e["v"] > 0)
-    return base.withColumn(out, F.map_from_entries(seen)).drop("_ioc_s", "_ioc_l", "_ioc_all", "_ioc_low")
+    base = df.withColumn("_ioc", pattern_string_counts(F.col(strings), fixed))
+    names = F.array(*[F.lit(n) for n in pattern_names(fixed)])
+    seen = F.filter(F.arrays_zip(names.alias("k"), F.col("_ioc").alias("v")), lambda e: e["v"] > 0)
+    return base.withColumn(out, F.map_from_entries(seen)).drop("_ioc")
 
 
 def string_vector(df: DataFrame, strings: str = "strings", fixed: bool = False,
                   out: str = "vec_strings") -> DataFrame:
     """177 floats: numstrings, avlength, printables, 96 normalised char counts, entropy,
     77 pattern counts in name order."""
-    st = ioc_pattern_counts(string_stats(df, strings), strings, fixed, "_sc")
+    st = string_stats(df, strings).withColumn("_sc", pattern_string_counts(F.col(strings), fixed))
     div = F.when(F.col("printables") > 0, F.col("printables").cast("double")).otherwise(1.0)
-    pats = [F.coalesce(F.col("_sc")[name], F.lit(0)).cast("double") for name, _ in patterns(fixed)]
     vec = F.concat(F.array(F.col("numstrings").cast("double"), F.col("avlength").cast("double"),
                            F.col("printables").cast("double")),
                    F.transform("printabledist", lambda x: x.cast("double") / div),
                    F.array(F.col("string_entropy").cast("double")),
-                   F.array(*pats))
+                   F.transform("_sc", lambda x: x.cast("double")))
     return st.withColumn(out, vec).drop("_sc", "numstrings", "avlength", "printables", "printabledist",
                                         "string_entropy")
 

@@ -227,15 +227,21 @@ def q_feat_byteent_stats(spark, sf_dir):
         "doc_id", "byteEH_mean", F.col("byteEH_max").cast("double").alias("byteEH_max"), "byteEH_std"))
 
 
-@register("feat_string_scalars", with_views(["v_bytes"], """
-SELECT doc_id, CAST(printables AS DOUBLE) AS str_printables, string_entropy AS str_entropy,
-       0 AS str_paths, 0 AS str_urls, 0 AS str_registry, 0 AS str_MZ FROM st""",
+_SCALAR_PATTERNS = {"paths": "file_path", "urls": "url", "registry": "registry_key"}
+
+
+@register("feat_string_scalars", with_views(["v_bytes"], f"""
+SELECT st.doc_id, CAST(printables AS DOUBLE) AS str_printables, string_entropy AS str_entropy,
+       {', '.join(f"CAST(COALESCE(c.{f}, 0) AS BIGINT) AS str_{f}" for f in [*_SCALAR_PATTERNS, 'MZ'])}
+FROM st LEFT JOIN (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE regexp_matches(s, {_sql_lit(dict(patterns())[p])})) AS {f}" for f, p in _SCALAR_PATTERNS.items())},
+                          count(*) FILTER (WHERE contains(s, 'MZ')) AS "MZ" FROM strs GROUP BY doc_id) c ON c.doc_id = st.doc_id""",
                                             [_STRS, ("st", _STATS_SQL)]))
 def q_feat_string_scalars(spark, sf_dir):
-    """Scalars of a ``strings`` struct built from the string statistics (paths/urls/registry/MZ
-    are absent from it and read as 0)."""
+    """Scalars of a ``strings`` struct built from the statistics and pattern counts of a content's strings."""
     b = _bytes(spark, sf_dir).withColumn("strings", bt.printable_strings("content"))
-    s = bt.string_stats(b.select("doc_id", "strings"))
-    rec = s.select("doc_id", F.struct(F.col("printables").cast("double").alias("printables"),
-                                      F.col("string_entropy").alias("entropy")).alias("strings"))
+    s = bt.ioc_pattern_counts(bt.string_stats(b.select("doc_id", "strings")), out="seen")
+    count = lambda p: F.coalesce(F.try_element_at("seen", F.lit(p)), F.lit(0).cast("long"))
+    rec = s.select("doc_id", F.struct(F.col("printables").cast("double").alias("printables"), F.col("string_entropy").alias("entropy"),
+                                      *[count(p).alias(f) for f, p in _SCALAR_PATTERNS.items()],
+                                      F.size(F.filter("strings", lambda x: F.contains(x, F.lit("MZ")))).cast("long").alias("MZ")).alias("strings"))
     return round_doubles(rec.select("doc_id", *fl.feat_string_scalars(rec.schema)))
