@@ -1,28 +1,36 @@
 """Vectorisers: raw record (layout B) -> fixed-width float vectors.
 
-Each group builds, in-row, an ``array<struct<slot:int, value:double>>`` of
-*items* (slots may repeat; hashed tokens add their weights). ``vectorize``
-concatenates the enabled groups with slot offsets; the long sparse form is
-one ``explode`` + ``groupBy(key, slot).sum`` (map-side partial aggregation,
-linear in the number of tokens however long a file's lists are) and the
-dense form collects at most ``dim`` entries per file.
-
-Hashing: bins are md5-derived and JVM-side (see ``functions.hashing``); the
-library hash used by the reference's hasher is not reproduced.
+A group has two steps. The raw step makes its stored column (a struct, list or map of the record)
+from file contents, where the group can be read from bytes; the vector step describes, over the stored
+column, fixed slots (values in place), hashed tokens (slots that may repeat and are summed) and ready
+items. ``vectorize`` and ``vectorize_long`` hand these to one kernel over Arrow batches, which hashes,
+scatters and sums the entries of each file in a row of a buffer: no explode, no shuffle, time
+linear in the entries and the width.
+
+Hashing: ``hasher="md5"`` bins JVM-side with a portable twin; ``hasher="murmur3"`` gives the bins and
+signs of the public feature hashers (see ``functions.hashing``), for models trained on such vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.bytestats import byte_features, pattern_names
+from ..functions.hashing import murmur3_bins
+from .bytes import byte_at, magic_prefix, normalise_counts
 from .partitioning import explode_array
 from .records import DIRECTORY_NAMES
 
 ITEM = "array<struct<slot:int,value:double>>"
+TOKEN = "array<struct<token:string,weight:double,offset:int,bins:int,signed:boolean>>"
 
 # Category vocabularies of the header group (list position = code).
 MACHINE_TYPES = [
@@ -115,10 +123,31 @@ def multi_hot(flags: Column, vocab: list[str]) -> Column:
 # hashed items (slots that may repeat and are summed), and an "empty" condition under
 # which the group contributes nothing (the reference's all-zero vector).
 
+@dataclass(frozen=True)
+class Hashed:
+    """Tokens (array column) hashed into ``bins`` slots from ``offset`` on; weight 1 without ``weights``."""
+    tokens: Column
+    bins: int
+    offset: int
+    signed: bool = True
+    weights: Column | None = None
+
+    def items(self) -> Column:
+        return hashed_items(self.tokens, self.bins, self.offset, self.signed, self.weights)
+
+    def raw(self) -> Column:
+        """The tokens as they are, for a hash that the kernel computes."""
+        row = lambda t, w: F.struct(t.cast("string").alias("token"), _d(w).alias("weight"), F.lit(self.offset).alias("offset"),
+                                    F.lit(self.bins).alias("bins"), F.lit(self.signed).alias("signed"))
+        if self.weights is None:
+            return F.transform(self.tokens, lambda t: row(t, F.lit(1.0)))
+        return F.transform(F.arrays_zip(self.tokens.alias("t"), self.weights.alias("w")), lambda p: row(p["t"], p["w"]))
+
+
 @dataclass
 class GroupParts:
     fixed: list[tuple[int, list[Column]]]
-    hashed: list[Column]
+    hashed: list[Column | Hashed]
     empty: Column | None = None
     arrays: dict[int, Column] = field(default_factory=dict)  # block offset -> ready array<double>
 
@@ -134,11 +163,11 @@ def _fixed_array(parts: GroupParts) -> tuple[list[int], Column | None]:
     return slots, arr
 
 
-def _hashed_array(parts: GroupParts) -> Column | None:
-    if not parts.hashed:
+def _concat(parts: list[Column], empty: Column | None, kind: str) -> Column | None:
+    if not parts:
         return None
-    arr = F.concat(*parts.hashed) if len(parts.hashed) > 1 else parts.hashed[0]
-    return arr if parts.empty is None else F.when(parts.empty, F.array().cast(ITEM)).otherwise(arr)
+    arr = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return arr if empty is None else F.when(empty, F.array().cast(kind)).otherwise(arr)
 
 
 def parts_general(offset: int = 0) -> GroupParts:
@@ -203,11 +232,11 @@ def parts_section(offset: int = 0) -> GroupParts:
     names = F.transform(s, lambda x: x["name"])
     chars = F.flatten(F.transform(s, lambda x: F.transform(props(x), lambda p: F.concat(x["name"], F.lit(":"), p))))
     hashed = [
-        hashed_items(names, 50, offset + 11, weights=F.transform(s, lambda x: x["size"])),
-        hashed_items(names, 50, offset + 61, weights=F.transform(s, lambda x: x["vsize"])),
-        hashed_items(names, 50, offset + 111, weights=F.transform(s, lambda x: x["entropy"])),
-        hashed_items(chars, 50, offset + 161),
-        hashed_items(F.array(F.coalesce(sec["entry"], F.lit(""))), 10, offset + 211),
+        Hashed(names, 50, offset + 11, weights=F.transform(s, lambda x: x["size"])),
+        Hashed(names, 50, offset + 61, weights=F.transform(s, lambda x: x["vsize"])),
+        Hashed(names, 50, offset + 111, weights=F.transform(s, lambda x: x["entropy"])),
+        Hashed(chars, 50, offset + 161),
+        Hashed(F.array(F.coalesce(sec["entry"], F.lit(""))), 10, offset + 211),
     ]
     return GroupParts([(offset, general), (offset + 221, [ov["size"], ov["size_ratio"], ov["entropy"]])],
                       hashed, sec.isNull())
@@ -220,15 +249,15 @@ def parts_imports(offset: int = 0) -> GroupParts:
         F.coalesce(e["value"], F.array().cast("array<string>")),
         lambda fn: F.concat(F.lower(e["key"]), F.lit(":"), fn))))
     return GroupParts([(offset, [F.size(quals), F.size(libs)])],
-                      [hashed_items(libs, 256, offset + 2, signed=False),
-                       hashed_items(quals, 1024, offset + 258, signed=False)],
+                      [Hashed(libs, 256, offset + 2, signed=False),
+                       Hashed(quals, 1024, offset + 258, signed=False)],
                       F.coalesce(F.size(m), F.lit(0)) == 0)
 
 
 def parts_exports(offset: int = 0) -> GroupParts:
     e = F.coalesce(F.col("exports"), F.array().cast("array<string>"))
     # slot 0 holds the width of the hashed block (128), as the reference does
-    return GroupParts([(offset, [F.lit(128)])], [hashed_items(e, 128, offset + 1)], F.size(e) == 0)
+    return GroupParts([(offset, [F.lit(128)])], [Hashed(e, 128, offset + 1)], F.size(e) == 0)
 
 
 def parts_datadirs(offset: int = 0) -> GroupParts:
@@ -259,7 +288,7 @@ def parts_rich(offset: int = 0) -> GroupParts:
     idx = F.when(npairs > 0, F.sequence(F.lit(0), npairs - 1)).otherwise(F.array().cast("array<int>"))
     comp = F.transform(idx, lambda i: F.get(r, 2 * i).cast("string"))
     cnt = F.transform(idx, lambda i: F.get(r, 2 * i + 1))
-    return GroupParts([(offset, [npairs])], [hashed_items(comp, 32, offset + 1, weights=cnt)], n == 0)
+    return GroupParts([(offset, [npairs])], [Hashed(comp, 32, offset + 1, weights=cnt)], n == 0)
 
 
 AUTH_FIELDS = ["num_certs", "self_signed", "empty_program_name", "no_countersigner", "parse_error",
@@ -277,129 +306,263 @@ def parts_warnings(offset: int = 0, ids: str = "warning_ids") -> GroupParts:
     return GroupParts([(offset + N_WARNINGS, [F.size(w)])], [hot], F.size(w) == 0)
 
 
-def parts_items(parts: GroupParts) -> Column:
-    """All items of a group as one array<struct<slot, value>> (fixed + hashed)."""
-    def at(o):
-        return lambda v, i: F.struct((F.lit(o) + i).cast("int").alias("slot"), v.alias("value"))
+def parts_histogram(offset: int = 0) -> GroupParts:
+    return GroupParts([(offset, [None] * 256)], [], F.col("histogram").isNull(), {offset: normalise_counts(F.col("histogram"))})
+
+
+def parts_byteentropy(offset: int = 0) -> GroupParts:
+    return GroupParts([(offset, [None] * 256)], [], F.col("byteentropy").isNull(), {offset: normalise_counts(F.col("byteentropy"))})
+
+
+N_STRING_SLOTS = 100 + len(pattern_names())
 
-    fixed = [(F.transform(parts.arrays[o], at(o)) if o in parts.arrays else dense_items(vals, o))
-             for o, vals in parts.fixed]
-    arr = F.concat(*(fixed + parts.hashed)) if len(fixed) + len(parts.hashed) > 1 else (fixed + parts.hashed)[0]
-    return arr if parts.empty is None else F.when(parts.empty, F.array().cast(ITEM)).otherwise(arr)
+
+def parts_strings(offset: int = 0) -> GroupParts:
+    s = F.col("strings")
+    share = F.greatest(s["printables"], F.lit(1)).cast("double")
+    values = F.concat(F.array(_d(s["numstrings"]), _d(s["avlength"]), _d(s["printables"])),
+                      F.transform(s["printabledist"], lambda x: x.cast("double") / share), F.array(_d(s["entropy"])),
+                      F.transform(s["string_counts"], lambda x: x.cast("double")))
+    return GroupParts([(offset, [None] * N_STRING_SLOTS)], [], s.isNull(), {offset: values})
+
+
+# ---- raw steps: stored columns from file contents -------------------------------------
+
+def raw_bytes(df: DataFrame, content: str = "content") -> DataFrame:
+    """``histogram``, ``byteentropy``, ``strings`` and ``general`` (where the record has none) from one read of each content.
+
+    ``general.is_pe`` says whether the content starts as an executable does (MZ).
+    """
+    out = df.withColumn("_bytes", byte_features(F.col(content)))
+    general = F.struct(F.coalesce(F.length(content), F.lit(0)).cast("long").alias("size"), F.col("_bytes.entropy").alias("entropy"),
+                       F.coalesce(magic_prefix(content, b"MZ"), F.lit(False)).cast("int").alias("is_pe"),
+                       F.array(*[byte_at(content, i) for i in range(4)]).alias("start_bytes"))
+    new = {"histogram": F.col("_bytes.histogram"), "byteentropy": F.col("_bytes.byteentropy"), "strings": F.col("_bytes.strings"), "general": general}
+    return out.select(*df.columns, *[c.alias(n) for n, c in new.items() if n not in df.columns])
 
 
 @dataclass(frozen=True)
 class VectorGroup:
-    """A registered feature group: name, width and a builder of its parts."""
+    """A registered feature group.
+
+    ``column``: the stored raw column that the vector step reads; ``parts``: the vector step (offset -> parts over that
+    column); ``raw``: the raw step, which adds the column to a table of contents, or None where only parsed records
+    have it; ``alias``: the name that feature-list files of the byte extractor use. Groups that are not ``enabled``
+    are used only when named.
+    """
     name: str
     dim: int
     parts: Callable[[int], GroupParts]
     enabled: bool = True
+    column: str | None = None
+    raw: Callable[[DataFrame], DataFrame] | None = None
+    alias: str | None = None
 
-    def items(self, offset: int = 0) -> Column:
-        return parts_items(self.parts(offset))
+    @property
+    def stored(self) -> str:
+        return self.column or self.name
 
 
+# The groups in vector order, with the names that feature-list files give them.
 GROUPS: list[VectorGroup] = [
-    VectorGroup("general", 7, parts_general),
-    VectorGroup("header", 74, parts_header),
-    VectorGroup("section", 224, parts_section),
-    VectorGroup("imports", 1282, parts_imports),
-    VectorGroup("exports", 129, parts_exports),
-    VectorGroup("datadirectories", 34, parts_datadirs),
-    VectorGroup("richheader", 33, parts_rich),
-    VectorGroup("authenticode", 8, parts_authenticode),
-    VectorGroup("pefilewarnings", 88, parts_warnings),
+    VectorGroup("general", 7, parts_general, raw=raw_bytes, alias="GeneralFileInfo"),
+    VectorGroup("histogram", 256, parts_histogram, enabled=False, raw=raw_bytes, alias="ByteHistogram"),
+    VectorGroup("byteentropy", 256, parts_byteentropy, enabled=False, raw=raw_bytes, alias="ByteEntropyHistogram"),
+    VectorGroup("strings", N_STRING_SLOTS, parts_strings, enabled=False, raw=raw_bytes, alias="StringExtractor"),
+    VectorGroup("header", 74, parts_header, alias="HeaderFileInfo"),
+    VectorGroup("section", 224, parts_section, alias="SectionInfo"),
+    VectorGroup("imports", 1282, parts_imports, alias="ImportsInfo"),
+    VectorGroup("exports", 129, parts_exports, alias="ExportsInfo"),
+    VectorGroup("datadirectories", 34, parts_datadirs, alias="DataDirectories"),
+    VectorGroup("richheader", 33, parts_rich, alias="RichHeader"),
+    VectorGroup("authenticode", 8, parts_authenticode, alias="AuthenticodeSignature"),
+    VectorGroup("pefilewarnings", 88, parts_warnings, column="warning_ids", alias="PEFormatWarnings"),
 ]
 
 
 def register_group(group: VectorGroup, after: str | None = None) -> None:
-    """User extension point: add a group (optionally after an existing one)."""
+    """User extension point: add a group (optionally after an existing one). Its name and alias must be new."""
+    taken = {n for g in GROUPS for n in (g.name, g.alias) if n}
+    if clash := {group.name, group.alias} & taken:
+        raise ValueError(f"a feature group has this name already: {sorted(clash)}")
     if after is None:
         GROUPS.append(group)
     else:
-        i = next(k for k, g in enumerate(GROUPS) if g.name == after)
+        i = next((k for k, g in enumerate(GROUPS) if g.name == after), None)
+        if i is None:
+            raise ValueError(f"no such feature group: {after}")
         GROUPS.insert(i + 1, group)
 
 
-def select_groups(names: list[str] | None = None) -> list[VectorGroup]:
-    """Enabled groups in registry order (restricted to ``names`` when given)."""
-    return [g for g in GROUPS if g.enabled and (names is None or g.name in names)]
+def unregister_group(name: str) -> None:
+    """Take a user's group out again."""
+    GROUPS[:] = [g for g in GROUPS if g.name != name]
 
 
-def vector_items(groups: list[VectorGroup]) -> tuple[Column, int]:
-    """Concatenated items of the groups with running offsets, and the total width."""
-    off, parts = 0, []
-    for g in groups:
-        parts.append(g.items(off))
-        off += g.dim
-    return F.concat(*parts), off
+def select_groups(names: Iterable[str] | None = None) -> list[VectorGroup]:
+    """The enabled groups, or exactly those named (by name or alias; disabled ones too), in registry order.
+
+    A name that no group has is an error: its slots would be missing without a trace.
+    """
+    if names is None:
+        return [g for g in GROUPS if g.enabled]
+    wanted = set(names)
+    if unknown := wanted - {n for g in GROUPS for n in (g.name, g.alias)}:
+        raise ValueError(f"no such feature groups: {sorted(map(str, unknown))}")
+    return [g for g in GROUPS if g.name in wanted or g.alias in wanted]
+
 
+def read_feature_list(spark: SparkSession, path: str) -> list[str]:
+    """Names of the groups that a feature-list file selects.
 
-def _layout(groups: list[VectorGroup]):
-    off, fixed_slots, fixed_arrays, hashed = 0, [], [], []
+    The file is one JSON object with an object ``features``: a group is selected by a value that is not null. It may lie in
+    any store that Spark reads.
+    """
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).take(2))
+    features = json.loads(text).get("features")
+    if not isinstance(features, dict):
+        raise ValueError(f"{path} has no object named features")
+    names = [n for n, v in features.items() if v is not None]
+    select_groups(features)  # names that are switched off must be known as well
+    return names
+
+
+def raw_features(df: DataFrame, groups: Iterable[str] | None = None, content: str = "content") -> DataFrame:
+    """``df`` with the stored columns of the groups that it lacks, made from contents by the groups' raw steps."""
+    for g in select_groups(groups):
+        if g.stored not in df.columns:
+            if g.raw is None:
+                raise ValueError(f"the records have no column {g.stored}, and group {g.name} cannot be read from contents")
+            df = g.raw(df, content) if g.raw is raw_bytes else g.raw(df)
+            if g.stored not in df.columns:
+                raise ValueError(f"the raw step of group {g.name} made no column {g.stored}")
+    return df
+
+
+def vector_width(groups: Iterable[str] | None = None) -> int:
+    return sum(g.dim for g in select_groups(groups))
+
+
+# ---- entries of a row, summed in the row ---------------------------------------------
+
+def _entries(groups: list[VectorGroup], hasher: str) -> tuple[list[int], Column, Column, Column, int]:
+    """Slots of the fixed values; columns of fixed values, ready items and tokens; and the width."""
+    if hasher not in ("md5", "murmur3"):
+        raise ValueError(f"no such hasher: {hasher}")
+    off, slots, fixed, items, tokens = 0, [], [], [], []
     for g in groups:
         p = g.parts(off)
-        slots, arr = _fixed_array(p)
+        own, arr = _fixed_array(p)
         if arr is not None:
-            fixed_slots += slots
-            fixed_arrays.append(arr)
-        h = _hashed_array(p)
-        if h is not None:
-            hashed.append(h)
+            slots += own
+            fixed.append(arr)
+        ready = [h if isinstance(h, Column) else h.items() for h in p.hashed if isinstance(h, Column) or hasher == "md5"]
+        later = [h.raw() for h in p.hashed if isinstance(h, Hashed) and hasher != "md5"]
+        for parts, kind, out in ((ready, ITEM, items), (later, TOKEN, tokens)):
+            if (c := _concat(parts, p.empty, kind)) is not None:
+                out.append(c)
         off += g.dim
-    return fixed_slots, fixed_arrays, hashed, off
+    join = lambda cols, kind: F.concat(*cols) if len(cols) > 1 else cols[0] if cols else F.array().cast(kind)
+    return slots, join(fixed, "array<double>"), join(items, ITEM), join(tokens, TOKEN), off
+
+
+def _rows_of(lists: pa.Array) -> np.ndarray:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes)
+
+
+def _column(values: pa.Array, kind) -> np.ndarray:
+    return values.fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+
+
+def sum_entries(batch: pa.RecordBatch, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors (rows x width) of a batch with columns ``fixed``, ``items`` and ``tokens``, and which slots have an entry."""
+    n = batch.num_rows
+    cells, values = [], []
+    fixed = _column(batch["fixed"].flatten(), np.float64)
+    if len(slots):
+        if len(fixed) != n * len(slots):
+            raise ValueError(f"groups gave {len(fixed)} fixed values for {n} rows of {len(slots)}")
+        cells.append((np.arange(n)[:, None] * width + slots).reshape(-1))
+        values.append(fixed)
+    items = batch["items"]
+    flat = items.flatten()
+    cells.append(_rows_of(items) * width + _column(flat.field("slot"), np.int64))
+    values.append(_column(flat.field("value"), np.float64))
+    tokens = batch["tokens"]
+    flat = tokens.flatten()
+    bins, sign = murmur3_bins(flat.field("token").fill_null("").cast(pa.large_string()), np.maximum(_column(flat.field("bins"), np.int64), 1))
+    signed = flat.field("signed").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+    cells.append(_rows_of(tokens) * width + _column(flat.field("offset"), np.int64) + bins)
+    values.append(np.where(signed, sign, 1.0) * _column(flat.field("weight"), np.float64))
+    cell = np.concatenate(cells)
+    total = np.bincount(cell, weights=np.concatenate(values), minlength=n * width).reshape(n, width)
+    entered = np.zeros(n * width, bool)
+    entered[cell] = True
+    return total, entered.reshape(n, width)
+
+
+ROWS_AT_ONCE = 500
+
+
+def _vectors(df: DataFrame, key: str, groups: Iterable[str] | None, hasher: str, finish, schema: str) -> DataFrame:
+    slots, fixed, items, tokens, width = _entries(select_groups(groups), hasher)
+    where = np.array(slots, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield finish(part["key"], *sum_entries(part, where, width))
+
+    key_type = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), fixed.alias("fixed"), items.alias("items"), tokens.alias("tokens"))
+    return rows.mapInArrow(run, f"key {key_type}, {schema}")
+
+
+def vectorize_long(df: DataFrame, key: str = "file_id", groups: Iterable[str] | None = None,
+                   drop_zero: bool = True, hasher: str = "md5") -> DataFrame:
+    """Sparse long form (key, slot, value) of the groups.
+
+    Entries are summed in their row, so every input row gives its own slots (keys should be distinct). With
+    ``drop_zero=False`` slots that have an entry stay when their sum is 0.
+    """
+    def finish(keys: pa.Array, total: np.ndarray, entered: np.ndarray) -> pa.RecordBatch:
+        row, slot = np.nonzero(total if drop_zero else entered)
+        offsets = pa.array(np.searchsorted(row, np.arange(len(keys) + 1)).astype(np.int32))
+        entry = pa.StructArray.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[row, slot])], ["slot", "value"])
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, entry)], names=["key", "entries"])
 
+    per = _vectors(df, key, groups, hasher, finish, f"entries {ITEM}")
+    out = explode_array(per, ["key"], "entries", "it")
+    return out.select(F.col("key").alias(key), F.col("it.slot").alias("slot"), F.col("it.value").alias("value"))
 
-def vectorize_long(df: DataFrame, key: str = "file_id", groups: list[str] | None = None,
-                   drop_zero: bool = True) -> DataFrame:
-    """Sparse long form (key, slot, value) of the enabled groups.
 
-    Fixed slots are one ``posexplode`` of a double array (slot ids from a constant
-    array); hashed items are exploded and summed by ``groupBy(key, slot)``. When the
-    input is already hash-partitioned by the key (it comes out of key joins), that
-    aggregation runs without a shuffle.
-    """
-    slots, fixed, hashed, _ = _layout(select_groups(groups))
-    outs = []
-    if fixed:
-        vals = F.concat(*fixed) if len(fixed) > 1 else fixed[0]
-        lit_slots = F.array(*[F.lit(s) for s in slots])
-        a = explode_array(df, [key], vals, "value", pos="_p") \
-              .select(key, F.element_at(lit_slots, F.col("_p") + 1).alias("slot"), "value")
-        outs.append(a.filter(F.col("value") != 0) if drop_zero else a)
-    if hashed:
-        items = F.concat(*hashed) if len(hashed) > 1 else hashed[0]
-        b = explode_array(df, [key], items, "it").select(key, "it.slot", "it.value") \
-              .groupBy(key, "slot").agg(F.sum("value").alias("value"))
-        outs.append(b.filter(F.col("value") != 0) if drop_zero else b)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
-
-
-def vectorize(df: DataFrame, key: str = "file_id", groups: list[str] | None = None,
-              out: str = "features") -> DataFrame:
-    """Dense array<double> of the enabled groups per file (zeros where nothing is set)."""
-    _, dim = vector_items(select_groups(groups))
-    long = vectorize_long(df, key, groups)
-    per = long.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("_m"))
-    dense = per.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias(out))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return df.select(key).join(dense, key, "left").select(key, F.coalesce(F.col(out), zero).alias(out))
+def vectorize(df: DataFrame, key: str = "file_id", groups: Iterable[str] | None = None,
+              out: str = "features", hasher: str = "md5") -> DataFrame:
+    """Dense array<float> of the groups per row (zeros where nothing is set): (key, out)."""
+    def finish(keys: pa.Array, total: np.ndarray, entered: np.ndarray) -> pa.RecordBatch:
+        width = total.shape[1]
+        offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width)
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(total.astype(np.float32).reshape(-1)))], names=["key", "features"])
+
+    per = _vectors(df, key, groups, hasher, finish, "features array<float>")
+    return per.select(F.col("key").alias(key), F.col("features").alias(out))
 
 
 # ---- warnings vocabulary ------------------------------------------------------------
 
 def warning_dictionary_load(spark, path: str) -> DataFrame:
-    """Rules file: one rule per line, ``...suffix`` or ``prefix...``; id = line number (0-based)."""
-    lines = spark.read.text(path)
-    w = Window.orderBy("_p")  # a rules file is a few hundred lines: bounded
-    numbered = lines.withColumn("_p", F.monotonically_increasing_id()) \
-                    .withColumn("id", (F.row_number().over(w) - 1).cast("int"))
-    return warning_vocab(numbered.select(F.trim("value").alias("rule"), "id"))
+    """Rules file: one rule per line, ``...suffix`` or ``prefix...``; id = line number (0-based).
+
+    The file is read whole (a vocabulary of a few thousand lines), so ids do not hang on how it is split; several files
+    are numbered one after the other in the order of their paths.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
+    lines = files.select("_f", F.posexplode(F.split("value", "\r?\n", -1)).alias("_p", "value"))
+    w = Window.orderBy("_f", "_p")
+    numbered = lines.select(F.trim("value").alias("rule"), (F.row_number().over(w) - 1).cast("int").alias("id"))
+    return warning_vocab(numbered)
 
 
 def warning_vocab(rules: DataFrame) -> DataFrame:

@@ -140,8 +140,7 @@ def q_ioc_pattern_counts_docs(spark, sf_dir):
 _PAT_ORDER = ", ".join(f"({i}, {_sql_lit(n)})" for i, (n, _) in enumerate(patterns()))
 
 
-@register("string_vector", with_views(["v_bytes"], f"""
-SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(value, 6) AS value FROM (
+_STRING_ITEMS = f"""
   SELECT doc_id, 0 AS slot, CAST(numstrings AS DOUBLE) AS value FROM st
   UNION ALL SELECT doc_id, 1, avlength FROM st
   UNION ALL SELECT doc_id, 2, CAST(printables AS DOUBLE) FROM st
@@ -151,8 +150,12 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(value, 6) AS value FROM (
             JOIN st ON st.doc_id = c.doc_id
   UNION ALL SELECT doc_id, 99, string_entropy FROM st
   UNION ALL SELECT i.doc_id, 100 + po.idx, CAST(i.n AS DOUBLE)
-            FROM ({_ioc_sql('strs', 'doc_id')}) i JOIN (VALUES {_PAT_ORDER}) po(idx, name) ON po.name = i.pattern
-) t WHERE value <> 0""", [_STRS, ("st", _STATS_SQL.replace("round(", "(").replace(", 6)", ")"))]))
+            FROM ({_ioc_sql('strs', 'doc_id')}) i JOIN (VALUES {_PAT_ORDER}) po(idx, name) ON po.name = i.pattern"""
+_ST = ("st", _STATS_SQL.replace("round(", "(").replace(", 6)", ")"))
+
+
+@register("string_vector", with_views(["v_bytes"], f"""
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(value, 6) AS value FROM ({_STRING_ITEMS}) t WHERE value <> 0""", [_STRS, _ST]))
 def q_string_vector(spark, sf_dir):
     b = _bytes(spark, sf_dir).select("doc_id", bt.printable_strings("content").alias("strings"))
     v = bt.string_vector(b)

@@ -221,6 +221,18 @@ def q_prune_columns(spark, sf_dir):
     return pj.prune_columns(o, ["o_orderkey", "missing_col", "o_totalprice", "o_custkey"], require_any=True)
 
 
+@register("require_columns", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_require_columns(spark, sf_dir):
+    """Columns that must be there are; one that is not stops the job."""
+    o = table(spark, sf_dir, "orders")
+    try:
+        pj.require_columns(o, ["o_orderkey", "no_such_column"])
+    except ValueError:
+        pj.require_columns(o, ["o_orderkey", "o_totalprice"])
+        return o.select("o_orderkey", "o_totalprice")
+    raise AssertionError("a missing column went unnoticed")
+
+
 @register("drop_columns", with_views(["v_num"], """
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, constant_col FROM v_num"""))
 def q_drop_columns(spark, sf_dir):

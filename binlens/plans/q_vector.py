@@ -1,21 +1,23 @@
 """Queries for 2.E vectorisers over layout-B records.
 
-Spark side: in-row item arrays per group, one explode + groupBy for the
-sparse long form (file_id, slot, value), zeros dropped. DuckDB side: the
-same slots computed from the long fixture views with GROUP BY.
+Spark side: entries of all groups summed in their row by the vector kernel; long form (file_id, slot,
+value), zeros dropped. DuckDB side: the same slots computed from the long fixture views with GROUP BY.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from ..functions.hashing import blake2b_bins, hash_bin, hash_sign, signed_parity_bin, sql_hash_bin, sql_hash_sign, \
-    sql_parity_bin
+from ..functions.hashing import _let, blake2b_bins, hash_bin, hash_sign, signed_parity_bin, sql_hash_bin, sql_hash_sign, \
+    sql_murmur3, sql_murmur3_bin, sql_murmur3_sign, sql_parity_bin
 from ..operators import records as rec
 from ..operators import vector as vec
-from ..sources import table, view, with_views
+from ..sources import io, table, view, with_views
 from ..sources.records import (B_COFF_RULES, B_DLL_BITS, B_ENTRY_POINT, B_FILE_SIZE, B_IMAGE_BITS, B_MACHINE,
                                LABEL_RULE, b_dos_rules, b_optional_rules, b_subsystem_sql, raw_records_b, rules_sql)
+from .q_bytes import _BL, _EH, _HIST, _ST, _STRING_ITEMS, _STRS
 from .q_flat import _CTES as _FLAT_CTES
 from ..operators.partitioning import explode_array
 from .registry import register, round_doubles
@@ -86,7 +88,15 @@ _SEC_GEN = """SELECT fb.file_id,
        GROUP BY fb.file_id, fb.ov_size, fb.ov_ratio, fb.ov_entropy"""
 
 
-def _items_sql(offsets: dict[str, int]) -> str:
+def _hb_exact(tok: str, n: int) -> str:
+    return _let(sql_murmur3(tok), "hz", sql_murmur3_bin("hz", n))
+
+
+def _hs_exact(tok: str) -> str:
+    return _let(sql_murmur3(tok), "hz", sql_murmur3_sign("hz"))
+
+
+def _items_sql(offsets: dict[str, int], _hb=_hb, _hs=_hs) -> str:
     """Union of (file_id, slot, value) items of the requested groups, before aggregation."""
     parts = []
     if "general" in offsets:
@@ -173,7 +183,7 @@ for _g, _q in (("header", "vec_header"), ("section", "vec_section"), ("imports",
     _make_group(_g, _q)
 
 _OFFSETS, _o = {}, 0
-for _grp in vec.GROUPS:
+for _grp in vec.select_groups():
     if _grp.name != "pefilewarnings":
         _OFFSETS[_grp.name] = _o
     _o += _grp.dim
@@ -218,14 +228,123 @@ SELECT CAST(file_id AS BIGINT) AS file_id, CAST(slot AS INTEGER) AS slot, round(
 FROM ({_items_sql(_OFFSETS)} UNION ALL {_WARNING_ITEMS_SQL}) it GROUP BY file_id, slot HAVING sum(value) <> 0""",
           [*_ALL_CTES, _RULES_SQL, _NORM_SQL]))
 def q_vectorize(spark, sf_dir):
+    long = vec.vectorize_long(_with_warnings(spark, sf_dir), "file_id")
+    return round_doubles(long.select("file_id", F.col("slot").cast("int").alias("slot"), "value"))
+
+
+def _with_warnings(spark, sf_dir):
+    """Layout-B records with the ids of their warnings."""
     r = raw_records_b(spark, sf_dir)
     ids = vec.warning_normalise(_sentences(spark, sf_dir), _vocab(spark)).groupBy("file_id") \
              .agg(F.array_sort(F.collect_set("id")).alias("warning_ids"))
-    r = r.join(ids, "file_id", "left").withColumn("warning_ids", F.coalesce("warning_ids", F.array().cast("array<int>")))
-    long = vec.vectorize_long(r, "file_id")
+    return r.join(ids, "file_id", "left").withColumn("warning_ids", F.coalesce("warning_ids", F.array().cast("array<int>")))
+
+
+@register("vectorize_dense", with_views(_VIEWS, f"""
+SELECT CAST(file_id AS BIGINT) AS file_id, {_o} AS width, CAST(slot AS INTEGER) AS slot, round(CAST(CAST(sum(value) AS FLOAT) AS DOUBLE), 6) AS value
+FROM ({_items_sql(_OFFSETS)} UNION ALL {_WARNING_ITEMS_SQL}) it GROUP BY file_id, slot HAVING CAST(sum(value) AS FLOAT) <> 0""",
+          [*_ALL_CTES, _RULES_SQL, _NORM_SQL]))
+def q_vectorize_dense(spark, sf_dir):
+    """Dense vectors: every slot of every file, listed where it is not 0."""
+    dense = vec.vectorize(_with_warnings(spark, sf_dir), "file_id")
+    x = explode_array(dense, ["file_id", F.size("features").alias("width")], "features", "value", pos="slot").where("value <> 0")
+    return round_doubles(x.select("file_id", "width", "slot", F.col("value").cast("double").alias("value")))
+
+
+# ---- bins of the public hashers ----------------------------------------------------------
+_EXACT, _w = {}, 0
+for _grp in vec.select_groups(["section", "imports", "exports", "richheader"]):
+    _EXACT[_grp.name] = _w
+    _w += _grp.dim
+
+
+@register("vectorize_exact", with_views(_VIEWS, f"""
+SELECT CAST(file_id AS BIGINT) AS file_id, CAST(slot AS INTEGER) AS slot, round(sum(value), 6) AS value
+FROM ({_items_sql(_EXACT, _hb_exact, _hs_exact)}) it GROUP BY file_id, slot HAVING sum(value) <> 0""", _ALL_CTES))
+def q_vectorize_exact(spark, sf_dir):
+    """Sections, imports, exports and rich header with the bins and signs of the public feature hashers."""
+    long = vec.vectorize_long(raw_records_b(spark, sf_dir), "file_id", list(_EXACT), hasher="murmur3")
     return round_doubles(long.select("file_id", F.col("slot").cast("int").alias("slot"), "value"))
 
 
+# ---- byte groups, feature-list files and user groups ----------------------------------------
+_BYTE_CTES = [_BL, _HIST, *_EH, _STRS, _ST]
+
+
+def _byte_items_sql(offsets: dict[str, int]) -> str:
+    parts = []
+    if "histogram" in offsets:
+        parts.append(f"SELECT h.doc_id AS file_id, {offsets['histogram']} + h.b AS slot, h.n / v.size AS value FROM hist h JOIN v_bytes v ON v.doc_id = h.doc_id")
+    if "byteentropy" in offsets:
+        parts.append(f"""SELECT doc_id, {offsets['byteentropy']} + hbin * 16 + nib, n / sum(n) OVER (PARTITION BY doc_id) FROM eh""")
+    if "strings" in offsets:
+        parts.append(f"SELECT doc_id, {offsets['strings']} + slot, value FROM ({_STRING_ITEMS}) si")
+    return "\nUNION ALL\n".join(parts)
+
+
+_FULL, _f = {}, 0
+for _grp in vec.GROUPS:
+    _FULL[_grp.name] = _f
+    _f += _grp.dim
+_RECORD_GROUPS = {k: v for k, v in _FULL.items() if k not in ("histogram", "byteentropy", "strings", "pefilewarnings")}
+
+
+@register("vectorize_all", with_views([*_VIEWS, "v_bytes"], f"""
+SELECT CAST(file_id AS BIGINT) AS file_id, CAST(slot AS INTEGER) AS slot, round(sum(value) + 1e-9, 6) AS value
+FROM ({_items_sql(_RECORD_GROUPS)} UNION ALL {_byte_items_sql(_FULL)} UNION ALL
+      SELECT file_id, slot - {_o - 88} + {_FULL['pefilewarnings']}, value FROM ({_WARNING_ITEMS_SQL}) w) it
+WHERE file_id IN (SELECT o_orderkey FROM orders) AND file_id IN (SELECT doc_id FROM documents)
+GROUP BY file_id, slot HAVING sum(value) <> 0""", [*_ALL_CTES, _RULES_SQL, _NORM_SQL, *_BYTE_CTES]))
+def q_vectorize_all(spark, sf_dir):
+    """All twelve groups, byte groups too (2,568 slots), of the files that have a record and a content."""
+    contents = view(spark, sf_dir, "v_bytes").select(F.col("doc_id").alias("file_id"), "content")
+    records = vec.raw_features(_with_warnings(spark, sf_dir).join(contents, "file_id"), [g.name for g in vec.GROUPS])
+    long = vec.vectorize_long(records, "file_id", [g.name for g in vec.GROUPS])
+    return _off_ties(long)
+
+
+def _off_ties(long):
+    """Rounded values of shares: the two engines round exact ties (41 of 640 bytes) in different ways."""
+    return round_doubles(long.withColumn("value", F.col("value") + 1e-9))
+
+
+def _raw_shape(df):
+    """Raw step of a user's group: lines, and commas of the first kibibyte."""
+    text = F.decode("content", "ISO-8859-1")
+    lines = F.size(F.split(text, "\n", -1))
+    commas = F.length(F.regexp_replace(F.substring(text, 1, 1024), "[^,]", ""))
+    return df.withColumn("shape", F.struct(lines.alias("lines"), commas.alias("commas")))
+
+
+SHAPE = vec.VectorGroup("shape", 2, lambda offset: vec.GroupParts([(offset, [F.col("shape.lines"), F.col("shape.commas")])], [], F.col("shape").isNull()),
+                        enabled=False, raw=_raw_shape, alias="TextShape")
+_CHOICE = {"StringExtractor": {}, "ByteHistogram": {"normalised": True}, "GeneralFileInfo": {}, "HeaderFileInfo": None, "TextShape": {}}
+
+
+@register("vectorize_selected", with_views(["v_bytes"], f"""
+SELECT CAST(file_id AS BIGINT) AS file_id, CAST(slot AS INTEGER) AS slot, round(value + 1e-9, 6) AS value FROM (
+  SELECT v.doc_id AS file_id, unnest(range(7)) AS slot, unnest([CAST(v.size AS DOUBLE), e.entropy, 0.0,
+         CASE WHEN v.size > 0 THEN CAST(('0x' || substr(hex(v.content), 1, 2)) AS INTEGER) ELSE 0 END, CASE WHEN v.size > 1 THEN CAST(('0x' || substr(hex(v.content), 3, 2)) AS INTEGER) ELSE 0 END,
+         CASE WHEN v.size > 2 THEN CAST(('0x' || substr(hex(v.content), 5, 2)) AS INTEGER) ELSE 0 END, CASE WHEN v.size > 3 THEN CAST(('0x' || substr(hex(v.content), 7, 2)) AS INTEGER) ELSE 0 END]) AS value
+  FROM v_bytes v LEFT JOIN (SELECT h.doc_id, -sum(h.n / t.size * log2(h.n / t.size)) AS entropy FROM hist h JOIN v_bytes t ON t.doc_id = h.doc_id GROUP BY h.doc_id) e ON e.doc_id = v.doc_id
+  UNION ALL {_byte_items_sql({'histogram': 7, 'strings': 263})}
+  UNION ALL SELECT doc_id, {263 + vec.N_STRING_SLOTS} + unnest([0, 1]), unnest([CAST(len(string_split(text, chr(10))) AS DOUBLE), length(regexp_replace(substr(text_1k, 1, 1024), '[^,]', '', 'g'))])
+            FROM (SELECT doc_id, text, array_to_string(list_transform(range(least(size, 1024)), lambda i: CASE WHEN substr(hex(content), 2 * i + 1, 2) = '2C' THEN ',' ELSE '.' END), '') AS text_1k FROM v_bytes) x
+) t WHERE value <> 0""", _BYTE_CTES))
+def q_vectorize_selected(spark, sf_dir):
+    """Groups that a feature-list file selects, a user's group among them, from contents alone."""
+    path = io.scratch_path(spark, "feature-list")
+    spark.createDataFrame([(json.dumps({"features": _CHOICE}),)], "value string").coalesce(1).write.text(path)
+    vec.register_group(SHAPE, after="strings")
+    try:
+        names = vec.read_feature_list(spark, path)
+        contents = view(spark, sf_dir, "v_bytes").select(F.col("doc_id").alias("file_id"), "content")
+        long = vec.vectorize_long(vec.raw_features(contents, names), "file_id", names)
+    finally:
+        vec.unregister_group(SHAPE.name)
+    return _off_ties(long)
+
+
 # ---- smaller 2.E operators -------------------------------------------------------
 
 @register("signed_hash_bin", f"""
@@ -315,6 +434,17 @@ def q_warning_normalise(spark, sf_dir):
     return vec.warning_normalise(_sentences(spark, sf_dir), _vocab(spark))
 
 
+@register("warning_dictionary_load", "SELECT rule, CAST(id AS INTEGER) AS id, CAST(CASE WHEN starts_with(rule, '...') THEN 0 ELSE 1 END AS INTEGER) AS kind, "
+          "CASE WHEN starts_with(rule, '...') THEN substr(rule, 4) ELSE substr(rule, 1, length(rule) - 3) END AS part FROM ("
+          "SELECT CASE WHEN p_partkey % 2 = 0 THEN '...' || p_name ELSE p_name || '...' END AS rule, row_number() OVER (ORDER BY p_partkey) - 1 AS id FROM part) r")
+def q_warning_dictionary_load(spark, sf_dir):
+    """A rules file of one line per part, read back with line numbers."""
+    path = io.scratch_path(spark, "rules")
+    rules = table(spark, sf_dir, "part").orderBy("p_partkey").select(F.expr("CASE WHEN p_partkey % 2 = 0 THEN '...' || p_name ELSE p_name || '...' END").alias("value"))
+    rules.coalesce(1).write.text(path)
+    return vec.warning_dictionary_load(spark, path)
+
+
 @register("vec_warnings", with_views([], f"""
 SELECT CAST(file_id AS BIGINT) AS file_id, CAST(slot AS INTEGER) AS slot, value FROM (
   SELECT DISTINCT file_id, id AS slot, 1.0 AS value FROM norm
@@ -323,5 +453,4 @@ t""", [_RULES_SQL, _NORM_SQL]))
 def q_vec_warnings(spark, sf_dir):
     n = vec.warning_normalise(_sentences(spark, sf_dir), _vocab(spark))
     ids = n.groupBy("file_id").agg(F.array_sort(F.collect_set("id")).alias("warning_ids"))
-    x = explode_array(ids, ["file_id"], vec.parts_items(vec.parts_warnings(0)), "it")
-    return x.groupBy("file_id", F.col("it.slot").cast("int").alias("slot")).agg(F.sum("it.value").alias("value"))
+    return vec.vectorize_long(ids, "file_id", ["pefilewarnings"])
