@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-_CACHE: dict[tuple[str, bool], dict[str, bytes]] = {}
-_TOKENIZERS: dict[tuple[str, bool], object] = {}
+_CACHE: dict[str, dict[str, bytes]] = {}
+_TOKENIZERS: dict[str, object] = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -56,19 +56,18 @@ class Encoder:
     characters that are not white space, and between a letter and a full stop or comma. Pieces
     between such cuts are found by Arrow, encoded by the library once and remembered (up to
     ``remember`` short pieces); a text with any other white space goes to the library whole.
-    ``split_special``: the names of special tokens in a text are text like any other, and not the
-    one id that the tokenizer as loaded gives them.
+    The tokenizer is used as loaded: the name of a special token in a text is that token's one id.
     """
 
-    def __init__(self, name: str, remember: int = 1_200_000, split_special: bool = True):
-        key = (name, split_special)
-        if key not in _TOKENIZERS:
+    def __init__(self, name: str, remember: int = 1_200_000):
+        if name not in _TOKENIZERS:
             import os
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
-            _TOKENIZERS[key] = Tokenizer.from_file(vocabulary_path(name))
-            _TOKENIZERS[key].encode_special_tokens = split_special
-        self.tokenizer, self.known, self.remember = _TOKENIZERS[key], _CACHE.setdefault(key, {}), remember
+            _TOKENIZERS[name] = Tokenizer.from_file(vocabulary_path(name))
+        self.tokenizer, self.known, self.remember = _TOKENIZERS[name], _CACHE.setdefault(name, {}), remember
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
 
     def library(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -78,12 +77,29 @@ class Encoder:
                 x.byteswap()
         return [x.tobytes() for x in ids]
 
+    def joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, encoded as lines of one text: lines are cut apart where the line feed's id is.
+
+        A line feed that became part of another token shows in their number; the pieces are then encoded one by one.
+        """
+        if self.feed is None:
+            return self.library(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == self.feed)
+        if len(cut) != len(pieces) - 1:
+            return self.library(pieces)
+        raw = ids.tobytes()
+        return [raw[4 * x:4 * y] for x, y in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)])]
+
     def _learn(self, pieces: set[str]) -> None:
         known = self.known
         stems = [p for p in pieces if p[-1:] in (".", ",") and p[-2:-1].isalpha()]
         new = list((pieces.difference(stems) | {p[:-1] for p in stems} | {".", ","}).difference(known))
-        for at in range(0, len(new), 10_000):
-            known.update(zip(new[at:at + 10_000], self.library(new[at:at + 10_000])))
+        lines = {p for p in ("", "\n") if p in new}
+        known.update(zip(lines, self.library(list(lines))))
+        new = [p for p in new if p not in lines]
+        for at in range(0, len(new), 2_000):
+            known.update(zip(new[at:at + 2_000], self.joined(new[at:at + 2_000])))
         known.update([(p, known[p[:-1]] + known[p[-1]]) for p in stems])
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +212,7 @@ def _slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 
 
 def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json",
-                      end_id: int = 2, block_ids: int = 1 << 16, kind: str = "byte", slice_bytes: int = 4 << 20, remember: int = 1_200_000) -> None:
+                      end_id: int = 2, block_ids: int = 1 << 16, kind: str = "byte", slice_bytes: int = 8 << 20, remember: int = 1_200_000) -> None:
     """Encode every whole text (null: empty) by the tokenizer as loaded, end it with ``end_id``, and write the ids to ``path`` by ascending id.
 
     Null ids come first; rows that repeat an id stand side by side, ordered by a hash of their
@@ -212,7 +228,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     schema = _file_rows(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary, remember, split_special=False), TaskContext.get().partitionId()
+        encoder, part = Encoder(vocabulary, remember), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         held, index, first, block, seq = bytearray(), [], 0, 0, 0
 

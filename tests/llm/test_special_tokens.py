@@ -23,7 +23,7 @@ def test_files_have_the_ids_of_the_tokenizer_as_loaded(spark):
 
 
 def test_pieces_with_special_tokens_encode_like_whole_texts():
-    library, rng, encoder = loaded(), random.Random(4), Encoder("byte_bpe_50k.json", remember=50, split_special=False)
+    library, rng, encoder = loaded(), random.Random(4), Encoder("byte_bpe_50k.json", remember=50)
     parts = ["a", "é", " ", "  ", "\n", "\n\n", "\t", "\0", "1", "'s", "!", ".", ",", "a.", "<|endoftext|>", "<|endoftext|>", "<|", "|>", "The", " x", "​", "x" * 60]
     for _ in range(6000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))

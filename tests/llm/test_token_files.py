@@ -12,7 +12,6 @@ from binlens.session import shared_path
 def library():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
