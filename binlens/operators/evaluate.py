@@ -134,18 +134,41 @@ def metric_logloss(df: DataFrame, label: str = "label", score: str = "score",
     return df.agg(F.avg(ll).alias("logloss"), F.count(F.lit(1)).alias("n"))
 
 
-def metric_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def binned_auc(df: DataFrame, label: str = "label", score: str = "score", bins: int = 4096) -> tuple[float, float]:
+    """AUC from counts of scores (0 to 1) in ``bins`` equal bins, and how far it can be from the exact one.
+
+    Counts of parts of the data add up, so one aggregation of at most ``bins`` rows does; pairs in one bin count half, which
+    is off by half of their share at most. NaN where a class is missing.
+    """
+    bucket = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).alias("b")
+    rows = df.groupBy(bucket).agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).collect()
+    return auc_of_counts({r.b: (r.neg, r.pos) for r in rows})
+
+
+def auc_of_counts(counts: dict[int, tuple[int, int]]) -> tuple[float, float]:
+    """AUC and error bound from (negatives, positives) per score bin."""
+    below = num = tied = 0
+    for b in sorted(counts):
+        neg, pos = counts[b]
+        num += pos * (2 * below + neg)
+        tied += pos * neg
+        below += neg
+    pairs = below * sum(pos for _, pos in counts.values())
+    return (num / (2 * pairs), tied / (2 * pairs)) if pairs else (float("nan"), float("nan"))
+
+
+def metric_auc(df: DataFrame, label: str = "label", score: str = "score", written: list[str] | None = None) -> DataFrame:
     """Exact ROC AUC with tie mid-ranks.
 
     AUC = sum_s pos(s) * (neg(<s) + neg(s)/2) / (n_neg * n_pos) over distinct
     scores s. One scan counts labels per distinct score; ``neg(<s)`` is the running
-    total over that table, whose sorted partitions no task exceeds.
+    total over that table, whose sorted partitions no task exceeds. The table is written; its path is added to ``written``.
     """
     per_score = (df.select(F.col(score).cast("double").alias("s"), F.col(label).alias("_y"))
                    .groupBy("s")
                    .agg(F.count_if(F.col("_y") == 0).alias("neg"),
                         F.count_if(F.col("_y") == 1).alias("pos")))
-    below = running_totals(per_score, "s", ["neg"])
+    below = running_totals(per_score, "s", ["neg"], written=written)
     agg = below.agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("num"),
                     F.sum("neg").alias("n_neg"), F.sum("pos").alias("n_pos"))
     return agg.select(

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise_at
 
 _ROW_BITS = 33  # monotonically_increasing_id = (partition << 33) + row-in-partition
 
@@ -59,15 +59,19 @@ def hash_ordinal(df: DataFrame, hash_col: str, tie: str, out: str = "ordinal",
             .drop("_bucket", "_in", "_ob", "_off", *[f"_og{i}" for i in range(len(groups))]))
 
 
-def running_totals(counted: DataFrame, value: str, counts: list[str], partition_by: list[str] | None = None) -> DataFrame:
+def running_totals(counted: DataFrame, value: str, counts: list[str], partition_by: list[str] | None = None,
+                   written: list[str] | None = None) -> DataFrame:
     """``counted`` (one row per group and value) with ``<c>_before``: the sum of count ``c`` over smaller values.
 
-    The value order is ascending, NULL first. One job sorts and writes the table.
+    The value order is ascending, NULL first. One job sorts and writes the table; its path is added to ``written``,
+    for callers that delete it when they have read the result.
     """
     groups = list(partition_by or [])
     placed = (counted.repartitionByRange(*groups, value).sortWithinPartitions(*groups, value)
               .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), _ROW_BITS)))
-    placed = materialise(placed, "running")
+    placed, path = materialise_at(placed, "running")
+    if written is not None:
+        written.append(path)
     parts = placed.groupBy(*groups, "_pid").agg(*[F.sum(c).alias(c) for c in counts])  # partitions x groups at most
     before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = parts.select(F.col("_pid").alias("_op"), *[F.col(g).alias(f"_og{i}") for i, g in enumerate(groups)],

@@ -108,3 +108,18 @@ def materialise(df, name: str, **options):
     path = shared_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_at(df, name: str, **options):
+    """``materialise`` with the table's path, for owners that delete it with ``delete_path`` when nothing reads it any more."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete_path(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder of the shared store; None and missing folders are passed over."""
+    if path:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
