@@ -31,17 +31,22 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """One row per input row: ``id_col, n_lines, n_dropped, kept`` (the text that is left).
 
     Lines end at ``\\n``; a null or empty text is one empty line. A line's key is ``line_key``;
-    keys of ``min_chars`` code points or more that ``min_docs`` rows or more contain lose all
-    their lines in every row. Every input row counts as a document, a repeated row or id too.
-    A null id is an id like any other. A document whose lines all go has the empty text. An
+    keys of ``min_chars`` code points or more that ``min_docs`` documents or more contain lose all
+    their lines in every row. Rows of one id are one document; rows without an id are a document each. A document whose lines all go has the empty text. An
     empty table gives an empty result. Other columns are not read.
     """
     docs = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     docs = docs.select("id", F.xxhash64("text", F.length("text")).alias("version"), F.split("text", "\n", -1).alias("lines"))
 
     # Documents per key.
-    keys = docs.select(F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key"))
-    keys = keys.where(F.length("key") >= min_chars).select(key_hash(F.col("key")).alias("h"))
+    keys = docs.select("id", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key"))
+    keys = keys.where(F.length("key") >= min_chars).select("id", key_hash(F.col("key")).alias("h"))
+    repeated = docs.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select("id")
+    repeated = materialise(repeated, "line-dedup-ids")
+    if not repeated.isEmpty():  # of the rows of one id, a key counts once; the others need no look at their ids
+        again = keys.join(repeated, "id", "left_semi").distinct()
+        once = keys.join(repeated, "id", "left_anti")
+        keys = once.unionAll(again)
     frequent = keys.groupBy("h").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("h")
     frequent = materialise(frequent, "line-dedup")
 

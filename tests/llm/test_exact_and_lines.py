@@ -38,7 +38,9 @@ def test_exact_dedup_of_nothing(empty):
 @pytest.mark.parametrize("min_docs,min_chars", [(10, 1), (2, 0), (3, 5)])
 def test_line_dedup_is_brute_force(odd, odd_rows, min_docs, min_chars):
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\f\r"))
-    docs = Counter(k for r in odd_rows for k in {key(x) for x in (r[1] or "").split("\n")})
+    # rows of one id are one document, rows without an id a document each
+    pairs = {(r[0] if r[0] is not None else f"row {n}", key(x)) for n, r in enumerate(odd_rows) for x in (r[1] or "").split("\n")}
+    docs = Counter(k for _, k in pairs)
     gone = {k for k, n in docs.items() if n >= min_docs and len(k) >= min_chars}
     want = Counter()
     for r in odd_rows:
@@ -49,6 +51,12 @@ def test_line_dedup_is_brute_force(odd, odd_rows, min_docs, min_chars):
     assert got == want
 
 
+def test_a_repeated_id_is_one_document(spark):
+    rows = spark.createDataFrame([(1, "shared\nown")] * 12 + [(k, "common\nown") for k in range(20, 31)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_dropped, r.kept) for r in line_dedup(rows, min_docs=10).collect())
+    assert got == Counter({(1, 1, "shared"): 12, **{(k, 2, ""): 1 for k in range(20, 31)}})
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup(empty).count() == 0
 
