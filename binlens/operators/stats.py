@@ -11,10 +11,12 @@ are running totals of those counts (:func:`binlens.operators.ordering.running_to
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,7 +213,7 @@ def exact_quantiles(df: DataFrame, value: str, group: str, qs: list[float]) -> D
     counted = (df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
                .filter(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")))
     ranked = running_totals(counted, "_v", ["_c"], partition_by=["_g"])
-    sizes = counted.groupBy(F.col("_g").alias("_tg")).agg(F.sum("_c").alias("_n"))
+    sizes = ranked.groupBy(F.col("_g").alias("_tg")).agg(F.sum("_c").alias("_n"))  # from the written table, not from the input again
     qarr = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
     pos = F.col("q") * (F.col("_n") - 1)
     targets = (sizes.select("_tg", "_n", F.explode(qarr).alias("_q")).select("_tg", "_n", "_q.qi", "_q.q")
@@ -231,36 +233,58 @@ def exact_quantiles(df: DataFrame, value: str, group: str, qs: list[float]) -> D
                       (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value"))
 
 
-def class_summary(df: DataFrame, col: str, label: str = "label") -> DataFrame:
-    """Per class: exact median, mean, sample std; plus median(malware) - median(benign)."""
+def _approximate(col: str, qs: list[float], accuracy: int) -> Column:
+    return F.percentile_approx(F.col(col).cast("double"), F.array(*[F.lit(float(q)) for q in qs]), F.lit(accuracy))
+
+
+def class_summary(df: DataFrame, col: str, label: str = "label", approx: int | None = None) -> DataFrame:
+    """Per class: median, mean, sample std; plus median(malware) - median(benign).
+
+    ``approx``: None gives the exact median (values are counted and ranked); a number takes a value whose rank is off by
+    at most 1 / ``approx`` of the class, all in one scan with the moments.
+    """
+    if approx is not None:
+        x = F.col(col).cast("double")
+        out = df.groupBy(label).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.count(F.col(col)).alias("n"),
+                                    F.get(_approximate(col, [0.5], approx), F.lit(0)).alias("median"))
+        return _with_delta(out, label)
     med = exact_quantiles(df, col, label, [0.5]).select(label, F.col("value").alias("median"))
     mom = df.groupBy(label).agg(F.avg(F.col(col).cast("double")).alias("mean"),
                                 F.stddev_samp(F.col(col).cast("double")).alias("std"),
                                 F.count(F.col(col)).alias("n"))
-    out = mom.join(med, label, "left")
+    return _with_delta(mom.join(med, label, "left"), label)
+
+
+def _with_delta(out: DataFrame, label: str) -> DataFrame:
     w = Window.partitionBy(F.lit(0))  # one row per class: bounded
     d = (F.max(F.when(F.col(label) == 1, F.col("median"))).over(w)
          - F.max(F.when(F.col(label) == 0, F.col("median"))).over(w))
     return out.withColumn("delta_median", d).select(label, "n", "median", "mean", "std", "delta_median")
 
 
-def class_quartiles(df: DataFrame, col: str, label: str = "label") -> DataFrame:
+def class_quartiles(df: DataFrame, col: str, label: str = "label", approx: int | None = None) -> DataFrame:
+    """Quartiles per class: exact and interpolated, or values of about those ranks (``approx`` as for ``class_summary``)."""
+    if approx is not None:
+        q = df.groupBy(label).agg(_approximate(col, [0.25, 0.5, 0.75], approx).alias("q"))
+        return q.select(label, *[F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)])
     q = exact_quantiles(df, col, label, [0.25, 0.5, 0.75])
     return q.groupBy(label).agg(*[F.max(F.when(F.col("q") == v, F.col("value"))).alias(n)
                                   for v, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
 
 
-def discrete_distribution(df: DataFrame, col: str, label: str = "label") -> DataFrame:
+def discrete_distribution(df: DataFrame, col: str, label: str = "label", max_values: int = 1_000_000) -> DataFrame:
     """Share of each integer value 0..max+1 within each class (gaps are 0).
 
     One scan; the range comes from the counted table. Negative values count in a
-    class's total but have no row.
+    class's total but have no row. A largest value above ``max_values`` (a size in bytes, say) fails the job: the result
+    would have a row for every number up to it.
     """
     v = F.floor(F.col(col).cast("double")).cast("long")
     counts = df.groupBy(F.col(label).alias("label"), v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
     counts = materialise(counts, "counts")
     totals = counts.groupBy("label").agg(F.sum("n").alias("tot"), F.max("value").alias("mx"))
     top = F.greatest(F.coalesce(F.max("mx").over(Window.partitionBy(F.lit(0))) + 1, F.lit(0)), F.lit(0))  # one row per class
+    top = F.when(top > max_values, F.raise_error(F.concat(F.lit(f"more than {max_values} values: up to "), top.cast("string")))).otherwise(top)
     dim = (totals.withColumn("top", top.cast("long")).filter(F.col("label").isin(0, 1))
            .select("label", "tot", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("value")))
     return (dim.join(counts, ["label", "value"], "left").na.fill(0, ["n"])
@@ -287,32 +311,47 @@ def ratio_profile(df: DataFrame, col: str, label: str = "label", edges=RATIO_EDG
               .select("label", "bucket", "lo", "hi", F.col("n").cast("long").alias("n"), "pct")
 
 
-def kde_by_class(df: DataFrame, col: str, label: str = "label", grid: int = 200,
-                 prebins: int = 1024, bw: float | None = None) -> DataFrame:
-    """Gaussian KDE per class on ``grid`` points over the class range (Scott bandwidth).
+#: A value counts at grid points within so many bandwidths; beyond, its kernel is below exp(-32) of the peak.
+KDE_REACH = 8.0
+
+
+def kde_by_class(df: DataFrame, col: str, label: str = "label", grid: int = 200, bw: float | None = None, reach: float = KDE_REACH) -> DataFrame:
+    """Gaussian KDE per class on ``grid`` points over the class range (Scott bandwidth, or ``bw``).
 
-    Rows are first reduced to <= ``prebins`` weighted bins per class (one
-    aggregation), so the density costs bins x grid per class, not rows x grid.
+    Every row adds its kernel to the grid points within ``reach`` bandwidths: tasks sort the values of a batch and add,
+    per grid point, the slice of values in reach to their own grid, so a row costs only the points near it and a task
+    hands on at most classes x grid sums. What is left out is less than ``exp(-reach^2 / 2) / (h sqrt(2 pi))`` of
+    density per point (h: the bandwidth). Nulls and NaN do not count; a class without spread has density 0.
     """
     v = F.col(col).cast("double")
-    st = df.filter(v.isNotNull()).groupBy(F.col(label).alias("label")).agg(
-        F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("n"),
-        F.stddev_samp(v).alias("sd"))
-    bwcol = F.lit(float(bw)) if bw else F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    st = st.withColumn("h", bwcol).withColumn("w", (F.col("hi") - F.col("lo")) / F.lit(prebins))
-    x = df.select(F.col(label).alias("label"), v.alias("_x")).filter(F.col("_x").isNotNull()) \
-          .join(F.broadcast(st.select("label", "lo", "w")), "label")
-    binned = x.groupBy("label", F.least(F.coalesce(F.floor(F.try_divide(F.col("_x") - F.col("lo"), F.col("w"))),
-                                                   F.lit(0)), F.lit(prebins - 1)).alias("b")) \
-              .agg(F.count(F.lit(1)).alias("cnt"))
-    hist = (binned.join(F.broadcast(st), "label")
-                  .withColumn("c", F.col("lo") + (F.col("b") + 0.5) * F.col("w"))
-                  .groupBy("label").agg(F.collect_list(F.struct("c", "cnt")).alias("bins")))  # <= prebins
-    g = (st.join(hist, "label")
-           .withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))  # grid points per class
-           .withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / F.lit(max(grid - 1, 1))))
-    dens = F.aggregate("bins", F.lit(0.0), lambda acc, s: acc + s["cnt"] * F.exp(
-        -F.pow((F.col("x") - s["c"]) / F.col("h"), 2) / 2))
-    return g.select("label", "gi", "x",
-                    F.coalesce(F.try_divide(dens, F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))),
-                               F.lit(0.0)).alias("density"))
+    rows = df.select(F.col(label).alias("label"), v.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x") & F.col("label").isNotNull())
+    per_class = rows.groupBy("label").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"))
+    stats = []  # one row per class
+    for r in per_class.collect():
+        h = float(bw) if bw else (r.sd or 0.0) * r.n ** -0.2
+        stats.append((r.label, r.lo, r.hi, r.n, h if h > 0 else None))
+    points = {k: (lo + (hi - lo) * np.arange(grid) / max(grid - 1, 1), h) for k, lo, hi, _, h in stats}
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {k: np.zeros(grid) for k in points}
+        for batch in batches:
+            labels, x = batch["label"].to_numpy(zero_copy_only=False), batch["x"].to_numpy(zero_copy_only=False)
+            for k, (at, h) in points.items():
+                own = np.sort(x[labels == k]) if h else np.zeros(0)
+                if not len(own):
+                    continue
+                begin, end = np.searchsorted(own, at - reach * h, "left"), np.searchsorted(own, at + reach * h, "right")
+                for i in np.flatnonzero(end > begin):
+                    z = (own[begin[i]:end[i]] - at[i]) / h
+                    sums[k][i] += np.exp(-0.5 * z * z).sum()
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * grid, label_type), pa.array(np.arange(grid, dtype=np.int32)), pa.array(total)], names=["label", "gi", "mass"])
+
+    kind = rows.schema["label"].dataType
+    label_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[kind.simpleString()]
+    mass = rows.mapInArrow(scatter, f"label {kind.simpleString()}, gi int, mass double").groupBy("label", "gi").agg(F.sum("mass").alias("mass"))
+    dim = df.sparkSession.createDataFrame(stats, f"label {kind.simpleString()}, lo double, hi double, n long, h double")
+    full = dim.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).join(mass, ["label", "gi"], "left")
+    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / F.lit(float(max(grid - 1, 1)))
+    density = F.try_divide(F.col("mass"), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
+    return full.select("label", "gi", x.alias("x"), F.coalesce(density, F.lit(0.0)).alias("density"))

@@ -99,6 +99,14 @@ def q_stratified_split(spark, sf_dir):
     return ds.stratified_split(s, "doc_id", frac=0.15)
 
 
+@register("stratified_split_threshold", with_views(["v_scored"], f"""
+SELECT doc_id, label, CASE WHEN {_u('split', 'doc_id')} < 0.15 THEN 'val' ELSE 'train' END AS split FROM v_scored WHERE label IN (0, 1)"""))
+def q_stratified_split_threshold(spark, sf_dir):
+    """The split by hash threshold: in the row, without a shuffle."""
+    s = pj.filter_labelled(view(spark, sf_dir, "v_scored")).select("doc_id", "label")
+    return ds.stratified_split(s, "doc_id", frac=0.15, approx=True)
+
+
 @register("nested_split", with_views(["v_scored"], """
 SELECT doc_id, label,
        CASE WHEN r <= ceil(n * 0.2) THEN 'vault'

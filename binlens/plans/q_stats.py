@@ -159,20 +159,18 @@ def q_ratio_profile(spark, sf_dir):
 
 @register("kde_by_class", with_views(["v_num"], """
 SELECT s.label, CAST(g.gi AS INTEGER) AS gi, round(s.lo + (s.hi - s.lo) * g.gi / 199.0, 6) AS x,
-       round(COALESCE(sum(b.cnt * exp(-power(((s.lo + (s.hi - s.lo) * g.gi / 199.0) - b.c) / s.h, 2) / 2))
-                      / (s.n * s.h * sqrt(2 * pi())), 0), 6) AS density
-FROM st s, range(200) g(gi), bins b
-WHERE b.label = s.label
+       round(COALESCE(sum(exp(-power(((s.lo + (s.hi - s.lo) * g.gi / 199.0) - v.l_extendedprice) / s.h, 2) / 2))
+                      / (s.n * s.h * sqrt(2 * pi())), 0) * 1000, 6) AS density
+FROM st s, range(200) g(gi), v_num v
+WHERE v.label = s.label
 GROUP BY s.label, g.gi, s.lo, s.hi, s.n, s.h""", [
-    ("st", """SELECT label, min(l_tax) AS lo, max(l_tax) AS hi, count(*) AS n,
-                     stddev_samp(l_tax) * power(count(*), -0.2) AS h, (max(l_tax) - min(l_tax)) / 1024 AS w
-              FROM v_num GROUP BY label"""),
-    ("bins", """SELECT v.label, st.lo + (least(COALESCE(floor((v.l_tax - st.lo) / nullif(st.w, 0)), 0), 1023) + 0.5) * st.w AS c,
-                       count(*) AS cnt
-                FROM v_num v JOIN st ON v.label = st.label
-                GROUP BY v.label, least(COALESCE(floor((v.l_tax - st.lo) / nullif(st.w, 0)), 0), 1023), st.lo, st.w""")]))
+    ("st", """SELECT label, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n,
+                     stddev_samp(l_extendedprice) * power(count(*), -0.2) AS h
+              FROM v_num GROUP BY label""")]))
 def q_kde_by_class(spark, sf_dir):
-    return round_doubles(st.kde_by_class(view(spark, sf_dir, "v_num"), "l_tax"))
+    """Density of prices, in thousandths, against the sum over all rows and grid points."""
+    kde = st.kde_by_class(view(spark, sf_dir, "v_num"), "l_extendedprice")
+    return round_doubles(kde.withColumn("density", F.col("density") * 1000))
 
 
 _GROUP_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "constant_col", "label"]
