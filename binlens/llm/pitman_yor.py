@@ -1,50 +1,28 @@
-"""Language-model scores by a hierarchical Pitman-Yor process.
+"""Seating of a hierarchical Pitman-Yor process, and tokens of texts in blocks.
 
-Symbols: a word with a ``share`` of all training tokens or more stands for itself; the other words
-stand for the class of their last two bytes, if that has such a share, or for one class of all
-the rest. There are at most 1 / share + 2 symbols, whatever the corpus, so a table over pairs of
-them has a proven bound. A token's probability is that of its symbol after the symbol before,
-times that of the word in its class.
-
-Restaurants: every context symbol has one, whose dishes are symbols; they share a parent, whose
-parent is uniform. Every class has one, whose dishes are its words, over a uniform base of its
-known words and one unknown word. A restaurant with discount d, concentration q, c customers of
-a dish at t tables (C and T in all) gives the dish (c - d t + (q + d T) P(dish in the parent)) / (q + C).
+A restaurant with discount d, concentration q, c customers of a dish at t tables (C and T in all) gives the
+dish (c - d t + (q + d T) P(dish in the parent)) / (q + C).
 
 Seating: a Gibbs sweep takes all customers of a dish in a restaurant away and seats them again one
 by one, each at a new table with the probability of the Chinese restaurant process given how many
 are seated, the tables of the whole restaurant and the parent's probability after the sweep
 before; each table sends a customer to the parent. Beyond ``EXACT`` customers they arrive in
 blocks of a sixteenth of those seated, with the block's new tables drawn at once, so that a dish of
-any size takes a number of steps like its logarithm. Sweeps are Spark jobs over the counted
-tables; only totals per symbol reach the driver. Random numbers are hashes of dish, sweep and
-step, so retried tasks agree. Probabilities are averaged over the sweeps after ``burn``.
-
-Counting and scoring: words and symbol pairs are counted in the tasks that read the texts and
-summed by shuffles. For scoring, each block of texts asks for each of its class words once, with
-the texts that hold it; the answers are summed per block. Nothing is sent per token.
+any size takes a number of steps like its logarithm. Random numbers are hashes of dish, sweep and
+step, so retried tasks agree. ``word_model`` has the restaurants, the sweeps as Spark jobs and the scores.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import defaultdict
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-
 END = b""  # the end of a text, counted as a token; also the context of its first token
 EXACT = 64
 _FLUSH = 400_000
-_BLOCK_BYTES = 16 << 20
 _MANY = 0xFFFF
 
 
@@ -119,23 +97,12 @@ def discount(counts: DataFrame, col: str) -> float:
 
 # Symbols
 
-@dataclass
-class Symbols:
-    words: dict[bytes, int]
-    endings: dict[bytes, int]
-    size: int  # the last symbol is the class of all other words
-
-    def of(self, word: bytes) -> int:
-        at = self.words.get(word)
-        return self.endings.get(word[-2:], self.size - 1) if at is None else at
-
 
 class Block:
-    """The tokens of some texts as numbers: their words are numbered as they come up, and a symbol is looked up
-    once a word."""
+    """The tokens of some texts as numbers: their words are numbered as they come up."""
 
-    def __init__(self, symbols: Symbols):
-        self.symbols, self.number, self.ids, self.lengths, self.bytes = symbols, defaultdict(), [], [], 0
+    def __init__(self):
+        self.number, self.ids, self.lengths, self.bytes = defaultdict(), [], [], 0
         self.number.default_factory = self.number.__len__
 
     def add(self, text: bytes | None) -> int:
@@ -144,291 +111,3 @@ class Block:
         self.lengths.append(len(toks))
         self.bytes += len(text or b"")
         return self.bytes
-
-    def sequence(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The words and their symbols; per token its word, symbol and the symbol before; and where texts start."""
-        words = list(self.number)
-        of_word = np.fromiter(map(self.symbols.of, words), np.int64, len(words))
-        ids = np.concatenate(self.ids)
-        sym = of_word[ids]
-        starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        before = np.concatenate(([0], sym[:-1]))
-        before[starts] = self.symbols.words[END]
-        return words, of_word, ids, sym, before, starts
-
-    def pairs(self) -> np.ndarray:
-        n = self.symbols.size
-        if not self.ids:
-            return np.zeros(n * n, np.int64)
-        *_, sym, before, _ = self.sequence()
-        return np.bincount(before * n + sym, minlength=n * n)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    for batch in batches:
-        for text in batch.column("text"):
-            found.update(tokens_of(text.as_py()))
-            if len(found) > _FLUSH:
-                yield rows()
-                found.clear()
-    yield rows()
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """``word, c`` over a frame of one binary column ``text``."""
-    return texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-
-
-def choose_symbols(words: DataFrame, total: int, share: float) -> tuple[Symbols, dict[bytes, int]]:
-    """The symbols, and the counts of the words that are symbols (1 / share + 1 at most)."""
-    least = max(1, int(np.ceil(total * share)))
-    heavy = {bytes(r[0]): r[1] for r in words.where((F.col("c") >= least) | (F.length("word") == 0)).collect()}
-    heavy.setdefault(END, 0)
-    rest = words.where((F.col("c") < least) & (F.length("word") > 0))
-    endings = [bytes(r[0]) for r in rest.groupBy(F.expr("substring(word, -2, 2)").alias("e")).agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("e").collect()]
-    names = {w: i for i, w in enumerate(sorted(heavy))}
-    return Symbols(names, {e: len(names) + i for i, e in enumerate(sorted(endings))}, len(names) + len(endings) + 1), heavy
-
-
-def count_pairs(texts: DataFrame, symbols: Symbols) -> DataFrame:
-    """``u, w, c``: how often symbol w comes after symbol u."""
-    n = symbols.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(n * n, np.int64)
-        block = Block(symbols)
-        for batch in batches:
-            for text in batch.column("text"):
-                if block.add(text.as_py()) >= _BLOCK_BYTES:
-                    sums += block.pairs()
-                    block = Block(symbols)
-        sums += block.pairs()
-        code = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(code // n), pa.array(code % n), pa.array(sums[code])], names=["u", "w", "c"])
-
-    return texts.mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
-
-
-# Sweeps
-
-def _sums(rows: DataFrame, size: int, kinds: int) -> np.ndarray:
-    """Totals of rows (kind, at, x) as an array: kinds times symbols."""
-    out = np.zeros((kinds, size))
-    for kind, at, x in rows.groupBy("kind", "at").agg(F.sum("x")).collect():  # kinds x symbols at most
-        out[kind, at] = x
-    return out
-
-
-def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (u.astype(np.uint64) << np.uint64(32)) ^ (w.astype(np.uint64) * np.uint64(0xD1342543DE82EF95 & 0xFFFFFFFF))
-
-
-def context_probabilities(pairs: DataFrame, size: int, sweeps: int, burn: int, q: float) -> np.ndarray:
-    """log10 of the averaged probability of each symbol (column) after each symbol (row).
-
-    ``pairs`` is dealt by dish, so a dish's tables in all contexts, and with them its customers in
-    the parent, are in one task: ``size`` rows at most. The result has ``size`` squared numbers.
-    """
-    pairs = materialise(pairs.repartition("w"), "pairs")
-    d, d0 = discount(pairs, "c"), 0.5
-    totals = _sums(pairs.selectExpr("0 as kind", "u as at", "cast(c as double) as x")
-                   .union(pairs.selectExpr("1", "w", "cast(c as double)")).union(pairs.selectExpr("2", "u", "1D")), size, 3)
-    customers, tables = totals[0], totals[2]
-    parent = (totals[1] + 1 / size) / (totals[1].sum() + 1)
-    root_tables = float(max(1, (totals[1] > 0).sum()))
-    ones, kept = np.zeros((size, size), np.float64), 0
-    back = np.zeros((size, size))
-
-    def sweep_over(parent: np.ndarray, tables: np.ndarray, root_tables: float, sweep: int):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            got = [f for f in frames if len(f)]
-            if not got:
-                return
-            f = pd.concat(got)
-            u, w, c = (f[x].to_numpy(np.int64) for x in ("u", "w", "c"))
-            t = seat(c, (q + d * tables[u]) * parent[w], d, _pair_key(u, w), sweep)
-            of_w = np.bincount(w, t, size)
-            dish = np.flatnonzero(of_w)
-            t0 = seat(of_w[dish], np.full(len(dish), (q + d0 * root_tables) / size), d0, _pair_key(np.full(len(dish), size), dish), sweep)
-            in_u = np.bincount(u, t, size)
-            ctx = np.flatnonzero(in_u)
-            yield pd.DataFrame({"kind": 0, "at": ctx, "x": in_u[ctx]})
-            yield pd.DataFrame({"kind": 1, "at": dish, "x": of_w[dish]})
-            yield pd.DataFrame({"kind": 2, "at": dish, "x": t0})
-            yield pd.DataFrame({"kind": 3 + u, "at": w, "x": t}) if sweep >= burn else pd.DataFrame({"kind": [0], "at": [0], "x": [0.0]})
-        return run
-
-    for sweep in range(sweeps):
-        rows = pairs.mapInPandas(sweep_over(parent, tables, root_tables, sweep), "kind long, at long, x double")
-        seen = rows.groupBy("kind", "at").agg(F.sum("x").alias("x")).toPandas()  # (size + 3) x size rows at most
-        kind, at, x = seen["kind"].to_numpy(), seen["at"].to_numpy(), seen["x"].to_numpy()
-        now = np.zeros((size + 3, size))
-        now[kind, at] = x
-        tables, up, root = now[0], now[1], now[2]
-        root_tables = float(root.sum())
-        parent = (up - d0 * root + (q + d0 * root_tables) / size) / (q + up.sum())
-        if sweep >= burn:
-            kept += 1
-            ones += now[3:]
-            back += ((q + d * tables) / (q + customers))[:, None] * parent
-    c = np.zeros((size, size))
-    held = pairs.toPandas()
-    c[held["u"].to_numpy(), held["w"].to_numpy()] = held["c"].to_numpy()
-    p = (c - d * ones / kept) / (q + customers)[:, None] + back / kept
-    return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
-
-
-def word_probabilities(words: DataFrame, symbols: Symbols, sweeps: int, burn: int, q: float) -> tuple[DataFrame, np.ndarray]:
-    """``word, c, lp`` for the words of classes (log10 probability in the class), and that of an unknown word per class."""
-    size = symbols.size
-    known = list(symbols.words)
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        skip = set(known)
-        for batch in batches:
-            rows = [(w, c, symbols.of(w), xxhash.xxh64_intdigest(w) - (1 << 63)) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()) if w not in skip]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["word", "c", "k", "h"])
-
-    rare = materialise(words.mapInArrow(classes, "word binary, c long, k long, h long"), "class-words")
-    d = discount(rare, "c")
-    totals = _sums(rare.selectExpr("0 as kind", "k as at", "cast(c as double) as x").union(rare.selectExpr("1", "k", "1D")), size, 2)
-    customers, types = totals
-    base = 1 / (types + 1)
-    history = [types]  # tables per class before each sweep; at first one a word
-
-    def tables_after(n: int, tables: list[np.ndarray]):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                k = f["k"].to_numpy()
-                t = seat(f["c"].to_numpy(), (q + d * tables[n][k]) * base[k], d, f["h"].to_numpy().view(np.uint64), n)
-                sums = np.bincount(k, t, size)
-                at = np.flatnonzero(sums)
-                yield pd.DataFrame({"kind": 0, "at": at, "x": sums[at]})
-        return run
-
-    for n in range(sweeps):
-        history.append(_sums(rare.mapInPandas(tables_after(n, history), "kind long, at long, x double"), size, 1)[0])
-    after = [history[n + 1] for n in range(burn, sweeps)]
-    unknown = np.mean([(q + d * t) * base / (q + customers) for t in after], 0)
-
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            k, c = f["k"].to_numpy(), f["c"].to_numpy()
-            t = np.mean([seat(c, (q + d * history[n][k]) * base[k], d, f["h"].to_numpy().view(np.uint64), n) for n in range(burn, sweeps)], 0)
-            yield pd.DataFrame({"word": f["word"], "c": c, "lp": np.log10((c - d * t) / (q + customers[k]) + unknown[k])})
-
-    return rare.mapInPandas(scored, "word binary, c long, lp double"), np.log10(unknown)
-
-
-# Scoring
-
-def _score_blocks(symbols: Symbols, counts: dict[bytes, int], table, norm: float, block_bytes: int, id_type: pa.DataType):
-    """Per block of texts: a row per text (``word`` null) and a row per class word with the texts that hold it,
-    as pairs of 16-bit numbers: a text of the block, and how often it has the word."""
-    names = ["block", "ord", "id", "held_out", "n_tokens", "n_known", "base", "score", "word", "k", "texts"]
-    types = [pa.int64(), pa.int32(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.binary()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp, n_single = table.value, len(symbols.words)
-        base, known = np.zeros(symbols.size), np.zeros(symbols.size, np.int64)
-        for w, i in symbols.words.items():
-            base[i], known[i] = np.log10((counts[w] + 0.1) / norm), counts[w] > 0
-        part, number = TaskContext.get().partitionId(), 0
-        block, named = Block(symbols), []
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            nonlocal number, block
-            at = (part << 32) + number
-            number += 1
-            words, of_word, ids, sym, before, starts = block.sequence()
-            n = len(starts)
-            total = lambda x: np.add.reduceat(x, starts)
-            out = [np.full(n, at), np.arange(n, dtype=np.int32), [x[0] for x in named], [x[1] for x in named], np.array(block.lengths),
-                   total(known[sym]), total(base[sym]), total(logp[before, sym].astype(np.float64))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)] + [pa.nulls(n, t) for t in types[8:]], names=names)
-            rare = sym >= n_single
-            holder = np.repeat(np.arange(n), block.lengths)[rare]
-            code, times = np.unique(ids[rare].astype(np.int64) * n + holder, return_counts=True)
-            split = -(-times // _MANY)  # what is more than 16 bits hold goes into several pairs
-            if (split > 1).any():
-                code = np.repeat(code, split)
-                last = np.cumsum(split) - 1
-                full = np.full(len(code), _MANY)
-                full[last] = times - (split - 1) * _MANY
-                times = full
-            word = code // n
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
-            data = np.stack([code % n, times], 1).astype("<u2")
-            ends = np.concatenate((first[1:], [len(word)]))
-            for i in range(0, len(first), 100_000):
-                f, e = first[i:i + 100_000], ends[i:i + 100_000]
-                m = len(f)
-                offsets = (np.concatenate((f, e[-1:])) - f[0]).astype(np.int32) * 4
-                texts = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[f[0]:e[-1]].tobytes())])
-                own = word[f]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, at)), *[pa.nulls(m, t) for t in types[1:8]], pa.array([words[j] for j in own], types[8]),
-                                                  pa.array(of_word[own].astype(np.int32)), texts], names=names)
-            block = Block(symbols)
-            named.clear()
-
-        for batch in batches:
-            for name, out, text in zip(batch.column("id"), batch.column("held_out"), batch.column("text")):
-                named.append((name.as_py(), out.as_py()))
-                if block.add(text.as_py()) >= block_bytes or len(named) > _MANY:
-                    yield from rows()
-        if named:
-            yield from rows()
-    return run
-
-
-def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """The sums over class words of each text of a block: log probabilities, base scores and known tokens."""
-    pairs = np.frombuffer(b"".join(rows["texts"]), "<u2").reshape(-1, 2).astype(np.int64)
-    each = np.fromiter(map(len, rows["texts"]), np.int64, len(rows)) // 4
-    who, times = pairs[:, 0], pairs[:, 1]
-    size = int(who.max()) + 1
-    sums = [np.bincount(who, times * np.repeat(rows[x].to_numpy(np.float64), each), size) for x in ("lp", "base", "known")]
-    return pd.DataFrame({"block": int(rows["block"].iloc[0]), "ord": np.arange(size), "lp2": sums[0], "base2": sums[1], "known2": np.rint(sums[2]).astype(np.int64)})
-
-
-def pitman_yor_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", share: float = 1 / 2000,
-                      sweeps: int = 5, burn: int = 2, concentration: float = 1.0, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
-    """One row per input row: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
-
-    The model learns from the rows where ``held_out`` is false. A null or empty text is the end
-    alone. Rows that repeat an id are scored and learned from one by one. Without training rows
-    every token has the probability of an unknown one. An empty table gives an empty result.
-    Other columns are not read.
-    """
-    rows = df.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    learn = rows.where(~F.col("held_out")).select("text")
-    words = materialise(count_words(learn), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    norm = total + 0.1 * (distinct + 1)
-    symbols, counts = choose_symbols(words, total, share)
-    logp = context_probabilities(count_pairs(learn, symbols), symbols.size, sweeps, burn, concentration)
-    model, unknown = word_probabilities(words, symbols, sweeps, burn, concentration)
-
-    table = df.sparkSession.sparkContext.broadcast(logp)  # (1 / share + 2) squared numbers of 4 bytes at most
-    kind = rows.schema["id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    if id_type == pa.string():
-        rows, kind = rows.withColumn("id", F.col("id").cast("string")), "string"
-    asked = materialise(rows.mapInArrow(
-        _score_blocks(symbols, counts, table, norm, block_bytes, id_type),
-        f"block long, ord int, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, k int, texts binary"), "asked", compression="zstd")
-    lp = F.coalesce("lp", F.element_at(F.lit(unknown.tolist()), F.col("k") + 1))
-    seen = F.coalesce("c", F.lit(0))
-    answered = (asked.where("word is not null").select("block", "word", "k", "texts").join(model, "word", "left")
-                .select("block", "texts", lp.alias("lp"), F.log10((seen + 0.1) / norm).alias("base"), (seen > 0).cast("byte").alias("known")))
-    sums = answered.groupBy("block").applyInPandas(_sum_block, "block long, ord int, lp2 double, base2 double, known2 long")
-    out = asked.where("word is null").join(sums, ["block", "ord"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + zero("known2")).alias("n_known"),
-                      F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + zero("base2")).alias("base_score"), (F.col("score") + zero("lp2")).alias("score"))

@@ -77,7 +77,7 @@ def _block_rows(seed: int, block_bytes: int, id_type: pa.DataType, hashed=word_h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        block, named = Block(None), []
+        block, named = Block(), []
 
         def rows() -> Iterator[pa.RecordBatch]:
             nonlocal number, block
@@ -111,7 +111,7 @@ def _block_rows(seed: int, block_bytes: int, id_type: pa.DataType, hashed=word_h
                 texts = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[f[0]:e[-1]].tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, at)), *[pa.nulls(k, t) for t in types[1:5]], pa.array(own[pair[f] // m]),
                                                   pa.array(own[pair[f] % m]), pa.array(c[i:i + 100_000]), texts], names=names)
-            block = Block(None)
+            block = Block()
             named.clear()
 
         for batch in batches:

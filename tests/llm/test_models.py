@@ -6,9 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from binlens.llm.langid import ByteConvNet, predict_language, train_language, windows_of
-from binlens.llm.pitman_yor import END, Symbols, context_probabilities, count_pairs, pitman_yor_scores, seat, tokens_of
+from binlens.llm.pitman_yor import seat, tokens_of
 from binlens.llm.quality import STATISTICS, document_statistics, fit_trees, quality_score, train_quality
-from binlens.llm.text import hash_bits
 
 D = "/root/testdata/sf0.01"
 
@@ -124,20 +123,6 @@ def slow_base(rows, held):
     return out
 
 
-def test_language_model_of_odd_rows(odd, odd_rows, empty):
-    got = pitman_yor_scores(odd, hash_bits(F.col("doc_id"), 10) == 0, share=1 / 50, block_bytes=3000).collect()
-    seen = Counter((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
-    assert seen == slow_base([(r[0], r[1]) for r in odd_rows], lambda i: fold(i, 10) == 0)
-    assert all(r.score < 0 for r in got)
-    by_text = {}
-    for r in got:
-        by_text.setdefault(r.doc_id, set()).add(round(r.score, 9))
-    assert len(by_text[4]) == 1  # a repeated row
-    assert pitman_yor_scores(empty, F.lit(False)).count() == 0
-    untrained = pitman_yor_scores(odd, F.lit(True)).collect()
-    assert len(untrained) == len(odd_rows) and {r.n_known for r in untrained} == {0} and {r.train_tokens for r in untrained} == {0}
-
-
 def test_held_out_texts_are_likelier_than_by_counts(spark):
     from binlens.llm.queries import QUERIES
     out = QUERIES["op2_pitman_yor"](spark, D).toPandas()
@@ -148,23 +133,6 @@ def test_held_out_texts_are_likelier_than_by_counts(spark):
     assert seen == Counter(k[:5] for k in slow_base([tuple(r) for r in docs], lambda i: fold(i, 10) == 0).elements())
 
 
-def test_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([(b"a b a c a b d",), (b"b b a",), (b"c",)], "text binary")
-    symbols = Symbols({END: 0, b"a": 1, b"b": 2}, {b"c": 3}, 5)
-    table = context_probabilities(count_pairs(texts, symbols), 5, 4, 1, 1.0)
-    assert np.allclose((10.0 ** table).sum(1), 1, atol=1e-5)
-
-
-def test_class_words_sum_to_one(spark):
-    from binlens.llm.pitman_yor import word_probabilities
-    words = spark.createDataFrame([(b"", 9), (b"xab", 3), (b"yab", 1), (b"ab", 40), (b"q", 2)], "word binary, c long")
-    symbols = Symbols({END: 0}, {b"ab": 1}, 3)
-    rows, unknown = word_probabilities(words, symbols, 4, 1, 1.0)
-    p = {bytes(r.word): 10 ** r.lp for r in rows.collect()}
-    assert p[b"xab"] + p[b"yab"] + p[b"ab"] + 10 ** unknown[1] == pytest.approx(1)
-    assert p[b"q"] + 10 ** unknown[2] == pytest.approx(1)
-
-
 def test_seating_follows_the_restaurant():
     """Mean tables of many draws against the exact chain, also where customers come in blocks."""
     rng = np.random.default_rng(4)
