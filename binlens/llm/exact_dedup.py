@@ -70,7 +70,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
              .select("id", F.col("keep").alias("keep_id"), (F.col("n") - F.coalesce("less", F.lit(0))).alias("group_size"), "sha"))
     apart = others.join(by_text, ["h", "other"]).select("id", F.col("keep2").alias("keep_id"), F.col("n2").alias("group_size"), "sha")
 
-    single = hashed.join(groups.select("h"), "h", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
+    # Rows of hashes that only they have; salted as well, so that the rows of a hot hash are spread.
+    alone = hashed.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(copies.select("h", "s"), ["h", "s"], "left_anti")
+    single = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return (single.unionByName(equal).unionByName(apart)
             .select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
                     F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")))
