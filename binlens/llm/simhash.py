@@ -126,12 +126,14 @@ def deal_to_anchors(fps: DataFrame, max_bits: int, blocks: int = 2, slice_rows:
     return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
 
-def links(fps: DataFrame, max_bits: int = 3, blocks: int = 2) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 3, blocks: int = 2, rows_per_task: int = 20_000) -> DataFrame:
     """``a, b``: all pairs of distinct fingerprints (``fp``, each once) with ``max_bits`` or fewer differing bits.
 
-    The join is one that Spark splits where an anchor holds very many fingerprints.
+    Fingerprints are few bytes but become about thirty rows each, so they are dealt over tasks by their number and not by
+    their size. The join is one that Spark splits where an anchor holds very many fingerprints.
     """
-    dealt = materialise(deal_to_anchors(fps, max_bits, blocks), "anchors")
+    tasks = max(1, -(-fps.count() // rows_per_task))
+    dealt = materialise(deal_to_anchors(fps.select("fp").repartition(tasks, "fp"), max_bits, blocks), "anchors")
     homes = dealt.where("home").select("anchor", F.col("fp").alias("a"))
     copies = dealt.select("anchor", F.col("fp").alias("b"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
