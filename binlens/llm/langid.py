@@ -141,10 +141,10 @@ def shares(counts: dict[str, int], most: int) -> dict[str, int]:
 
 def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                    max_rows: int = 4000, max_windows: int = 6, steps: int = 400, **net) -> ByteConvNet | None:
-    """Fit a network on ``max_rows`` rows with text and language, of each language those whose id has the smallest hash.
+    """Fit a network on ``max_rows`` rows (a few less where hashes lie badly) with text and language, of each language those
+    whose id has the smallest hash.
 
-    Every language has rows among them (one each if there are more than ``max_rows``), so that
-    each is a class. Those rows are a bounded sample, and give ``max_windows`` windows each, spread over the
+    Every language has rows among them, so that each is a class; more languages than ``max_rows`` are an error. Those rows are a bounded sample, and give ``max_windows`` windows each, spread over the
     text; both bounds hold for training alone. Without such rows there is no network (None).
     """
     shape = ByteConvNet([], **net)
@@ -159,16 +159,24 @@ def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ready = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     ready = ready.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("_h"))
-    take = shares({r[0]: r[1] for r in ready.groupBy("_lang").count().collect()}, max_rows)  # a row per class of the network
+    per_class = ready.groupBy("_lang").agg(F.count("*").alias("n"), F.min("_h").alias("least")).collect()  # a row per class of the network
+    counts, least = {r[0]: r.n for r in per_class}, {r[0]: r.least for r in per_class}
+    if len(counts) > max_rows:
+        raise ValueError(f"{len(counts)} languages are more than the {max_rows} rows of the sample")
+    take = shares(counts, max_rows)
     if not take:
         return None
     most = max(take.values())
-    quota = docs.sparkSession.createDataFrame(list(take.items()), "_lang string, _take int")
+    # Hashes are uniform, so a language's rows of smallest hash lie below its share and six standard deviations;
+    # the smallest of all is always taken, also where rows repeat one id.
+    quota = docs.sparkSession.createDataFrame([(k, t, min(1.0, (t + 6 * t ** 0.5 + 10) / counts[k]), least[k]) for k, t in take.items()],
+                                              "_lang string, _take int, _share double, _least long")
 
     def first(rows: DataFrame, *order: str) -> DataFrame:
-        """Each language's share of rows in that order (every task keeps ``most`` rows of a language at most)."""
-        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy(*order))).where(F.col("_r") <= most)
-        return ranked.join(F.broadcast(quota), "_lang").where("_r <= _take")
+        """Each language's share of rows in that order; only rows whose hash is small enough to be among them are ranked."""
+        small = rows.join(F.broadcast(quota), "_lang").where(((F.col("_h") / F.lit(2.0 ** 64) + 0.5) <= F.col("_share")) | (F.col("_h") == F.col("_least")))
+        ranked = small.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy(*order))).where(F.col("_r") <= most)
+        return ranked.where("_r <= _take").drop("_take", "_share", "_least")
 
     # The sample is found by language and hash alone; only its rows are cut into windows.
     picked = first(ready.select("_lang", "_h"), "_h").groupBy("_lang").agg(F.max("_h").alias("_most")).collect()
