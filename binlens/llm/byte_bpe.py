@@ -195,7 +195,7 @@ class ByteBpe:
             return self.newer.search(text) is not None
         return False
 
-    def _pieces(self, text: str, at_once: int = 400_000) -> Iterator[list[str]]:
+    def _pieces(self, text: str, at_once: int = 250_000) -> Iterator[list[str]]:
         pattern = self.strict if self._is_new(text) else self.pattern
         if len(text) <= 2 * at_once:
             yield pattern.findall(text)
@@ -236,7 +236,7 @@ class ByteBpe:
         ends = np.cumsum(each)
         return pool[np.arange(int(each.sum())) + np.repeat(begin[index] - (ends - each), each)], ends
 
-    def encode_many(self, texts: list[str], at_once: int = 400_000) -> list[bytes]:
+    def encode_many(self, texts: list[str], at_once: int = 250_000) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         parts: list[list[bytes]] = [[] for _ in texts]
         held: list[str] = []
@@ -294,7 +294,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     match covers has no ids, as in the library. A null or empty text has no ids; the names of special
     tokens are text like any other. Repeated rows are encoded each; a null id stays null; an empty
     table gives an empty result. Other columns are not read. Texts of any length are encoded whole,
-    four hundred thousand pre-tokens at a time.
+    a quarter of a million pre-tokens at a time.
     """
     id_type = df.schema[id_col].dataType.simpleString()
 
