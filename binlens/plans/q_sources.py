@@ -67,11 +67,9 @@ def q_scan_binary(spark, sf_dir):
 SELECT doc_id, CAST(octet_length(encode(COALESCE(text, ''))) + 1 AS BIGINT) AS size, sha256(COALESCE(text, '') || chr(10)) AS sha256 FROM documents""")
 def q_scan_binary_rows(spark, sf_dir):
     """Every document as a file of its own, read back whole."""
-    path = io.scratch_path(spark, "document-files")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    docs.write.partitionBy("doc_id").text(path)
-    b = io.scan_binary(spark, f"{path}/doc_id=*", with_content=False)
-    return b.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "size", "sha256")
+    files = io.sink_row_files(table(spark, sf_dir, "documents"), io.scratch_path(spark, "document-files"), "doc_id", "text")
+    b = io.scan_binary(spark, files, with_content=False)
+    return b.select(F.regexp_extract("path", r"doc_id=(-?\d+)", 1).try_cast("long").alias("doc_id"), "size", "sha256")
 
 
 _LI_TYPES = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
