@@ -30,3 +30,21 @@ def test_training_frame_has_a_record_per_batch_and_bags_by_key(spark):
     assert r.n == 1000 and len(r.bins) == 1000 and len(r.w) == 0 and set(np.frombuffer(r.margin)) == {0.25}
     want = [x.bag for x in df.select((hash_uniform(p.seed, "bag0", F.col("key")) < 0.6).alias("bag")).collect()]
     assert np.frombuffer(r.bag, bool).tolist() == want and 500 < sum(want) < 700
+
+
+def test_split_sorts_only_the_rows_near_the_share(spark):
+    df = spark.range(20_000).select(F.col("id").alias("key"), F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 2).cast("int").alias("label"))
+    for frac in (0.0, 0.15, 1.0):
+        got = {(r.key, r.split) for r in ds.stratified_split(df, "key", frac=frac).collect()}
+        want, ranked = set(), {}
+        for r in df.withColumn("h", hash_key(ds.SEED, "key")).collect():
+            ranked.setdefault(r.label, []).append((r.h, r.key))
+        for rows in ranked.values():
+            share = int(np.ceil(frac * len(rows)))
+            want |= {(key, "val" if i < share else "train") for i, (_, key) in enumerate(sorted(rows))}
+        assert got == want
+    split = ds.stratified_split(df, "key", frac=0.15)
+    split.collect()
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert "SortMergeJoin" not in final  # rows meet their border where they are
