@@ -48,3 +48,17 @@ def test_split_sorts_only_the_rows_near_the_share(spark):
     plan = split._jdf.queryExecution().executedPlan().toString()
     final = plan[:plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
     assert "SortMergeJoin" not in final  # rows meet their border where they are
+
+
+def test_trees_of_mllib_get_partitions_of_bounded_rows(spark, monkeypatch):
+    seen = []
+    from pyspark.ml import Pipeline
+    fit = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    df = spark.range(1000, numPartitions=2).select((F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 10 > 4).cast("int").alias("label"))
+    monkeypatch.setattr(bo, "_GBT_ROWS", 100)
+    model = bo.train_gbt(df, ["a"], max_iter=1, max_depth=1, min_instances=1, subsampling=1.0)
+    assert model.transform(df).where("prediction <> label").isEmpty()
+    monkeypatch.setattr(bo, "_GBT_ROWS", 1000)
+    bo.train_gbt(df, ["a"], max_iter=1, max_depth=1, min_instances=1)
+    assert seen == [10, 2]
