@@ -62,3 +62,15 @@ def test_trees_of_mllib_get_partitions_of_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(bo, "_GBT_ROWS", 1000)
     bo.train_gbt(df, ["a"], max_iter=1, max_depth=1, min_instances=1)
     assert seen == [10, 2]
+
+
+def test_record_assembly_has_tasks_of_bounded_lines(spark, monkeypatch):
+    from binlens.sources import records
+    from scales import SF_SMALL
+    before = records.raw_records(spark, SF_SMALL).select("file_id", "imports", "exports").collect()
+    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    monkeypatch.setattr(records, "LINES_PER_TASK", -(-lines // 20))
+    few = records._line_columns(spark, SF_SMALL)
+    assert few.rdd.getNumPartitions() == 20
+    after = records.raw_records(spark, SF_SMALL).select("file_id", "imports", "exports").collect()
+    assert sorted(before, key=str) == sorted(after, key=str)
