@@ -91,7 +91,11 @@ def seat(c: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, sweep: int)
 
 def discount(counts: DataFrame, col: str) -> float:
     """The discount from the numbers of dishes with one and two customers."""
-    one, two = counts.agg(F.count(F.when(F.col(col) == 1, 1)), F.count(F.when(F.col(col) == 2, 1))).first()
+    return discount_of(*counts.agg(F.count(F.when(F.col(col) == 1, 1)), F.count(F.when(F.col(col) == 2, 1))).first())
+
+
+def discount_of(one: int | None, two: int | None) -> float:
+    one, two = one or 0, two or 0
     return float(np.clip(one / (one + 2 * two) if one else 0.5, 0.05, 0.95))
 
 

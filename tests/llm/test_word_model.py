@@ -1,6 +1,9 @@
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +67,28 @@ def test_words_never_share_a_number(spark):
     rows = spark.createDataFrame([(False, b"a b c d e f g h i j a"), (True, b"k a")], "held_out boolean, text binary")
     words, seed = number_words(rows, lambda w, s: word_hash(w, s) if s else word_hash(w, s) % 8)
     assert seed == 1 and {r.w: r.c for r in words.collect()} == {word_hash(w, 1): c for w, c in [(b"", 1), (b"a", 2), (b"k", 0), *((x.encode(), 1) for x in "bcdefghij")]}
+
+
+def test_blocks_buckets_and_shards_keep_every_pair(spark, odd, odd_rows):
+    """Many small blocks, buckets and shards give each text the sum of its pairs' probabilities; only arrays are kept between jobs, no row per pair."""
+    seen, words = Counter(), Counter()
+    for i, t in ((r[0], r[1]) for r in odd_rows):
+        toks, n = tokens_of((t or "").encode()), int(fold(i, 10) != 0)
+        for u, w in zip([b"", *toks], toks):
+            seen[u, w] += n
+            words[w] += n
+    pairs = spark.createDataFrame([(word_hash(u, 0), word_hash(w, 0), c) for (u, w), c in seen.items()], "u long, w long, c long")
+    model, _ = pair_probabilities(pairs, spark.createDataFrame([(word_hash(w, 0), c) for w, c in words.items()], "w long, c long"), 5, 2, 1.0)
+    lp = {(r.u, r.w): r.lp for r in model.collect()}
+    want = []
+    for i, t in ((r[0], r[1]) for r in odd_rows):
+        own = [word_hash(w, 0) for w in tokens_of((t or "").encode())]
+        want.append((-1 if i is None else i, sum(lp[p] for p in zip([word_hash(b"", 0), *own], own))))
+    kept = Path(unquote(urlparse(spark.sparkContext.getCheckpointDir()).path))
+    before = set(kept.iterdir())
+    got = word_pair_scores(odd, hash_bits(F.col("doc_id"), 10) == 0, block_bytes=8000, bucket_tokens=1500).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in got)
+    assert [i for i, _ in got] == sorted(i for i, _ in want)
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], rel=1e-9)
+    made = [x for x in kept.iterdir() if x not in before and not x.name.startswith("words-")]
+    assert made and all(pq.ParquetFile(f).metadata.num_rows < len(seen) / 2 for x in made for f in x.glob("*.parquet"))
