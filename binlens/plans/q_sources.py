@@ -68,7 +68,7 @@ SELECT doc_id, CAST(octet_length(encode(COALESCE(text, ''))) + 1 AS BIGINT) AS s
 def q_scan_binary_rows(spark, sf_dir):
     """Every document as a file of its own, read back whole."""
     files = io.sink_row_files(table(spark, sf_dir, "documents"), io.scratch_path(spark, "document-files"), "doc_id", "text")
-    b = io.scan_binary(spark, files, with_content=False)
+    b = io.scan_row_files(spark, files)
     return b.select(F.regexp_extract("path", r"doc_id=(-?\d+)", 1).try_cast("long").alias("doc_id"), "size", "sha256")
 
 
